@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import quality, simhash
 from .common import table
 
 
@@ -12,8 +12,37 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 QUERIES = {
+    "op10_quality": op10_quality,
     "op8_simhash": op8_simhash,
 }
 
+#: DuckDB: words of a text, after lower-casing A-Z only where asked.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op10_quality"] = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, {_WORDS.format('text')} AS ws FROM d),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY doc_id),
+ln AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS l FROM d),
+dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, l, count(*) AS n FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id, l) GROUP BY doc_id),
+nl AS (SELECT DISTINCT host, text, line, sum(k) OVER (PARTITION BY doc_id, line) AS k FROM (SELECT doc_id, host, text, len(q) AS k,
+       regexp_replace(array_to_string(q, ' '), '[0-9]+', '0', 'g') AS line FROM (SELECT doc_id, host, text, {_WORDS.format(_LOWER.format('l'))} AS q FROM ln) WHERE len(q) > 0)),
+common AS (SELECT host, line FROM nl GROUP BY host, line HAVING count(DISTINCT text) > {quality.LINE_LIMIT}),
+gone AS (SELECT nl.host, nl.text, sum(k) AS k FROM nl JOIN common USING (host, line) GROUP BY ALL),
+f AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+      length(w.text) - length(translate(w.text, '#*$%&|<>', '')) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+      coalesce(cov.n, 0) AS n_repeat_words, CAST(coalesce(gone.k, 0) AS BIGINT) AS n_words_removed
+      FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN gone ON gone.host = w.host AND gone.text = w.text)
+SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * (n_words - n_words_removed) >= {quality.LEAST_LEFT} * n_words AS kept
+FROM f"""
