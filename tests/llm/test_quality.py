@@ -32,7 +32,8 @@ SCHEMA = "doc_id long, source string, text string, host string, lines int"
 
 
 def test_common_lines_deplete_documents(spark):
-    own = [" ".join(f"u{d}x{i}" for i in range(30)) for d in range(40)]
+    name = lambda d: chr(97 + d // 26) + chr(97 + d % 26)
+    own = [" ".join(f"{name(d)}x{name(i)}" for i in range(30)) for d in range(40)]
     line = " ".join(f"menu{i}" for i in range(25))
     rows = [(d, "a", f"{own[d]}\n{line} {d}") for d in range(15)]  # half of the words stay
     rows += [(100 + d, "a", f"{line.upper()} {d}\nshort tail{d}") for d in range(5)]  # nothing of note stays
