@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash, url_filter
+from . import quality, simhash, url_filter, warc
 from .common import table
 
 
@@ -20,7 +20,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = warc.archived_history(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op9_warc": op9_warc,
     "op7_url_filter": op7_url_filter,
     "op10_quality": op10_quality,
     "op8_simhash": op8_simhash,
@@ -65,3 +71,11 @@ q AS (SELECT *, host <> '' AND substr(md5(host), 1, 1) IN ('0', '1', '2', '3') A
 SELECT page_id, host, path, rule, listed,
   CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict
 FROM q"""
+
+
+ORACLE_SQL["op9_warc"] = f"""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= {warc.LEAST_REVISIT} THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM q"""
