@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash, url_filter, warc
+from . import packing, quality, simhash, url_filter, warc
 from .common import table
 
 
@@ -25,7 +25,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op6_packing": op6_packing,
     "op9_warc": op9_warc,
     "op7_url_filter": op7_url_filter,
     "op10_quality": op10_quality,
