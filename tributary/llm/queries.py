@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, url_filter, warc
+from . import decontam, packing, quality, simhash, url_filter, warc
 from .common import table
 
 
@@ -29,7 +29,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op4_decontam": op4_decontam,
     "op6_packing": op6_packing,
     "op9_warc": op9_warc,
     "op7_url_filter": op7_url_filter,
@@ -84,3 +89,16 @@ q AS (SELECT *, CASE WHEN payload_bytes >= {warc.LEAST_REVISIT} THEN max(page_id
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> keeper THEN keeper END AS refers_to
 FROM q"""
+
+
+ORACLE_SQL["op4_decontam"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+n AS (SELECT *, least({decontam.WIDTH}, len(w)) AS k FROM b WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS p FROM n)),
+c AS (SELECT item_id, count(*) AS shingles FROM i GROUP BY item_id),
+s AS (SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS s
+      FROM (SELECT doc_id, w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS p FROM d, (SELECT DISTINCT k FROM n)))
+SELECT doc_id, item_id, count(*) AS matched, shingles
+FROM s JOIN i USING (k, s) JOIN c USING (item_id)
+GROUP BY doc_id, item_id, shingles HAVING count(*) >= {decontam.CONTAINMENT} * shingles"""
