@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, quality, simhash, url_filter, warc
+from . import decontam, license_scan, packing, quality, simhash, url_filter, warc
 from .common import table
 
 
@@ -33,7 +33,12 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
     "op4_decontam": op4_decontam,
     "op6_packing": op6_packing,
     "op9_warc": op9_warc,
@@ -102,3 +107,17 @@ s AS (SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS s
 SELECT doc_id, item_id, count(*) AS matched, shingles
 FROM s JOIN i USING (k, s) JOIN c USING (item_id)
 GROUP BY doc_id, item_id, shingles HAVING count(*) >= {decontam.CONTAINMENT} * shingles"""
+
+_LETTERS = "regexp_extract_all({}, '[a-z0-9]+')"
+_TEMPLATES = ", ".join(f"('{a}', '{b}', {license_scan.size_class(t)}, '{' '.join(license_scan.words_of(t))}')" for a, b, t in license_scan.TEMPLATES)
+
+ORACLE_SQL["op3_license_scan"] = f"""
+WITH t AS (SELECT template, license, class, string_split(body, ' ') AS w FROM (VALUES {_TEMPLATES}) v(template, license, class, body)),
+i AS (SELECT DISTINCT template, license, class, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, CAST(len(w) - 3 AS BIGINT))) AS p FROM t)),
+c AS (SELECT template, count(*) AS shingles FROM i GROUP BY template),
+d AS (SELECT doc_id, {_LETTERS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT doc_id, p - 1 AS p, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, CAST(len(w) - 3 AS BIGINT))) AS p FROM d)),
+h AS (SELECT doc_id, template, license, class, s, unnest([p - p % class, p - p % class - class]) AS start FROM s JOIN i USING (s)),
+m AS (SELECT doc_id, template, license, start, count(DISTINCT s) AS matched FROM h WHERE start >= 0 GROUP BY ALL)
+SELECT doc_id, template, license, max(matched) AS matched, shingles, min(start) AS first_word
+FROM m JOIN c USING (template) WHERE matched >= {license_scan.CONTAINMENT} * shingles GROUP BY doc_id, template, license, shingles"""
