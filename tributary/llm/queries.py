@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, packing, quality, simhash, url_filter, warc
+from . import decontam, license_scan, packing, quality, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -37,7 +37,13 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op3_license_scan": op3_license_scan,
     "op4_decontam": op4_decontam,
     "op6_packing": op6_packing,
