@@ -21,6 +21,8 @@ length of full pieces gathers in a task, and look their place up.
 from __future__ import annotations
 
 import bisect
+import itertools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, tokenizer_path
+from .common import materialize, raw_texts, tokenizer_path
 
 CAPACITY, END_ID = 2048, 0
 #: Large pieces are those over capacity / SMALL; with 400 groups the plan stays within 0.1 % of best fit decreasing.
@@ -39,7 +41,9 @@ GROUPS, SMALL = 400, 2.5
 BUCKETS = 512
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; older ones are forgotten beyond twice as many.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+#: Bytes of text that are split into words at once.
+BATCH_TEXT = 4 << 20
 
 _PUNCTUATION = frozenset(b".,;:!?)")
 
@@ -51,48 +55,86 @@ class WordIds:
     so a text's ids are those of its chunks in a row. A-Z are lower-cased
     first, as the normalizer would, except next to ``<|``, where a special
     token may be spelled.
+
+    Chunks of letters that the normalizer leaves alone are one pre-token each. They
+    are encoded many at a time, joined by spaces, by the bare model; the ids that
+    end a word tell them apart again.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": None}
+        self.bare = Tokenizer.from_str(json.dumps(spec))
+        split = pre_tokenizers.Split(Regex(" "), "removed")
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.ends[[n for token, n in spec["model"]["vocab"].items() if token.endswith("</w>")]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.bare.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(words):
+            raise ValueError("the vocabulary's words do not end with </w>")
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops[:-1]], stops)]
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        words, keys, others = [], [], []
+        for c in chunks:
+            x = c.decode("utf-8", "replace")
+            if x.isalpha() and x.lower() == x and (x.isascii() or unicodedata.is_normalized("NFC", x)):
+                words.append(x)
+                keys.append(c)
+            else:
+                others.append((c, x))
+        for at in range(0, len(words), 20_000):
+            self.new.update(zip(keys[at : at + 20_000], self._encode_words(words[at : at + 20_000])))
+        found = self.tokenizer.encode_batch([x for _, x in others], add_special_tokens=False)
+        self.new.update((c, np.array(x.ids, "<u4").tobytes()) for (c, _), x in zip(others, found))
 
     def _learn(self, chunks: set[bytes]) -> None:
         if len(self.new) > CACHE_WORDS:
             self.old, self.new = self.new, {}
-        missing, split = set(), []
+        new, old = self.new, self.old
+        todo, split = set(), []
         for c in chunks:
-            if c in self.new:
+            if c in new:
                 continue
-            if (known := self.old.get(c)) is not None:
-                self.new[c] = known
+            if (known := old.get(c)) is not None:
+                new[c] = known
             elif len(c) > 1 and c[-1] in _PUNCTUATION and 97 <= c[-2] <= 122:  # the mark starts a token of its own
                 split.append(c)
-                missing.update(x for x in (c[:-1], c[-1:]) if x not in self.new)
+                todo.add(c[:-1])
+                todo.add(c[-1:])
             else:
-                missing.add(c)
-        todo = []
-        for c in missing:
-            if (known := self.old.get(c)) is not None:
-                self.new[c] = known
-            elif c not in self.new:
-                todo.append(c)
-        if todo:
-            self.new.update(zip(todo, self._encode(todo)))
+                todo.add(c)
+        todo = {c for c in todo if c not in new}
+        new.update((c, old[c]) for c in todo & old.keys())
+        self._encode([c for c in todo if c not in new])
         for c in split:
-            self.new[c] = self.new[c[:-1]] + self.new[c[-1:]]
+            new[c] = new[c[:-1]] + new[c[-1:]]
 
-    def __call__(self, raw: bytes) -> bytes:
-        chunks = raw.split() if b"<|" in raw else raw.lower().split()
-        self._learn(set(chunks))
-        return b"".join(map(self.new.__getitem__, chunks))
+    def batch(self, raws: list[bytes]) -> list[bytes]:
+        out, held, size = [], [], 0
+        for raw in [*raws, None]:
+            if held and (raw is None or size + len(raw) > BATCH_TEXT):
+                self._learn(set(itertools.chain.from_iterable(held)))
+                out.extend(b"".join(map(self.new.__getitem__, chunks)) for chunks in held)
+                held, size = [], 0
+            if raw is not None:
+                held.append(raw.split() if b"<|" in raw else raw.lower().split())
+                size += len(raw)
+        return out
 
 
 _worker: dict[str, WordIds] = {}
@@ -107,8 +149,8 @@ def _cut(path: str, capacity: int, with_ids: bool):
         ids_of, end = _worker[path], np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             owner, piece, length, crc, ids = [], [], [], [], []
-            for row, raw in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                data = ids_of(raw or b"") + end
+            for row, data in enumerate(ids_of.batch(raw_texts(batch.column(1)))):
+                data += end
                 for n, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     owner.append(row)
