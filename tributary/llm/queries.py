@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, packing, quality, simhash, toxicity, url_filter, warc
+from . import ctw, decontam, license_scan, packing, quality, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -42,7 +42,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op2_ctw": op2_ctw,
     "op5_toxicity": op5_toxicity,
     "op3_license_scan": op3_license_scan,
     "op4_decontam": op4_decontam,
