@@ -33,6 +33,8 @@ from .common import raw_texts, tokens
 WIDTH, CONTAINMENT, HASHES = 5, 0.8, 64
 #: Items of one broadcast index; more are searched block by block.
 BLOCK_ITEMS = 20_000
+#: Bytes of text that are searched at once: their shingles stay in a processor's cache.
+PORTION = 1 << 20
 
 _MULTIPLIERS = np.random.default_rng(64).integers(1 << 63, size=HASHES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -76,15 +78,26 @@ class Partition:
             seen[(row & np.uint64(0xFFFF)).astype(np.int64)] = True
             self.maps.append(seen)
 
-    def collide(self, signatures: np.ndarray) -> set[int]:
-        found: set[int] = set()
+    def collide(self, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of ``signatures`` and the items that they share a band with."""
+        columns, items = [], []
         for row, values, owners, seen in zip(signatures, self.values, self.owners, self.maps):
-            near = row[seen[(row & np.uint64(0xFFFF)).astype(np.int64)]]
-            if len(near):
-                low, high = np.searchsorted(values, near, "left"), np.searchsorted(values, near, "right")
-                for a, b in zip(low.tolist(), high.tolist()):
-                    found.update(owners[a:b].tolist())
-        return found
+            at = np.flatnonzero(seen[(row & np.uint64(0xFFFF)).astype(np.int64)])
+            if len(at):
+                low, high = np.searchsorted(values, row[at], "left"), np.searchsorted(values, row[at], "right")
+                for k in np.flatnonzero(high > low):
+                    items.append(owners[low[k] : high[k]])
+                    columns.append(np.full(high[k] - low[k], at[k]))
+        none = np.empty(0, np.int64)
+        return np.concatenate(columns or [none]), np.concatenate(items or [none])
+
+
+def _starts(counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where blocks of ``step`` start in runs of these lengths that follow each other, and the blocks of each run."""
+    blocks = -(-counts // step)
+    first = np.cumsum(blocks) - blocks
+    within = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    return np.repeat(np.cumsum(counts) - counts, blocks) + within * step, blocks
 
 
 @dataclass
@@ -93,33 +106,47 @@ class Index:
     exact: list[np.ndarray]  # distinct shingles of each item
     ids: list
 
-    def search(self, words: list[bytes], least: float) -> list[tuple[int, int, int]]:
-        """(item, matched shingles, item shingles) of the items contained in a document to a share of ``least`` or more."""
-        by_width: dict[int, np.ndarray] = {}
-        found: dict[int, int] = {}
-        for part in self.partitions:
-            if part.width not in by_width:
-                by_width[part.width] = shingles(words, part.width)
-            own = by_width[part.width]
-            if not len(own):
-                continue
-            if part.size == 1:
-                signatures = minima(own, np.arange(len(own)))
-            else:
-                halves = minima(own, np.arange(0, len(own), part.size))
-                signatures = np.minimum(halves[:, :-1], halves[:, 1:]) if halves.shape[1] > 1 else halves
-            for item in part.collide(signatures):
-                found[item] = part.width
-        out, sets = [], {}
-        for item, width in found.items():
-            if width not in sets:
-                sets[width] = np.unique(by_width[width])
-            own, want = sets[width], self.exact[item]
-            at = np.minimum(np.searchsorted(own, want), len(own) - 1)
-            hits = int(np.count_nonzero(own[at] == want))
-            if hits >= least * len(want):
-                out.append((item, hits, len(want)))
-        return sorted(out)
+    def _candidates(self, hashes: list[np.ndarray], width: int) -> set[tuple[int, int]]:
+        """(text, item) pairs that collide. Blocks of a partition are pairs of those of the next smaller one."""
+        found: set[tuple[int, int]] = set()
+        parts = {p.size: p for p in self.partitions if p.width == width}
+        runs = [k for k, h in enumerate(hashes) if len(h)]
+        if not parts or not runs:
+            return found
+        owner, flat = np.array(runs), np.concatenate([hashes[k] for k in runs])
+        size = min(parts)
+        starts, blocks = _starts(np.array([len(hashes[k]) for k in runs]), size)
+        values = minima(flat, starts)
+        while True:
+            if size in parts:
+                text = np.repeat(owner, blocks)
+                if size > 1:  # a window is a block and the next of its text
+                    values_, alone = np.minimum(values[:, :-1], values[:, 1:]), np.repeat(blocks == 1, blocks)
+                    inner = text[:-1] == text[1:]
+                    signatures = np.concatenate([values_[:, inner], values[:, alone]], axis=1)
+                    text = np.r_[text[:-1][inner], text[alone]]
+                else:
+                    signatures = values
+                columns, items = parts[size].collide(signatures)
+                found.update(zip(text[columns].tolist(), items.tolist()))
+            if size >= max(parts):
+                return found
+            pairs, after = _starts(blocks, 2)
+            values, blocks, size = np.minimum.reduceat(values, pairs, axis=1), after, 2 * size
+
+    def search(self, texts: list[list[bytes]], least: float) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, matched shingles, item shingles) of the items contained in a text to a share of ``least`` or more."""
+        for width in sorted({p.width for p in self.partitions}):
+            hashes = [shingles(words, width) for words in texts]
+            own, last = None, -1
+            for text, item in sorted(self._candidates(hashes, width)):
+                if text != last:
+                    own, last = np.unique(hashes[text]), text
+                want = self.exact[item]
+                at = np.minimum(np.searchsorted(own, want), len(own) - 1)
+                hits = int(np.count_nonzero(own[at] == want))
+                if hits >= least * len(want):
+                    yield text, item, hits, len(want)
 
 
 def build_index(rows: list[tuple]) -> Index:
@@ -142,14 +169,27 @@ def build_index(rows: list[tuple]) -> Index:
     return index
 
 
+def _portions(raws: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Words of consecutive texts, PORTION bytes or one text at a time, and the number of the first."""
+    held, first, size = [], 0, 0
+    for n, raw in enumerate(raws):
+        if held and size + len(raw) > PORTION:
+            yield first, held
+            held, first, size = [], n, 0
+        held.append(tokens(raw))
+        size += len(raw)
+    if held:
+        yield first, held
+
+
 def _search(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             owner, item, hits, sizes = [], [], [], []
-            for row, raw in enumerate(raw_texts(batch.column(1))):
-                for found, matched, size in index.search(tokens(raw), least):
-                    owner.append(row)
+            for first, texts in _portions(raw_texts(batch.column(1))):
+                for text, found, matched, size in index.search(texts, least):
+                    owner.append(first + text)
                     item.append(index.ids[found])
                     hits.append(matched)
                     sizes.append(size)
@@ -194,8 +234,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, least: float = CONTAI
 def _clean(shared, least: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [not shared.value.search(tokens(raw), least) for raw in raw_texts(batch.column(at))]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            keep = np.ones(batch.num_rows, bool)
+            for first, texts in _portions(raw_texts(batch.column(at))):
+                keep[[first + text for text, *_ in shared.value.search(texts, least)]] = False
+            yield batch.filter(pa.array(keep))
 
     return run
 
