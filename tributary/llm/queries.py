@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, license_scan, packing, quality, simhash, toxicity, url_filter, warc
+from . import ctw, decontam, license_scan, line_dedup, packing, quality, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -46,7 +46,12 @@ def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_ctw": op2_ctw,
     "op5_toxicity": op5_toxicity,
     "op3_license_scan": op3_license_scan,
