@@ -43,7 +43,7 @@ def test_plan_is_close_to_the_volume_bound():
 
 TEXTS = [
     None, "", " \n\t", "Hello, WORLD!! it's don't 'S x's.", "<|endoftext|> a<|ENDOFTEXT|>b", "über Éa naïve ﬁn İstanbul ΣΑΣ. ß", "12,345.67% a1b2 ...!?", "é ̈x a b c \x1cq\x85r \x0b\x0c",
-    "日本語テキスト。中文 한국어", "\x00 \x07bell � 😀😀 👩‍👩‍👧", "word " * 3000, "Thing. " * 1500 + "end", "a.b.c., ;; x:) (y)", "<|startoftext|> I İ ı K ſ ǅ ꟲ ª º ²x ½ Ⅷ ⅷ é ö", "n't we're THEY'LL 'dx x's't ''s",
+    "日本語テキスト。中文 한국어", "\x00 \x07bell � 😀😀 👩‍👩‍👧", "word " * 3000, "Thing. " * 1500 + "end", "a.b.c., ;; x:) (y)", "<|startoftext|> I İ ı K ſ ǅ ꟲ ª º ²x ½ Ⅷ ⅷ é ö", "Été. ÉTÉ, ΣΑΣ. ας» dé», é.. é́. x́, é. Ω!! ﬀ. İ. 𐐀x.", "n't we're THEY'LL 'dx x's't ''s",
 ]
 
 

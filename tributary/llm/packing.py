@@ -41,7 +41,7 @@ GROUPS, SMALL = 400, 2.5
 BUCKETS = 512
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; older ones are forgotten beyond twice as many.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Bytes of text that are split into words at once.
 BATCH_TEXT = 4 << 20
 
@@ -89,38 +89,44 @@ class WordIds:
         return [data[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
     def _encode(self, chunks: list[bytes]) -> None:
-        words, keys, others = [], [], []
+        words, keys, others, rest = [], [], [], []
         for c in chunks:
             x = c.decode("utf-8", "replace")
-            if x.isalpha() and x.lower() == x and (x.isascii() or unicodedata.is_normalized("NFC", x)):
+            if x.isascii():
+                plain = x.isalpha() and x.islower()
+            else:  # as the normalizer lower-cases, letter by letter (a final sigma is no exception to it)
+                plain = x.isalpha() and "\u03a3" not in x and (x := x.lower()).isalpha() and unicodedata.is_normalized("NFC", x)
+            if plain:
                 words.append(x)
                 keys.append(c)
             else:
-                others.append((c, x))
+                others.append(c)
+                rest.append(c.decode("utf-8", "replace"))
         for at in range(0, len(words), 20_000):
             self.new.update(zip(keys[at : at + 20_000], self._encode_words(words[at : at + 20_000])))
-        found = self.tokenizer.encode_batch([x for _, x in others], add_special_tokens=False)
-        self.new.update((c, np.array(x.ids, "<u4").tobytes()) for (c, _), x in zip(others, found))
+        found = self.tokenizer.encode_batch(rest, add_special_tokens=False)
+        self.new.update((c, np.array(x.ids, "<u4").tobytes()) for c, x in zip(others, found))
+
+    def _recall(self, chunks: set[bytes]) -> set[bytes]:
+        """The chunks whose ids aren't remembered; what only the older words hold moves over."""
+        unknown = chunks.difference(self.new)
+        fresh = unknown.difference(self.old)
+        self.new.update((c, self.old[c]) for c in unknown.difference(fresh))
+        return fresh
 
     def _learn(self, chunks: set[bytes]) -> None:
         if len(self.new) > CACHE_WORDS:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
         todo, split = set(), []
-        for c in chunks:
-            if c in new:
-                continue
-            if (known := old.get(c)) is not None:
-                new[c] = known
-            elif len(c) > 1 and c[-1] in _PUNCTUATION and 97 <= c[-2] <= 122:  # the mark starts a token of its own
-                split.append(c)
+        for c in self._recall(chunks):
+            if len(c) > 1 and c[-1] in _PUNCTUATION and (97 <= c[-2] <= 122 or c[-2] > 127 and c[:-1].decode("utf-8", "replace").lower()[-1].isalpha()):
+                split.append(c)  # after a letter the mark starts a token of its own
                 todo.add(c[:-1])
                 todo.add(c[-1:])
             else:
                 todo.add(c)
-        todo = {c for c in todo if c not in new}
-        new.update((c, old[c]) for c in todo & old.keys())
-        self._encode([c for c in todo if c not in new])
+        self._encode(list(self._recall(todo)))
+        new = self.new
         for c in split:
             new[c] = new[c[:-1]] + new[c[-1:]]
 
