@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -273,7 +274,18 @@ def _near_keys(text: str) -> tuple[int, int]:
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [x or "" for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts), *(pa.array(k, pa.int64()) for k in list(zip(*map(_near_keys, texts))) or [(), ()]), pa.array([sorted(features(t)) for t in texts], pa.list_(pa.string()))], names=["toxic", "text", "least", "greatest", "features"])
+        keys = list(zip(*map(_near_keys, texts))) or [(), ()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts), *(pa.array(k, pa.int64()) for k in keys)], names=["toxic", "text", "least", "greatest"])
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of either kind that have a feature; merged over the batch."""
+    for batch in batches:
+        found: tuple[Counter, Counter] = Counter(), Counter()
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found[toxic].update(features(text))
+        names = list(found[0].keys() | found[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[kind][n] for n in names], pa.int64()) for kind in (1, 0))], names=["feature", "pos", "neg"])
 
 
 def _evidence(shared):
@@ -296,15 +308,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")  # fit_rows rows of two numbers
-    rows = rows.mapInArrow(_training, "toxic int, text string, least long, greatest long, features array<string>")
-    rows = materialize(rows, "labelled").dropDuplicates(["toxic", "least"]).dropDuplicates(["toxic", "greatest"])
-    rows = materialize(rows, "training")
+    rows = rows.mapInArrow(_training, "toxic int, text string, least long, greatest long")
+    rows = materialize(rows.dropDuplicates(["toxic", "least"]).dropDuplicates(["toxic", "greatest"]).select("toxic", "text"), "training")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)
     support = max(3, math.ceil(SUPPORT * positive))
-    counted = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-    tested = counted.where(F.col("pos") >= support).select("feature", "pos", "neg").toPandas()  # no more than the features of a text / SUPPORT
-    model = Model(choose(list(tested.itertuples(index=False, name=None)), positive, negative))
+    counted = rows.mapInArrow(_tally, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    tested = counted.where(F.col("pos") >= support).select("feature", "pos", "neg").toArrow()  # no more than the features of a text / SUPPORT
+    model = Model(choose(list(zip(*(c.to_pylist() for c in tested.columns))), positive, negative))
     if not model.entries:
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
