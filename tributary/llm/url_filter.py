@@ -157,8 +157,8 @@ def build_block(listed: DataFrame, other: DataFrame, shards: int, first: int, la
         cascade.bits.append(bits)
         cascade.starts.append(ends - bits)
         words = np.zeros(int(ends[-1]) // WORD + 1, np.uint64)
-        found = own.select("h").mapInArrow(_bit_words(cascade, level), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-        words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+        found = own.select("h").mapInArrow(_bit_words(cascade, level), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
         cascade.words.append(words)
         passed = sides[(level + 1) % 2].select("h").mapInArrow(_surviving(cascade, level), "h long")
         sides[(level + 1) % 2] = materialize(passed.withColumn("shard", _shard(F.col("h"), shards)), "passed")
