@@ -14,7 +14,7 @@ seen, so every byte's probabilities sum to one.
 
 Counting: workers count byte n-grams and words of the whole training texts and
 merge them before the shuffle, so what is gathered grows with the corpus. The
-tree's tables are broadcast under a checked bound: beyond ``MOST_GRAMS`` n-grams at a
+tree's tables are broadcast under a checked bound (the driver needs some 250 bytes an n-gram): beyond ``MOST_GRAMS`` n-grams at a
 depth, contexts below a count found from the histogram of counts are not
 extended (the mixture stops at the shorter context); shorter contexts still
 hold all their counts. Words: counts of the ``TOP_WORDS`` most frequent are
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import materialize, raw_texts, tokens
 
 DEPTH = 5
-MOST_GRAMS = 8_000_000
+MOST_GRAMS = 4_000_000
 TOP_WORDS = 200_000
 #: Bytes of text that a worker handles at once; words that it counts before it passes them on.
 CHUNK_BYTES, PENDING_WORDS, PENDING_GRAMS = 2 << 20, 500_000, 3_000_000
@@ -249,10 +249,10 @@ def build_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
             both = np.add.reduceat(counts, starts) if len(key) else counts
             one = np.add.reduceat(counts * (codes >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64), starts) if len(key) else counts
             keys.append(key[starts])
-            owner.append(np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)])))
+            owner.append(np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(key)])) if codes is top else None)
             zeros.append(both - one)
             ones.append(one)
-        parents = [None] + [np.searchsorted(keys[d - 1], keys[d] & _mask(8 * (d - 1) + bit)) for d in range(1, depth + 1)]
+        parents = [None] + [np.searchsorted(keys[d - 1], keys[d] & _mask(8 * (d - 1) + bit)).astype(np.int32) for d in range(1, depth + 1)]
         weighted = log_kt(zeros[depth], ones[depth])
         stops: list = [None] * depth
         for d in range(depth - 1, -1, -1):
@@ -309,10 +309,10 @@ def _level(grams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
             room, least = room - row["codes"], row["power"]
         kept = totals.where(F.col("total") >= 2.0**least).select("context")
         grams = grams.join(kept, context == F.col("context"), "left_semi")
-    found = grams.select("key", "n").toPandas()
-    codes = found["key"].to_numpy(np.int64).view(np.uint64)
+    found = grams.select("key", "n").toArrow()
+    codes = found.column("key").to_numpy().view(np.uint64)
     order = np.argsort(codes)
-    return codes[order], found["n"].to_numpy(np.int64)[order]
+    return codes[order], found.column("n").to_numpy()[order]
 
 
 def tree_of(counts: Counts, depth: int = DEPTH, most: int = MOST_GRAMS) -> Tree:
@@ -403,10 +403,9 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = MOST_GRAMS, top
     """
     counts = count_corpus(docs.where(~held_out(F.col("doc_id"))), depth)
     words = counts.table.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
-    top = words.orderBy(F.desc("n"), "word").limit(top_words).toPandas()
-    top = top.sort_values("word")
+    top = words.orderBy(F.desc("n"), "word").limit(top_words).toArrow().sort_by("word")
     denominator = math.log10(counts.tokens + counts.vocabulary + 1) if counts.texts else 0.0
-    model = Shared(tree_of(counts, depth, most), top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64), counts.texts, denominator)
+    model = Shared(tree_of(counts, depth, most), top.column("word").to_numpy(), top.column("n").to_numpy(), counts.texts, denominator)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(shared), f"doc_id {kind}, {_SCORED}")
