@@ -1 +1 @@
-
+"""Scalar building blocks: casts, predicates, templates."""

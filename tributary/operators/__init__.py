@@ -1 +1 @@
-
+"""Analyses over a logs table."""

@@ -1,14 +1,213 @@
-"""Registered queries of the engine and their oracle SQL."""
+"""Registered queries of the engine and their oracle SQL.
+
+The log queries run over the events table in the shape of a logs table; the
+relational ones over the TPC-H-like tables. Columns have the same names on
+both sides and doubles are rounded.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tributary.model import Promotion
+from tributary.operators import breakdown, investigate, records, stats
+from tributary.plans import relational
+from tributary.plans.adapters import logs_from_events
+from tributary.plans.session import Logs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: DuckDB: the events table as logs.
+LOGS_SQL = """
+SELECT event_id AS seq, CASE WHEN event_id % 50 <> 0 THEN ts END AS ts, (event_id % 7 <> 0) AS ts_zoned,
+  CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warn' WHEN 'signup' THEN 'audit' WHEN 'view' THEN NULL ELSE 'info' END AS level,
+  event_type || ' by user ' || CAST(user_id AS VARCHAR) AS message, 'svc-' || CAST(user_id % 4 AS VARCHAR) AS source,
+  'logs/svc-' || CAST(user_id % 4 AS VARCHAR) || '.log' AS file, 'jsonl' AS format, event_id + 1 AS line_no, (event_id % 97 <> 0) AS parsed,
+  props AS raw, props AS fields, json_extract_string(props, '$.k') AS k, event_type || ' by user <num>' AS pattern,
+  left(sha256(event_type || ' by user <num>'), 12) AS pattern_id, user_id, value, event_type FROM events"""
+
+
+#: Typed columns of the events table, as promoted fields.
+EVENT_COLUMNS = (Promotion("event_type", "event_type", "string", 1.0), Promotion("user_id", "user_id", "integer", 1.0), Promotion("value", "value", "float", 1.0))
+
+
+def logs(spark: SparkSession, sf_dir: str, templates: bool = False) -> Logs:
+    return Logs(logs_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), templates), EVENT_COLUMNS)
+
+
+def _logs_query(name: str, make: Callable[[Logs], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(logs(spark, sf_dir))
+    if sql:
+        ORACLE_SQL[name] = f"WITH logs AS ({LOGS_SQL}) {sql}"
+
+
+def _filter(name: str, text: str, where: str) -> None:
+    _logs_query(f"filter_{name}", lambda x: x.matching(x.plan(text)).select("seq", "level", "message", "source"), f"SELECT seq, level, message, source FROM logs WHERE {where}")
+
+
+_filter("all", "", "TRUE")
+_filter("level_eq", "level:error", "level = 'error'")
+_filter("level_in", "level:warn,ERR", "level IN ('warn', 'error')")
+_filter("level_ordinal", "level:>=warn", "level IN ('warn', 'error', 'fatal')")
+_filter("level_below", "level:<warn", "level IN ('trace', 'debug', 'info')")
+_filter("level_unknown", "level:audit", "level = 'audit'")
+_filter("negated", "-level:info", "NOT coalesce(level = 'info', FALSE)")
+_filter("exists", "ts:*", "ts IS NOT NULL")
+_filter("absent", "level:none", "level IS NULL")
+_filter("bag_numeric", "k:>=50", "TRY_CAST(k AS DOUBLE) >= 50")
+_filter("bag_less", "k:<10 -k:3", "TRY_CAST(k AS DOUBLE) < 10 AND NOT coalesce(k = '3', FALSE)")
+_filter("bag_eq", "k:7", "k = '7'")
+_filter("value_list", "k:1,2,3", "k IN ('1', '2', '3')")
+_filter("text_order", 'message:>"purchase by user 5"', "message > 'purchase by user 5'")
+_filter("typed_number", "user_id:>=100 user_id:<=200", "user_id BETWEEN 100 AND 200")
+_filter("typed_misfit", "user_id:abc", "FALSE")
+_filter("free_text", "error", "message ILIKE '%error%' OR fields ILIKE '%error%' OR raw ILIKE '%error%'")
+_filter("free_text_phrase", '"by user 12" -purchase', "(message LIKE '%by user 12%' OR raw LIKE '%by user 12%') AND NOT message LIKE '%purchase%'")
+_filter("smart_case", "message~User", "message LIKE '%User%'")
+_filter("smart_case_low", "message~ERROR,click", "message LIKE '%ERROR%' OR message ILIKE '%click%'")
+_filter("literal_not_regex", 'message~"user 1."', "message LIKE '%user 1.%'")
+_filter("regex", r"message~/user 1\d$/", r"regexp_matches(message, 'user 1\d$')")
+_filter("regex_negated", r"-message~/user \d+5$/", r"NOT coalesce(regexp_matches(message, 'user \d+5$'), FALSE)")
+_filter("source_prefix", "source:svc-1", "source = 'svc-1'")
+_filter("file_base", "file:svc-1.log", "file = 'svc-1.log' OR file LIKE '%/svc-1.log'")
+_filter("file_glob", "file:svc-[!0-2]*", "file GLOB 'svc-[!0-2]*' OR file GLOB '*/svc-[!0-2]*'")
+_filter("unparsed", "parsed:false", "NOT parsed")
+_filter("time_between", 'between:"2024-01-05T06:00:00Z - 2024-01-06T12:00:00Z"', "ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-06 12:00:00'")
+_filter("time_after", "after:2024-01-20 level:error", "ts >= TIMESTAMP '2024-01-20' AND level = 'error'")
+_filter("time_on", "on:2024-01-07", "ts >= TIMESTAMP '2024-01-07' AND ts < TIMESTAMP '2024-01-08'")
+_filter("time_last", "last:3d", "ts >= (SELECT max(ts) FROM logs) - INTERVAL 3 DAY AND ts <= (SELECT max(ts) FROM logs)")
+_filter("time_excluded", "-on:2024-01-07 -on:2024-01-09", "NOT coalesce(ts >= TIMESTAMP '2024-01-07' AND ts < TIMESTAMP '2024-01-08', FALSE) AND NOT coalesce(ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-10', FALSE)")
+_filter("time_intersect", "after:2024-01-10 before:2024-01-11", "ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'")
+
+
+def _pattern_filter(x: Logs) -> DataFrame:
+    known = x.table.select("pattern_id").distinct().orderBy("pattern_id").first()["pattern_id"]
+    return x.matching(x.plan(f"pattern:{known[:7]}")).select("seq", "pattern_id")
+
+
+_logs_query("filter_pattern_prefix", _pattern_filter, "SELECT seq, pattern_id FROM logs WHERE pattern_id = (SELECT min(pattern_id) FROM logs)")
+
+_PAGE = ("seq", "ts", "level", "source", "message")
+_logs_query("records_oldest", lambda x: records.records(x, x.plan("level:error"), 100, 20, columns=_PAGE), "SELECT seq, ts, level, source, message FROM logs WHERE level = 'error' ORDER BY ts NULLS LAST, seq LIMIT 100 OFFSET 20")
+_logs_query("records_newest", lambda x: records.records(x, x.plan(""), 200, newest=True, columns=_PAGE), "SELECT seq, ts, level, source, message FROM logs ORDER BY ts DESC NULLS LAST, seq DESC LIMIT 200")
+_logs_query("count", lambda x: records.count(x, x.plan("k:>=50 level:*")), "SELECT count(*) AS n FROM logs WHERE TRY_CAST(k AS DOUBLE) >= 50 AND level IS NOT NULL")
+_logs_query(
+    "context",
+    lambda x: records.context(x, x.plan("k:99"), 2, columns=("ts", "message")),
+    "SELECT l.seq, l.file, coalesce(l.k = '99', FALSE) AS hit, l.ts, l.message FROM logs l WHERE EXISTS (SELECT 1 FROM logs h WHERE h.k = '99' AND h.file = l.file AND h.seq BETWEEN l.seq - 2 AND l.seq + 2)",
+)
+_logs_query(
+    "fold",
+    lambda x: records.fold(x, x.plan("")),
+    """, r AS (SELECT *, row_number() OVER (ORDER BY ts NULLS LAST, seq) AS rn FROM logs),
+    g AS (SELECT *, rn - row_number() OVER (PARTITION BY pattern_id ORDER BY rn) AS run FROM r)
+    SELECT count(*) AS repeats, arg_min_null(ts, rn) AS ts, arg_min_null(level, rn) AS level, arg_min_null(source, rn) AS source, arg_min_null(message, rn) AS message FROM g GROUP BY pattern_id, run""",
+)
+
+
+def _stats(name: str, text: str, names: tuple[str, ...], sql: str) -> None:
+    def run(x: Logs) -> DataFrame:
+        out = stats.stats(x, x.plan(text, aggregate=True), names)
+        return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+    _logs_query(f"stats_{name}", run, sql)
+
+
+_stats("global", "level:error stats count(), count_distinct(k), avg(value)", ("n", "kinds", "avg_value"), "SELECT count(*) AS n, count(DISTINCT k) AS kinds, round(avg(value), 6) AS avg_value FROM logs WHERE level = 'error'")
+_stats("empty", "level:fatal stats count(), sum(value)", ("n", "total"), "SELECT count(*) AS n, round(sum(value), 6) AS total FROM logs WHERE level = 'fatal'")
+_stats("by_level", "stats count(), count(ts) by level", ("level", "n", "dated"), "SELECT level, count(*) AS n, count(ts) AS dated FROM logs WHERE level IS NOT NULL GROUP BY level")
+_stats("by_two", "stats count(), max(k) by source, level", ("source", "level", "n", "most"), "SELECT source, level, count(*) AS n, max(TRY_CAST(k AS DOUBLE)) AS most FROM logs WHERE level IS NOT NULL GROUP BY source, level")
+_stats("sum_min_max", "stats sum(value), min(value), max(value), avg(k) by event_type", ("event_type", "total", "least", "most", "mean_k"), "SELECT event_type, round(sum(value), 6) AS total, round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(TRY_CAST(k AS DOUBLE)), 6) AS mean_k FROM logs GROUP BY event_type")
+_stats("quantiles", "stats p50(value), p95(value), p99(k) by source", ("source", "p50", "p95", "p99_k"), "SELECT source, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(TRY_CAST(k AS DOUBLE), 0.99), 6) AS p99_k FROM logs GROUP BY source")
+_BIN = "time_bucket(INTERVAL {}, ts, (SELECT date_trunc('day', min(ts)) FROM logs))"
+_stats("bin_hour", "stats count(), avg(value) by bin(1h)", ("bin", "n", "avg_value"), f"SELECT {_BIN.format('1 HOUR')} AS bin, count(*) AS n, round(avg(value), 6) AS avg_value FROM logs WHERE ts IS NOT NULL GROUP BY 1")
+_stats("bin_day_level", "stats count() by bin(1d), level", ("bin", "level", "n"), f"SELECT {_BIN.format('1 DAY')} AS bin, level, count(*) AS n FROM logs WHERE ts IS NOT NULL AND level IS NOT NULL GROUP BY 1, 2")
+_stats("bin_odd", "after:2024-01-03T10:17:00Z stats count() by bin(7m)", ("bin", "n"), "SELECT time_bucket(INTERVAL 7 MINUTE, ts, TIMESTAMP '2024-01-03') AS bin, count(*) AS n FROM logs WHERE ts >= TIMESTAMP '2024-01-03 10:17:00' GROUP BY 1")
+_logs_query(
+    "stats_population",
+    lambda x: stats.population(x, x.plan("k:>=20 stats count() by level, bin(1h)", aggregate=True)).toDF("matched", "grouped", "no_timestamp", "absent_level", "absent_bin", "empty_bins"),
+    f""", m AS (SELECT *, {_BIN.format('1 HOUR')} AS b FROM logs WHERE TRY_CAST(k AS DOUBLE) >= 20), g AS (SELECT * FROM m WHERE level IS NOT NULL AND b IS NOT NULL)
+    SELECT count(*) AS matched, count(*) FILTER (level IS NOT NULL AND b IS NOT NULL) AS grouped, count(*) FILTER (ts IS NULL) AS no_timestamp, count(*) FILTER (level IS NULL) AS absent_level,
+    count(*) FILTER (b IS NULL) AS absent_bin, (SELECT date_diff('hour', min(b), max(b)) + 1 - count(DISTINCT b) FROM g) AS empty_bins FROM m""",
+)
+_logs_query(
+    "histogram",
+    lambda x: breakdown.histogram(x, x.plan('between:"2024-01-02T00:00:00Z - 2024-01-04T00:00:00Z"'), 60),
+    """, w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS bucket, coalesce(level, 'none') AS level FROM logs WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-04')
+    SELECT bucket, level, count(n) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-03 23:00:00', INTERVAL 1 HOUR)) AS bucket) CROSS JOIN (SELECT DISTINCT level FROM w)
+    LEFT JOIN (SELECT bucket, level, 1 AS n FROM w) USING (bucket, level) GROUP BY bucket, level""",
+)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+_logs_query("top_field", lambda x: _rounded(breakdown.top(x, x.plan("level:*"), "k", -1)), "SELECT k AS value, count(*) AS n, round(count(*) / (SELECT count(k) FROM logs WHERE level IS NOT NULL), 6) AS share FROM logs WHERE level IS NOT NULL AND k IS NOT NULL GROUP BY k")
+_logs_query("top_regex", lambda x: _rounded(breakdown.top(x, x.plan(""), r"message~/user (\d)\d*$/", -1)), r", m AS (SELECT nullif(regexp_extract(message, 'user (\d)\d*$', 1), '') AS value FROM logs) SELECT value, count(*) AS n, round(count(*) / (SELECT count(value) FROM m), 6) AS share FROM m WHERE value IS NOT NULL GROUP BY value")
+_logs_query("top_totals", lambda x: breakdown.top_totals(x, x.plan("k:<50"), "level"), "SELECT count(*) AS matched, count(level) AS present, count(*) - count(level) AS absent, count(DISTINCT level) AS distinct FROM logs WHERE TRY_CAST(k AS DOUBLE) < 50")
+
+
+def _fields(x: Logs) -> DataFrame:
+    out = breakdown.fields(x, x.plan("source:svc-1"), -1).where("field IN ('level', 'message', 'k', 'source', 'line_no', 'ts', 'parsed')")
+    return out.select("field", "place", "records", F.round("coverage", 6).alias("coverage"), "distinct", F.when(F.col("field") != "parsed", F.col("numeric")).alias("numeric"), F.element_at("examples", 1).alias("example"))
+
+
+_FIELD = "SELECT '{0}' AS field, '{1}' AS place, count({2}) AS records, round(count({2}) / count(*), 6) AS coverage, count(DISTINCT {2}) AS distinct, {3} AS numeric, (SELECT v FROM (SELECT CAST({2} AS VARCHAR) AS v, count(*) AS n FROM m WHERE {2} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1)) AS example FROM m"
+_logs_query("fields", _fields, ", m AS (SELECT * FROM logs WHERE source = 'svc-1') " + " UNION ALL ".join(_FIELD.format(f, "bag" if f == "k" else "column", f, {"parsed": "NULL", "ts": "0"}.get(f, f"count(TRY_CAST({f} AS DOUBLE))")) for f in ("level", "message", "k", "source", "line_no", "parsed", "ts")))
+_logs_query(
+    "patterns",
+    lambda x: breakdown.patterns(x, x.plan("k:<80"), -1).withColumn("sources", F.array_join("sources", ",")).drop("before"),
+    """SELECT pattern_id, min(pattern) AS pattern, count(*) AS n, min(ts) AS first, max(ts) AS last, count(*) FILTER (ts IS NULL) AS undated, count(*) FILTER (NOT parsed) AS unparsed, min(message) AS example,
+    string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM logs WHERE TRY_CAST(k AS DOUBLE) < 80 GROUP BY pattern_id""",
+)
+_logs_query("patterns_new_since", lambda x: breakdown.patterns(x, x.plan("user_id:<3"), -1, "12h").select("pattern_id", "n", "undated"), "SELECT pattern_id, count(*) AS n, count(*) FILTER (ts IS NULL) AS undated FROM logs WHERE user_id < 3 GROUP BY pattern_id HAVING count(*) FILTER (ts < (SELECT max(ts) FROM logs) - INTERVAL 12 HOUR) = 0 AND count(ts) > 0")
+_logs_query("pattern_totals", lambda x: breakdown.pattern_totals(x, x.plan("")), "SELECT count(*) AS records, count(DISTINCT pattern_id) AS templates, count(*) FILTER (NOT parsed) AS unparsed_records, count(DISTINCT pattern_id) FILTER (NOT parsed) AS unparsed_templates FROM logs")
+
+
+def _templated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = logs(spark, sf_dir, templates=True)
+    return x.table.groupBy("pattern_id", "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["template_messages"] = _templated
+ORACLE_SQL["template_messages"] = f"WITH logs AS ({LOGS_SQL}), t AS (SELECT regexp_replace(message, '[0-9]+', '<num>', 'g') AS pattern FROM logs) SELECT left(sha256(pattern), 12) AS pattern_id, pattern, count(*) AS n FROM t GROUP BY pattern"
+_HOPS = ", h AS (SELECT *, CASE WHEN ts IS NOT NULL THEN date_diff('microsecond', lag(ts) OVER (PARTITION BY ts IS NULL ORDER BY ts, seq), ts) END AS gap_us FROM logs WHERE user_id = 42 OR message LIKE '%42%' OR raw LIKE '%42%')"
+_logs_query("trace_hops", lambda x: investigate.trace(x, x.plan(""), "42", "user_id"), _HOPS + " SELECT seq, ts, source, level, message, user_id <> 42 AS text_only, gap_us FROM h")
+_logs_query("trace_summary", lambda x: investigate.trace_summary(investigate.trace(x, x.plan(""), "42", "user_id")), _HOPS + " SELECT count(*) AS hops, date_diff('microsecond', min(ts), max(ts)) AS span_us, count(*) FILTER (ts IS NULL) AS undated, count(*) FILTER (user_id <> 42) AS text_only, (SELECT seq FROM h WHERE gap_us IS NOT NULL ORDER BY gap_us DESC, seq LIMIT 1) AS slowest_seq, max(gap_us) AS slowest_gap_us FROM h")
+_logs_query("trace_reach", lambda x: investigate.trace_reach(x, x.plan(""), "977", "user_id"), ", g AS (SELECT source, count(*) AS records, count(*) FILTER (user_id = 977 OR message LIKE '%977%' OR raw LIKE '%977%') AS hits, count(user_id) AS carriers FROM logs GROUP BY source) SELECT *, CASE WHEN hits > 0 THEN 'present' WHEN carriers > 0 THEN 'silent' ELSE 'blind' END AS reach FROM g")
+
+_BEFORE, _AFTER = ("after:2024-01-02T00:00:00Z before:2024-01-09T00:00:00Z", "after:2024-01-15T00:00:00Z before:2024-01-20T00:00:00Z")
+_WINDOWS = ", w AS (SELECT *, ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-09' AS b, ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-20' AS a FROM logs WHERE ts IS NOT NULL), s AS (SELECT count(*) FILTER (b) AS nb, count(*) FILTER (a) AS na FROM w)"
+_ITEMS = """, l AS (SELECT 'pattern' AS kind, 'pattern_id' AS name, pattern_id AS value, a, b FROM w UNION ALL SELECT 'value', 'k', k, a, b FROM w WHERE k IS NOT NULL UNION ALL SELECT 'value', 'level', level, a, b FROM w WHERE level IS NOT NULL UNION ALL SELECT 'value', 'source', source, a, b FROM w),
+ i AS (SELECT kind, name, value, count(*) FILTER (b) AS before, count(*) FILTER (a) AS after FROM l WHERE a OR b GROUP BY kind, name, value UNION ALL SELECT 'field', name, NULL, count(*) FILTER (b), count(*) FILTER (a) FROM l WHERE kind = 'value' AND (a OR b) GROUP BY name)"""
+_logs_query("diff_items", lambda x: investigate.diff_items(x, x.plan(_BEFORE), x.plan(_AFTER)), _WINDOWS + _ITEMS + " SELECT * FROM i")
+_G = "CASE WHEN {0} > 0 THEN {0} * ln({0} / ((before + after) * {1} / (nb + na))) ELSE 0 END"
+_logs_query(
+    "diff_surprise",
+    lambda x: _rounded(investigate.diff(x, x.plan(_BEFORE), x.plan(_AFTER), -1)),
+    _WINDOWS + _ITEMS + f", g AS (SELECT i.*, round(2 * ({_G.format('before', 'nb')} + {_G.format('after', 'na')}), 9) AS surprise FROM i, s) SELECT kind, name, value, before, after, CASE WHEN before = 0 THEN 'appeared' WHEN after = 0 THEN 'vanished' ELSE 'shifted' END AS change, round(surprise, 6) AS surprise, round(before / 604800.0, 6) AS before_rate, round(after / 432000.0, 6) AS after_rate FROM g WHERE surprise > 0",
+)
+_logs_query("diff_sizes", lambda x: investigate.window_sizes(x, x.plan(_BEFORE), x.plan(_AFTER)), _WINDOWS + " SELECT nb AS n_before, na AS n_after, (SELECT count(*) FROM w WHERE a AND b) AS overlap, (SELECT count(*) FROM logs WHERE ts IS NULL) AS undated FROM s")
+_logs_query("explain_terms", lambda x: investigate.explain(x, x.plan("level:error k:>=98 -source:svc-2")), "SELECT '*' AS term, count(*) AS n FROM logs UNION ALL SELECT 'level:error', count(*) FROM logs WHERE level = 'error' UNION ALL SELECT 'k:>=98', count(*) FROM logs WHERE TRY_CAST(k AS DOUBLE) >= 98 UNION ALL SELECT '-source:svc-2', count(*) FROM logs WHERE source <> 'svc-2'")
+_logs_query(
+    "sources_summary",
+    lambda x: breakdown.sources(x),
+    """, g AS (SELECT source, file, format, count(*) AS records, count(*) FILTER (NOT parsed) AS unparsed, count(*) FILTER (ts IS NULL) AS undated, count(*) FILTER (ts IS NOT NULL AND NOT ts_zoned) AS zone_assumed, min(ts) AS first, max(ts) AS last FROM logs GROUP BY ALL)
+    SELECT *, CASE WHEN records = undated THEN 'none' WHEN zone_assumed = 0 THEN 'known' WHEN zone_assumed = records - undated THEN 'assumed' ELSE 'mixed' END AS zone FROM g""",
+)
+_logs_query("time_range", lambda x: x.time_range(), "SELECT min(ts) AS first, max(ts) AS last, count(*) FILTER (ts IS NULL) AS undated FROM logs")
+_logs_query("field_keys", lambda x: x.table.select(F.explode(F.map_keys("bag")).alias("key")).distinct(), "SELECT DISTINCT unnest(json_keys(fields)) AS key FROM logs")
+
+QUERIES.update(relational.QUERIES)
+ORACLE_SQL.update(relational.ORACLE_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Errors and worse: how many, and how large, by type of event."""
+    x = logs(spark, sf_dir)
+    return stats.stats(x, x.plan("level:>=warn stats count(), p95(value) by event_type", aggregate=True), ("event_type", "n", "p95_value"))
