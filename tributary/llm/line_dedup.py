@@ -165,7 +165,7 @@ def recurring_templates(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFr
     templates = materialize(_spread(lines, "leaf", "template"), "templates")
     exact = templates.where(_recurs(least)).select("template")
     several = templates.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("documents").alias("n")).where(f"kinds > 1 AND n >= {least}").select("leaf")
-    leaves = materialize(_spread(lines.join(several, "leaf", "left_semi"), "leaf").where(_recurs(least)), "leaves")
+    leaves = materialize(_spread(lines, "leaf").where(_recurs(least)).join(several, "leaf", "left_semi"), "leaves")
     if leaves.isEmpty():
         return exact
     alike = materialize(_generalised(docs, templates, leaves), "alike")
@@ -208,7 +208,7 @@ def _blocks(templates: DataFrame, size: int) -> Iterator[np.ndarray]:
     parts = max(1, -(-templates.count() // size))
     for n in range(parts):
         part = templates.where(F.pmod(F.xxhash64("template"), F.lit(parts)) == n) if parts > 1 else templates
-        yield np.sort(part.toPandas()["template"].to_numpy(np.int64))
+        yield np.sort(part.toArrow().column("template").to_numpy())
 
 
 def drop_templates(docs: DataFrame, templates: DataFrame, report: bool = False, block: int = BLOCK_TEMPLATES) -> DataFrame:
