@@ -1,9 +1,10 @@
 """Log files as a Spark data source: ``spark.read.format("loglines")`` and ``spark.readStream``.
 
-A partition is one file: a format is chosen from its beginning, and continuation
-lines need the line before. Rows leave as Arrow batches. ``seq`` is dense: the
-files' record counts, read from a first light pass over the same source, give
-each file its base.
+A partition is a file, or a stretch of a large uncompressed one: a stretch begins at a
+line, leaves continuation lines at its start to the stretch before and follows
+its own last record beyond its end. The format is chosen from the file's
+beginning. Rows leave as Arrow batches. ``seq`` and ``line_no`` are dense: parts number
+their records and lines from 1, and one small row a part gives each its base.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ from tributary.sources.reader import SAMPLE_LINES, ReadStats, read, row, split_l
 from tributary.sources.walk import Found, Listing, logical_source, walk_all
 
 #: Rows of the source: those of the logs table, with the file's place and the record's place in it instead of seq.
-ROWS = T.StructType([T.StructField("file_ord", T.IntegerType()), T.StructField("rec_no", T.LongType()), *LOGS_SCHEMA.fields[1:]])
-STATS = "file string, format string, lines long, records long, unparsed long, no_timestamp long, continuation long, truncated long, blank long, zone_assumed long, invalid_utf8 long, zone_abbrevs map<string,int>"
+ROWS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("rec_no", T.LongType()), *LOGS_SCHEMA.fields[1:]])
+STATS = "part int, file string, format string, lines long, records long, unparsed long, no_timestamp long, continuation long, truncated long, blank long, zone_assumed long, invalid_utf8 long, zone_abbrevs map<string,int>"
 _ARROW = pa.schema(
-    [("file_ord", pa.int32()), ("rec_no", pa.int64()), ("ts", pa.timestamp("us")), ("ts_zoned", pa.bool_()), ("level", pa.string()), ("message", pa.string()), ("source", pa.string()), ("file", pa.string()), ("format", pa.string()), ("line_no", pa.int64()), ("parsed", pa.bool_()), ("raw", pa.string()), ("fields", pa.string())]
+    [("part", pa.int32()), ("rec_no", pa.int64()), ("ts", pa.timestamp("us")), ("ts_zoned", pa.bool_()), ("level", pa.string()), ("message", pa.string()), ("source", pa.string()), ("file", pa.string()), ("format", pa.string()), ("line_no", pa.int64()), ("parsed", pa.bool_()), ("raw", pa.string()), ("fields", pa.string())]
     + [("bag", pa.map_(pa.string(), pa.string())), ("kinds", pa.map_(pa.string(), pa.string())), ("pattern", pa.string()), ("pattern_id", pa.string())]
 )
 BATCH = 2000
+SPLIT_BYTES = 128 << 20
 
 
 def paths_of(options: dict) -> list[str]:
@@ -63,14 +65,40 @@ def format_for(path: str, codec: str | None, override: str | None) -> Format:
 class FilePart(InputPartition):
     order: int
     file: Found
+    start: int = 0
+    stop: int | None = None  # the whole file
+
+
+def parts_of(files: list[Found], size: int = SPLIT_BYTES) -> list[FilePart]:
+    """Whole files, and stretches of uncompressed files larger than ``size``, in reading order."""
+    out: list[FilePart] = []
+    for f in files:
+        if f.codec is not None or f.size <= size:
+            out.append(FilePart(len(out), f))
+        else:
+            out += [FilePart(len(out) + n, f, at, min(at + size, f.size)) for n, at in enumerate(range(0, f.size, size))]
+    return out
+
+
+def open_part(part: FilePart):
+    """The part's stream at its first line start, and the offsets of that and of the first line that is no longer its own."""
+    f = open_decoded(part.file.path, part.file.codec)
+    start = part.start
+    if start:
+        f.seek(start - 1)
+        start += len(f.readline()) - 1
+    return f, start, part.stop
 
 
 def rows_of(part: FilePart, parser: str | None, zone: str, stats: ReadStats | None = None) -> Iterator[dict]:
     source = logical_source(part.file.path)
     fmt = format_for(part.file.path, part.file.codec, parser)
-    with open_decoded(part.file.path, part.file.codec) as f:
-        for n, entry in enumerate(read(f, fmt, zone, stats), 1):
-            yield {"file_ord": part.order, "rec_no": n, **row(entry, source, part.file.path)}
+    f, start, stop = open_part(part)
+    with f:
+        if stop is not None and start >= stop:
+            return
+        for n, entry in enumerate(read(f, fmt, zone, stats, start=start, stop=stop), 1):
+            yield {"part": part.order, "rec_no": n, **row(entry, source, part.file.path)}
 
 
 def batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
@@ -93,25 +121,35 @@ def batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
 
 
 class LogReader(DataSourceReader):
-    def __init__(self, options: dict, only_stats: bool):
+    def __init__(self, options: dict, only_stats: str):
         self.options, self.only_stats = dict(options), only_stats
         self.parser, self.zone = options.get("parser"), options.get("sourceTz", options.get("sourcetz", "UTC"))
 
     def partitions(self) -> list[FilePart]:
-        return [FilePart(n, f) for n, f in enumerate(list_files(self.options).files)]
+        return parts_of(list_files(self.options).files, int(self.options.get("splitBytes", self.options.get("splitbytes", SPLIT_BYTES))))
 
     def read(self, partition: FilePart) -> Iterator:
-        if not isinstance(partition, FilePart):
+        if not isinstance(partition, FilePart):  # nothing to read
             return
-        if not self.only_stats:
+        if self.only_stats != "no":
+            yield from self._figures(partition)
+        else:
             yield from batches(rows_of(partition, self.parser, self.zone))
-            return
-        stats = ReadStats()
-        fmt = format_for(partition.file.path, partition.file.codec, self.parser)
-        with open_decoded(partition.file.path, partition.file.codec) as f:
-            for _ in read(f, fmt, self.zone, stats):
+
+    def _figures(self, part: FilePart) -> Iterator[tuple]:
+        stats, name = ReadStats(), ""
+        if self.only_stats == "lines":
+            f, start, stop = open_part(part)
+            with f:
+                for _, _, offset in split_lines(f, offset=start):
+                    if stop is not None and offset >= stop:
+                        break
+                    stats.lines += 1
+        else:
+            name = format_for(part.file.path, part.file.codec, self.parser).name
+            for _ in rows_of(part, self.parser, self.zone, stats):
                 pass
-        yield (partition.file.path, fmt.name, stats.lines, stats.records, stats.unparsed, stats.no_timestamp, stats.continuation, stats.truncated, stats.blank, stats.zone_assumed, stats.invalid_utf8, dict(stats.zone_abbrevs))
+        yield (part.order, part.file.path, name, stats.lines, stats.records, stats.unparsed, stats.no_timestamp, stats.continuation, stats.truncated, stats.blank, stats.zone_assumed, stats.invalid_utf8, dict(stats.zone_abbrevs))
 
 
 class LogStreamReader(SimpleDataSourceStreamReader):
@@ -183,7 +221,7 @@ def poll(file: Found, state: dict | None, order: int, parser: str | None, zone:
     entries = list(read(io.BytesIO(complete), fmt, zone, first_line=state["line"]))
     held = entries[-1:] if entries and not still else []
     done = entries[: len(entries) - len(held)]
-    rows = [{"file_ord": order, "rec_no": state["rec"] + n, **row(e, logical_source(file.path), file.path)} for n, e in enumerate(done, 1)]
+    rows = [{"part": order, "rec_no": state["rec"] + n, **row(e, logical_source(file.path), file.path)} for n, e in enumerate(done, 1)]
     used = held[0].offset if held else len(complete)
     size = min(4096, seen)
     after = {"head": head_hash(file.path, size) if file.codec is None and size else "", "head_size": size if file.codec is None else 0, "offset": state["offset"] + used, "line": state["line"] + complete[:used].count(b"\n"), "rec": state["rec"] + len(done), "seen": seen, "still": still, "format": fmt.name if entries else ""}
@@ -204,10 +242,10 @@ class LogLines(DataSource):
         return "loglines"
 
     def schema(self):
-        return STATS if self.options.get("stats") == "true" else ROWS
+        return ROWS if self.options.get("stats", "no") == "no" else STATS
 
     def reader(self, schema) -> DataSourceReader:
-        return LogReader(self.options, self.options.get("stats") == "true")
+        return LogReader(self.options, self.options.get("stats", "no"))
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return LogStreamReader(self.options)
@@ -224,24 +262,33 @@ def _options(paths: list[str], **options) -> dict[str, str]:
 def read_stats(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     """Per file: what was read, and what could not be."""
     register(spark)
-    return spark.read.format("loglines").options(**_options(paths, **options), stats="true").load()
+    parts = spark.read.format("loglines").options(**_options(paths, **options), stats="all").load()
+    figures = [F.sum(c).alias(c) for c, t in parts.dtypes if t == "bigint"]
+    whole = parts.groupBy("file", "format").agg(*figures)
+    named = parts.select("file", F.explode("zone_abbrevs").alias("name", "n")).groupBy("file", "name").agg(F.sum("n").cast("int").alias("n"))
+    named = named.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("zone_abbrevs"))
+    return whole.join(named, "file", "left").orderBy("file")
 
 
-def with_seq(rows: DataFrame) -> DataFrame:
-    """Dense ``seq`` from the files' order: a base for each file plus the record's place; one small row a file is joined back."""
+def with_seq(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Dense ``seq`` and ``line_no``: the parts' bases are one small row a part and are joined back."""
     from pyspark.sql.window import Window
 
-    counts = rows.groupBy("file_ord").agg(F.max("rec_no").alias("n"))
-    before = Window.orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    bases = counts.select("file_ord", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    numbered = rows.join(bases, "file_ord").withColumn("seq", (F.col("base") + F.col("rec_no")).cast("long"))
+    counts = rows.groupBy("part").agg(F.max("rec_no").alias("n"))
+    counts = lines.select("part", F.col("file").alias("of"), "lines").join(counts, "part", "left")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    of_file = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("lines").over(of_file), F.lit(0)).alias("line_base"))
+    numbered = rows.join(bases, "part").withColumns({"seq": (F.col("base") + F.col("rec_no")).cast("long"), "line_no": F.col("line_no") + F.col("line_base")})
     return numbered.select(*LOGS_SCHEMA.names)
 
 
 def read_logs(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     """Files below ``paths`` as a logs table."""
     register(spark)
-    return with_seq(spark.read.format("loglines").options(**_options(paths, **options)).load())
+    own = _options(paths, **options)
+    lines = spark.read.format("loglines").options(**own, stats="lines").load()
+    return with_seq(spark.read.format("loglines").options(**own).load(), lines)
 
 
 def follow_logs(spark: SparkSession, paths: list[str], **options) -> DataFrame:

@@ -64,9 +64,8 @@ def valid_text(data: bytes) -> tuple[str, bool]:
     return "".join(out), False
 
 
-def split_lines(stream: BinaryIO, most: int = MOST_LINE) -> Iterator[tuple[bytes, bool, int]]:
+def split_lines(stream: BinaryIO, most: int = MOST_LINE, offset: int = 0) -> Iterator[tuple[bytes, bool, int]]:
     """(line, cut, offset): without line end; what exceeds ``most`` bytes is dropped up to the line end."""
-    offset = 0
     while True:
         line = stream.readline(most + 1)
         if not line:
@@ -85,11 +84,16 @@ def split_lines(stream: BinaryIO, most: int = MOST_LINE) -> Iterator[tuple[bytes
         yield line.removesuffix(b"\r"), cut, start
 
 
-def read(stream: BinaryIO, fmt: Format | None = None, zone: str = "UTC", stats: ReadStats | None = None, first_line: int = 1) -> Iterator[Entry]:
-    """Logical records of a stream. A line that no format understands is kept raw; none is lost."""
+def read(stream: BinaryIO, fmt: Format | None = None, zone: str = "UTC", stats: ReadStats | None = None, first_line: int = 1, start: int = 0, stop: int | None = None) -> Iterator[Entry]:
+    """Logical records of a stream. A line that no format understands is kept raw; none is lost.
+
+    With ``start`` and ``stop`` (offsets of line starts) only the records that begin
+    between them: continuation lines at the start belong to the part
+    before, and those after the stop to the last record.
+    """
     stats = stats if stats is not None else ReadStats()
     tz = ZoneInfo(zone)
-    lines = split_lines(stream)
+    lines = split_lines(stream, offset=start)
     if fmt is None:
         held = []
         for item in lines:
@@ -101,12 +105,18 @@ def read(stream: BinaryIO, fmt: Format | None = None, zone: str = "UTC", stats:
         lines = (x for part in (held, rest) for x in part)
     open_: Entry | None = None
     for number, (data, cut, offset) in enumerate(lines, first_line):
-        stats.lines += 1
-        stats.truncated += cut
+        beyond = stop is not None and offset >= stop
+        if not beyond:
+            stats.lines += 1
         if not data.strip():
-            stats.blank += 1
+            stats.blank += not beyond
             continue
         text, valid = valid_text(data)
+        if beyond and not (open_ is not None and fmt.continues(text)):
+            break
+        if start and open_ is None and not stats.records and fmt.continues(text):
+            continue
+        stats.truncated += cut
         if open_ is not None and fmt.continues(text):
             stats.continuation += 1
             open_.raw += "\n" + text
