@@ -1 +1 @@
-
+"""Structured Streaming: following files, hubs, windowed counts."""
