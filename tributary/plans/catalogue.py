@@ -12,11 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.functions import udfs
+from tributary.functions.template import id_column, template_column
 from tributary.model import Promotion
 from tributary.operators import breakdown, investigate, records, stats
 from tributary.plans import relational
 from tributary.plans.adapters import logs_from_events
 from tributary.plans.session import Logs
+from tributary.plans.sql import run_sql
+from tributary.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -203,6 +207,57 @@ _logs_query(
 _logs_query("time_range", lambda x: x.time_range(), "SELECT min(ts) AS first, max(ts) AS last, count(*) FILTER (ts IS NULL) AS undated FROM logs")
 _logs_query("field_keys", lambda x: x.table.select(F.explode(F.map_keys("bag")).alias("key")).distinct(), "SELECT DISTINCT unnest(json_keys(fields)) AS key FROM logs")
 
+
+
+# --- streams and text functions ---------------------------------------------------
+
+
+def _stream_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = windows.binned(windows.stream_of(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"])
+    return windows.run_to_table(spark, found, windows.shared_folder(spark))
+
+
+def _stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = windows.binned(windows.stream_of(spark, sf_dir, "events"), "ts", "2 hours", [], slide="1 hour")
+    return windows.run_to_table(spark, found, windows.shared_folder(spark))
+
+
+def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = windows.sessions(windows.stream_of(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"])
+    return windows.run_to_table(spark, found, windows.shared_folder(spark)).select("start", "user_id", "n")
+
+
+QUERIES |= {"stream_bins": _stream_bins, "stream_sliding": _stream_sliding, "stream_sessions": _stream_sessions}
+ORACLE_SQL |= {
+    "stream_bins": "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS bin, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_sliding": "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR * i AS bin, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS i) GROUP BY 1",
+    "stream_sessions": """WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, TRUE) AS fresh FROM events),
+    s AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""",
+}
+
+
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text functions in SQL over the events' messages."""
+    udfs.register(spark)
+    views = {"logs": logs(spark, sf_dir).table}
+    return run_sql(spark, "SELECT template(message) AS t, template_id(message) AS id, norm_level(upper(event_type)) AS level, log_time(cast(ts AS string)) AS at, count(*) AS n FROM logs GROUP BY ALL", views)
+
+
+def _parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the conversations through the line parser."""
+    udfs.register(spark)
+    lines = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return run_sql(spark, "SELECT conv_id, turn, p.* FROM lines, LATERAL parse_line(line) p", {"lines": lines})
+
+
+def _template_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return docs.groupBy(template_column(F.col("line")).alias("pattern")).agg(F.count(F.lit(1)).alias("n")).withColumn("pattern_id", id_column(F.col("pattern")))
+
+
+QUERIES |= {"sql_functions": _functions, "parse_text_lines": _parsed_lines, "template_documents": _template_documents}
+ORACLE_SQL["sql_functions"] = f"""WITH logs AS ({LOGS_SQL}) SELECT regexp_replace(message, '[0-9]+', '<num>', 'g') AS t, left(sha256(regexp_replace(message, '[0-9]+', '<num>', 'g')), 12) AS id, event_type AS level, ts AS at, count(*) AS n FROM logs GROUP BY ALL"""
+
 QUERIES.update(relational.QUERIES)
 ORACLE_SQL.update(relational.ORACLE_SQL)
 

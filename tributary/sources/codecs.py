@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import lzma
 from typing import BinaryIO
 
@@ -26,7 +27,7 @@ def decoded(raw: BinaryIO, codec: str | None) -> BinaryIO:
     if codec == "zstd":
         import zstandard
 
-        return zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True, closefd=True)
+        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True, closefd=True))
     return raw
 
 

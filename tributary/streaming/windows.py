@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 
@@ -44,8 +42,4 @@ def stream_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the tables as a file stream."""
     path = f"{sf_dir}/{table}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").load(path if os.path.isdir(path) else sf_dir.rstrip("/"), format="parquet")
-
-
-def remove(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")  # a pattern, as a table may be a file or a folder
