@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,11 +71,14 @@ def test_ids_and_places(spark):
 
 
 def test_a_forgetful_cache_gives_the_same_ids(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 3)
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", 2)
     path = tokenizer_path(packing.VOCABULARY)
     tokenizer, ids = Tokenizer.from_file(path), packing.WordIds(path)
     for text in [t for t in TEXTS if t] * 2:
-        assert np.frombuffer(ids.batch([text.encode()])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        found, bounds = ids.batch(pa.array([text, None, text]))
+        want = tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        assert found.tolist() == [*want, 0, *want] and bounds.tolist() == [0, len(want), len(want) + 1, 2 * len(want) + 1]
 
 
 @pytest.mark.parametrize("n", [0, 1])

@@ -21,44 +21,47 @@ length of full pieces gathers in a task, and look their place up.
 from __future__ import annotations
 
 import bisect
-import itertools
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, raw_texts, tokenizer_path
+from .common import materialize, tokenizer_path
 
 CAPACITY, END_ID = 2048, 0
 #: Large pieces are those over capacity / SMALL; with 400 groups the plan stays within 0.1 % of best fit decreasing.
 GROUPS, SMALL = 400, 2.5
 BUCKETS = 512
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; older ones are forgotten beyond twice as many.
-CACHE_WORDS = 500_000
+#: Chunks that are no plain words whose ids a worker remembers; words that are encoded in one call.
+CACHE_CHUNKS, WORDS_AT_ONCE = 50_000, 20_000
 #: Bytes of text that are split into words at once.
-BATCH_TEXT = 4 << 20
+BATCH_TEXT = 8 << 20
 
-_PUNCTUATION = frozenset(b".,;:!?)")
+#: Lower-case letters that neither lower-casing nor composition changes, and marks that may end a word.
+_LETTERS, _MARKS = "a-zß-öø-ÿœ", ".,;:!?)"
+_WORD, _WORD_MARK, _MARK_END = f"^[{_LETTERS}]+$", f"^[{_LETTERS}]+[{_MARKS}]$", f"[{_MARKS}]$"
 
 
 class WordIds:
-    """Token ids of texts as little-endian uint32 bytes, remembered by white-space separated chunk.
+    """Token ids of texts, by the distinct white-space separated chunks of a batch.
 
     The vocabulary's normalizer and pre-tokenizer never look across white space,
     so a text's ids are those of its chunks in a row. A-Z are lower-cased
     first, as the normalizer would, except next to ``<|``, where a special
     token may be spelled.
 
-    Chunks of letters that the normalizer leaves alone are one pre-token each. They
-    are encoded many at a time, joined by spaces, by the bare model; the ids that
-    end a word tell them apart again.
+    A chunk of Latin lower-case letters is one word to the pre-tokenizer and is left alone by
+    the normalizer; a mark that ends it is a token of its own. Such words are encoded
+    together, joined by spaces, and told apart by the ids that end a
+    word. Other chunks go through the whole tokenizer, and are remembered.
+    Everything else is done in Arrow and numpy, without an object a chunk.
     """
 
     def __init__(self, path: str):
@@ -66,85 +69,108 @@ class WordIds:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
-        from tokenizers import Regex, Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": None}
-        self.bare = Tokenizer.from_str(json.dumps(spec))
-        split = pre_tokenizers.Split(Regex(" "), "removed")
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain, self.bare = (Tokenizer.from_str(json.dumps(spec)) for _ in range(2))
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # for ASCII, which the byte mapping leaves as it is
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self.ends[[n for token, n in spec["model"]["vocab"].items() if token.endswith("</w>")]] = True
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.bare.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(stops) != len(words):
-            raise ValueError("the vocabulary's words do not end with </w>")
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *stops[:-1]], stops)]
-
-    def _encode(self, chunks: list[bytes]) -> None:
-        words, keys, others, rest = [], [], [], []
-        for c in chunks:
-            x = c.decode("utf-8", "replace")
-            if x.isascii():
-                plain = x.isalpha() and x.islower()
-            else:  # as the normalizer lower-cases, letter by letter (a final sigma is no exception to it)
-                plain = x.isalpha() and "\u03a3" not in x and (x := x.lower()).isalpha() and unicodedata.is_normalized("NFC", x)
-            if plain:
-                words.append(x)
-                keys.append(c)
-            else:
-                others.append(c)
-                rest.append(c.decode("utf-8", "replace"))
-        for at in range(0, len(words), 20_000):
-            self.new.update(zip(keys[at : at + 20_000], self._encode_words(words[at : at + 20_000])))
-        found = self.tokenizer.encode_batch(rest, add_special_tokens=False)
-        self.new.update((c, np.array(x.ids, "<u4").tobytes()) for c, x in zip(others, found))
-
-    def _recall(self, chunks: set[bytes]) -> set[bytes]:
-        """The chunks whose ids aren't remembered; what only the older words hold moves over."""
-        unknown = chunks.difference(self.new)
-        fresh = unknown.difference(self.old)
-        self.new.update((c, self.old[c]) for c in unknown.difference(fresh))
-        return fresh
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        todo, split = set(), []
-        for c in self._recall(chunks):
-            if len(c) > 1 and c[-1] in _PUNCTUATION and (97 <= c[-2] <= 122 or c[-2] > 127 and c[:-1].decode("utf-8", "replace").lower()[-1].isalpha()):
-                split.append(c)  # after a letter the mark starts a token of its own
-                todo.add(c[:-1])
-                todo.add(c[-1:])
-            else:
-                todo.add(c)
-        self._encode(list(self._recall(todo)))
-        new = self.new
-        for c in split:
-            new[c] = new[c[:-1]] + new[c[-1:]]
-
-    def batch(self, raws: list[bytes]) -> list[bytes]:
-        out, held, size = [], [], 0
-        for raw in [*raws, None]:
-            if held and (raw is None or size + len(raw) > BATCH_TEXT):
-                self._learn(set(itertools.chain.from_iterable(held)))
-                out.extend(b"".join(map(self.new.__getitem__, chunks)) for chunks in held)
-                held, size = [], 0
-            if raw is not None:
-                held.append(raw.split() if b"<|" in raw else raw.lower().split())
-                size += len(raw)
-        return out
+        self.marks = pa.array(list(_MARKS))
+        self.mark_ids = np.array([self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in _MARKS], "<u4")
+        self.others: dict[str, np.ndarray] = {}
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and how many each has."""
+        ids, sizes = [], np.zeros(len(words), np.int64)
+        ascii_ = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+        placed = []
+        for model, at in ((self.plain, np.flatnonzero(ascii_)), (self.bare, np.flatnonzero(~ascii_))):
+            for low in range(0, len(at), WORDS_AT_ONCE):
+                part = at[low : low + WORDS_AT_ONCE]
+                text = pc.binary_join(pa.ListArray.from_arrays([0, len(part)], words.take(pa.array(part))), " ")[0].as_py()
+                found = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                stops = np.flatnonzero(self.ends[found]) + 1
+                if len(stops) != len(part):
+                    raise ValueError("the vocabulary's words do not end with </w>")
+                sizes[part] = np.diff(np.r_[0, stops])
+                ids.append(found)
+                placed.append(part)
+        if not placed:
+            return np.empty(0, "<u4"), sizes
+        order = np.concatenate(placed)
+        return _gathered(np.concatenate(ids), sizes[order], np.argsort(order)), sizes
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks in a row, and how many each has."""
+        marked = pc.match_substring_regex(chunks, _WORD_MARK)
+        word = pc.or_(marked, pc.match_substring_regex(chunks, _WORD)).to_numpy(zero_copy_only=False)
+        marked = marked.to_numpy(zero_copy_only=False)
+        own = chunks.filter(pa.array(word))
+        bases = pc.replace_substring_regex(own, _MARK_END, "").dictionary_encode()
+        ids, sizes = self._words(bases.dictionary)
+        index = bases.indices.to_numpy(zero_copy_only=False)
+        rest = chunks.filter(pa.array(~word)).to_pylist()
+        if len(self.others) > CACHE_CHUNKS:
+            self.others.clear()
+        fresh = [x for x in rest if x not in self.others]
+        self.others.update((x, np.array(e.ids, "<u4")) for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)))
+        found = [self.others[x] for x in rest]
+        # word ids first, then a mark's, then those of the other chunks: all as entries that are gathered in the chunks' order
+        mark = pc.index_in(pc.utf8_slice_codeunits(chunks.filter(pa.array(marked)), -1), self.marks).to_numpy(zero_copy_only=False)
+        flat = np.concatenate([ids, self.mark_ids, *found])
+        entry_sizes = np.concatenate([sizes, np.ones(len(self.mark_ids), np.int64), np.fromiter(map(len, found), np.int64, len(found))])
+        count = 1 + marked.astype(np.int64)
+        place = np.cumsum(count) - count
+        entries = np.empty(int(count.sum()), np.int64)
+        entries[place[word]] = index
+        entries[place[marked] + 1] = len(sizes) + mark
+        entries[place[~word]] = len(sizes) + len(self.mark_ids) + np.arange(len(rest))
+        total = entry_sizes[entries]
+        chunk_sizes = np.add.reduceat(total, place) if len(place) else total
+        return _gathered(flat, entry_sizes, entries), chunk_sizes
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each closed by END_ID, and where each text starts (and the last ends)."""
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, "<|")
+        low = pc.if_else(special, texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(low)
+        encoded = lists.flatten().dictionary_encode()
+        flat, sizes = self._chunks(encoded.dictionary)
+        flat, sizes = np.r_[flat, np.array([END_ID], "<u4")], np.r_[sizes, 1]
+        bounds = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
+        at = np.insert(encoded.indices.to_numpy(zero_copy_only=False), bounds[1:], len(sizes) - 1)
+        ends = np.cumsum(sizes[at])
+        return _gathered(flat, sizes, at), np.r_[0, ends[bounds[1:] + np.arange(len(texts))]].astype(np.int64)
+
+
+def _gathered(flat: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The runs of ``flat``, which lie one after the other with these sizes, in the order of ``entries``."""
+    starts = np.cumsum(sizes) - sizes
+    own = sizes[entries]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat((starts[entries] - (ends - own)).astype(np.int32), own) + np.arange(total, dtype=np.int32)]
 
 
 _worker: dict[str, WordIds] = {}
 
+def _portions(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive texts, BATCH_TEXT bytes or one text at a time, and the number of the first."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        before = int(sizes[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(sizes, before + BATCH_TEXT, side="right")))
+        yield first, texts.slice(first, last - first)
+        first = last
+
+
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -152,19 +178,19 @@ def _cut(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _worker:
             _worker[path] = WordIds(path)
-        ids_of, end = _worker[path], np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             owner, piece, length, crc, ids = [], [], [], [], []
-            for row, data in enumerate(ids_of.batch(raw_texts(batch.column(1)))):
-                data += end
-                for n, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    owner.append(row)
-                    piece.append(n)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+            for first, texts in _portions(batch.column(1)):
+                found, bounds = _worker[path].batch(texts)
+                for row, (low, high) in enumerate(zip(bounds.tolist(), bounds[1:].tolist()), first):
+                    for n, at in enumerate(range(low, high, capacity)):
+                        part = found[at : min(at + capacity, high)]
+                        owner.append(row)
+                        piece.append(n)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part))
+                        if with_ids:
+                            ids.append(part.astype(np.int32))
             arrays = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array([n * capacity for n in piece], pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
