@@ -168,7 +168,8 @@ def main(arguments: list[str] | None = None) -> int:
     if not arguments or arguments[0] not in names:
         arguments.insert(0, "records")
     arguments[0] = {"hist": "histogram", "schema": "fields", "compare": "diff"}.get(arguments[0], arguments[0])
-    a = options().parse_args(arguments)
+    a, loose = options().parse_known_args(arguments)
+    a.arguments += loose  # filter terms between options, and negated ones
     try:
         return execute(a)
     except DslError as problem:

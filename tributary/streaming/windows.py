@@ -9,15 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _timed(stream: DataFrame, ts: str) -> tuple[str, DataFrame]:
+    """A watermark needs a zoned timestamp; results are cast back the same way."""
+    return dict(stream.dtypes)[ts], stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def binned(stream: DataFrame, ts: str, width: str, keys: list[str], watermark: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """(bin, keys, n): tumbling or sliding windows by event time."""
     window = F.window(ts, width, slide) if slide else F.window(ts, width)
-    return stream.withWatermark(ts, watermark).groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("bin"), *keys, "n")
+    kind, timed = _timed(stream, ts)
+    return timed.withWatermark(ts, watermark).groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast(kind).alias("bin"), *keys, "n")
 
 
 def sessions(stream: DataFrame, ts: str, gap: str, keys: list[str], watermark: str = "10 minutes") -> DataFrame:
     """(start, end, keys, n): runs of rows with no gap longer than ``gap``."""
-    return stream.withWatermark(ts, watermark).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
+    kind, timed = _timed(stream, ts)
+    return timed.withWatermark(ts, watermark).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast(kind).alias("start"), F.col("w.end").cast(kind).alias("end"), *keys, "n")
 
 
 def run_to_table(spark: SparkSession, result: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
