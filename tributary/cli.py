@@ -120,6 +120,11 @@ def execute(a: argparse.Namespace) -> int:
     if a.command == "records" and a.follow:
         from tributary.streaming.follow import Follower
 
+        if paths == ["-"]:
+            from tributary.streaming.follow import stream_pipe
+
+            stream_pipe(spark, sys.stdin.buffer, text, lambda rows: print(rendered(list(records.LISTED), [[r[c] for c in records.LISTED] for r in rows], a.format, a.tz), flush=True), a.parser, a.source_tz)
+            return 0
         emit = lambda rows: print(rendered(list(records.LISTED), [[r[c] for c in records.LISTED] for r in rows], a.format, a.tz), flush=True)
         Follower(spark, paths).records(text, tempfile.mkdtemp(prefix="tributary-follow-"), emit).awaitTermination()
         return 0
@@ -134,8 +139,7 @@ def execute(a: argparse.Namespace) -> int:
             show(a, stats.stats(logs, plan))
         elif a.handoff:
             out = investigate.handoff(logs, plan, tuple(x for x in a.redact.split(",") if x))
-            with open(a.handoff, "w") as f:
-                f.write(out.json() if a.handoff.endswith(".json") else out.markdown())
+            out.write(a.handoff)
         elif a.context is not None:
             show(a, records.context(logs, plan, a.context))
         elif a.fold:

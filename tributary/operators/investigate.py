@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zipfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -170,6 +171,17 @@ def redacted(value: str) -> str:
     return "redacted:" + hashlib.sha256(value.encode()).hexdigest()[:12]
 
 
+def redact(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The named bag values replaced by a short hash: in the bag, the fields, the message and the raw text."""
+    for name in names:
+        value = F.nullif(F.col("bag")[F.lit(name)], F.lit(""))
+        mark = F.concat(F.lit("redacted:"), F.substring(F.sha2(value.cast("binary"), 256), 1, 12))
+        own = {c: F.when(value.isNotNull(), F.replace(F.col(c), value, mark)).otherwise(F.col(c)) for c in ("message", "raw", "fields")}
+        bag = F.when(value.isNotNull(), F.transform_values("bag", lambda k, v: F.when(k == name, mark).otherwise(v))).otherwise(F.col("bag"))
+        rows = rows.withColumns({**own, "bag": bag})
+    return rows
+
+
 @dataclass
 class Handoff:
     """What is passed on to somebody else: the query, its window and notes, where the records come from, and some of them."""
@@ -191,6 +203,17 @@ class Handoff:
     def json(self) -> str:
         return json.dumps(self.__dict__, default=str, ensure_ascii=False)
 
+    def write(self, path: str) -> None:
+        """As .md, .json, or a .zip with both and the raw lines."""
+        if path.endswith(".zip"):
+            with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("handoff.md", self.markdown())
+                z.writestr("handoff.json", self.json())
+                z.writestr("raw.log", "".join(r["raw"] + "\n" for r in self.records))
+            return
+        with open(path, "w") as f:
+            f.write(self.json() if path.endswith(".json") else self.markdown())
+
 
 def handoff(logs: Logs, plan: Plan, redact: tuple[str, ...] = (), limit: int = HANDOFF_LIMIT) -> Handoff:
     """Collects at most ``limit`` records; named fields' values are replaced in the bag, the message and the raw text."""

@@ -16,10 +16,12 @@ from tributary.functions import udfs
 from tributary.functions.template import id_column, template_column
 from tributary.model import Promotion
 from tributary.operators import breakdown, investigate, records, stats
+from tributary.operators.investigate import redact
 from tributary.plans import relational
 from tributary.plans.adapters import logs_from_events
 from tributary.plans.session import Logs
 from tributary.plans.sql import run_sql
+from tributary.sources.lines import parse_column
 from tributary.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,6 +260,48 @@ def _template_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"sql_functions": _functions, "parse_text_lines": _parsed_lines, "template_documents": _template_documents}
 ORACLE_SQL["sql_functions"] = f"""WITH logs AS ({LOGS_SQL}) SELECT regexp_replace(message, '[0-9]+', '<num>', 'g') AS t, left(sha256(regexp_replace(message, '[0-9]+', '<num>', 'g')), 12) AS id, event_type AS level, ts AS at, count(*) AS n FROM logs GROUP BY ALL"""
 
+
+
+# --- parsing: events written as lines of each format and read back -------------------
+
+_AT, _DAY = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")", "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS')"
+#: Per format: Spark expression of the line; DuckDB expressions of time, level, message, and of one field (its name first).
+LINE_FORMATS = {
+    "jsonl": (f"concat('{{\"ts\":\"', {_AT}, 'Z\",\"level\":\"', event_type, '\",\"msg\":\"did ', event_type, '\",\"user\":', user_id, '}}')", "ts", "CASE event_type WHEN 'error' THEN 'error' ELSE event_type END", "'did ' || event_type", ("user", "CAST(user_id AS VARCHAR)")),
+    "logfmt": (f"concat('ts=', {_AT}, 'Z level=WARN msg=\"did ', event_type, '\" user=', user_id)", "ts", "'warn'", "'did ' || event_type", ("user", "CAST(user_id AS VARCHAR)")),
+    "nginx": ("concat('10.0.0.1 - u', user_id, ' [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] \"GET /', event_type, ' HTTP/1.1\" ', 200 + 100 * (event_id % 4), ' 17 \"-\" \"curl\"')", "date_trunc('second', ts)", "CASE event_id % 4 WHEN 2 THEN 'warn' WHEN 3 THEN 'error' ELSE 'info' END", "'GET /' || event_type", ("user", "'u' || CAST(user_id AS VARCHAR)")),
+    "syslog": (f"concat('<', 8 + event_id % 8, '>1 ', {_AT}, 'Z host-1 app ', user_id, ' - - did ', event_type)", "ts", "CASE WHEN event_id % 8 < 3 THEN 'fatal' WHEN event_id % 8 = 3 THEN 'error' WHEN event_id % 8 = 4 THEN 'warn' WHEN event_id % 8 < 7 THEN 'info' ELSE 'debug' END", "'did ' || event_type", ("pid", "CAST(user_id AS VARCHAR)")),
+    "log4j": (f"concat({_DAY}, ' [t-', user_id % 3, '] WARN c.a.Job [user=', user_id, '] - did ', event_type)", "date_trunc('millisecond', ts)", "'warn'", "'did ' || event_type", ("user", "CAST(user_id AS VARCHAR)")),
+    "postgres": (f"concat({_DAY}, ' UTC [', user_id, '] ERROR: did ', event_type)", "date_trunc('millisecond', ts)", "'error'", "'did ' || event_type", ("pid", "CAST(user_id AS VARCHAR)")),
+    "cri": (f"concat({_AT}, 'Z stderr F INFO did ', event_type, ' ', user_id)", "ts", "'info'", "'INFO did ' || event_type || ' ' || CAST(user_id AS VARCHAR)", ("stream", "'stderr'")),
+    "docker": (f"concat('{{\"log\":\"ERROR did ', event_type, '\\\\n\",\"stream\":\"s', user_id, '\",\"time\":\"', {_AT}, 'Z\"}}')", "ts", "'error'", "'ERROR did ' || event_type", ("stream", "'s' || CAST(user_id AS VARCHAR)")),
+    "redis": ("concat(user_id, ':M ', date_format(ts, 'dd MMM yyyy HH:mm:ss.SSS'), ' # did ', event_type)", "date_trunc('millisecond', ts)", "'warn'", "'did ' || event_type", ("pid", "CAST(user_id AS VARCHAR)")),
+    "cef": ("concat('CEF:0|Acme|Wall|1|', user_id, '|did ', event_type, '|', event_id % 10, '|src=10.0.0.1')", "NULL::TIMESTAMP", "CASE WHEN event_id % 10 >= 9 THEN 'fatal' WHEN event_id % 10 >= 7 THEN 'error' WHEN event_id % 10 >= 4 THEN 'warn' ELSE 'info' END", "'did ' || event_type", ("signature", "CAST(user_id AS VARCHAR)")),
+    "nginx_error": ("concat(date_format(ts, 'yyyy/MM/dd HH:mm:ss'), ' [warn] ', user_id, '#7: *3 did ', event_type, ', client: 10.0.0.1')", "date_trunc('second', ts)", "'warn'", "'did ' || event_type", ("pid", "CAST(user_id AS VARCHAR)")),
+}
+
+
+def _ingest(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    line, field = LINE_FORMATS[name][0], LINE_FORMATS[name][4][0]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(line).alias("line"))
+        return parse_column(lines, "line").select("event_id", "ts", "level", "message", "format", "parsed", F.col("bag")[field].alias("field"))
+
+    return run
+
+
+for _name, (_, _ts, _level, _message, (_, _field)) in LINE_FORMATS.items():
+    QUERIES[f"ingest_{_name}"] = _ingest(_name)
+    ORACLE_SQL[f"ingest_{_name}"] = f"SELECT event_id, {_ts} AS ts, {_level} AS level, {_message} AS message, '{_name}' AS format, TRUE AS parsed, {_field} AS field FROM events"
+
+
+def _redacted(x: Logs) -> DataFrame:
+    return redact(x.matching(x.plan("level:error")), ("k",)).select("seq", "raw", F.col("bag")["k"].alias("k"))
+
+
+_logs_query("redacted_records", _redacted, "SELECT seq, replace(raw, k, 'redacted:' || left(sha256(k), 12)) AS raw, 'redacted:' || left(sha256(k), 12) AS k FROM logs WHERE level = 'error'")
+
 QUERIES.update(relational.QUERIES)
 ORACLE_SQL.update(relational.ORACLE_SQL)
 

@@ -147,3 +147,45 @@ class Hub:
                     one.put(("lag", lost))
         finally:
             held.unpersist()
+
+
+def stream_pipe(spark: SparkSession, stream, text: str, emit: Callable[[list], None], parser: str | None = None, zone: str = "UTC", rows: int = 500, seconds: float = 0.2) -> int:
+    """Records of a live pipe through a filter, a batch at a time; how many there were.
+
+    A batch is closed after ``rows`` records or ``seconds``. A filter on a field that no
+    record has shown yet matches nothing until one does.
+    """
+    import time
+
+    from tributary.dsl.timeexpr import moment
+    from tributary.sources.formats import FORMATS
+    from tributary.sources.reader import read, row
+
+    held, seen, keys, began = [], 0, {}, time.monotonic()
+
+    def flush() -> None:
+        if not held:
+            return
+        values = [tuple(moment(r["ts"]) if f.name == "ts" and r["ts"] is not None else r[f.name] for f in LOGS_SCHEMA.fields) for r in held]
+        for r in held:
+            keys.update(dict.fromkeys(r["bag"]))
+        batch = spark.createDataFrame(values, LOGS_SCHEMA)
+        held.clear()
+        try:
+            where = compiled(text, stream_schema((), tuple(keys), ("stdin",)))
+        except DslError as problem:
+            if "unknown field" not in str(problem):
+                raise
+            return
+        found = batch.where(where).orderBy("seq").collect()
+        if found:
+            emit(found)
+
+    for entry in read(stream, FORMATS.get(parser) if parser else None, zone):
+        seen += 1
+        held.append({"seq": seen, **row(entry, "stdin", "-")})
+        if len(held) >= rows or time.monotonic() - began >= seconds:
+            flush()
+            began = time.monotonic()
+    flush()
+    return seen
