@@ -51,6 +51,9 @@ def test_context(make_logs):
     found = [(r.seq, r.hit) for r in records.context(logs, logs.plan("k:5,9,0"), 2).collect()]
     assert found == [(1, True), (3, False), (4, False), (6, True), (8, False), (10, True), (12, False)]
     assert records.context(logs, logs.plan("k:99"), 2).count() == 0
+    for n, block in ((1, 3), (2, 5), (3, 7), (2, 4)):
+        whole = records.context(logs, logs.plan("k:5,9,0,6"), n).collect()
+        assert records.context(logs, logs.plan("k:5,9,0,6"), n, block=block).collect() == whole
 
 
 @pytest.mark.parametrize("parts", ["1", "4", "9"])

@@ -117,16 +117,20 @@ def fields(logs: Logs, plan: Plan, limit: int = FIELD_LIMIT) -> DataFrame:
     names = [n for n in BUILTINS if n in logs.table.columns and n not in ("seq", "fields", "raw")]
     rows = logs.matching(plan)
     values = _long_form(rows, names).groupBy("field", "place", "value", "kind").agg(F.count(F.lit(1)).alias("n"))
-    ranked = values.withColumn("at", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), F.asc("value"))))
     kind = F.max(F.struct("kind_n", F.col("kind"))).alias("most")
     kinds = values.groupBy("field", "kind").agg(F.sum("n").alias("kind_n")).groupBy("field").agg(kind, F.array_sort(F.collect_set("kind")).alias("types"))
-    out = ranked.groupBy("field").agg(
+    out = values.groupBy("field").agg(
         F.min("place").alias("place"),
         F.sum("n").alias("records"),
         F.count_distinct("value").alias("distinct"),
         F.sum(F.when(scalar.try_double(F.col("value")).isNotNull(), F.col("n")).otherwise(0)).alias("numeric"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("at") <= 3, F.struct("at", "value")))), lambda e: e["value"]).alias("examples"),
     )
+    # the first three of each of many slices, then of those few: a field with endless values is no single window
+    per_value = values.groupBy("field", "value").agg(F.sum("n").alias("n")).withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(256)))
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc("value")))
+    best = per_value.withColumn("at", first("field", "slice")).where("at <= 3").withColumn("at", first("field")).where("at <= 3")
+    examples = best.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda e: e["value"]).alias("examples"))
+    out = out.join(examples, "field")
     total = rows.agg(F.count(F.lit(1)).alias("matched"))
     out = out.join(kinds, "field").crossJoin(F.broadcast(total))
     out = out.select("field", "place", "records", (F.col("records") / F.col("matched")).alias("coverage"), "distinct", "numeric", F.col("most.kind").alias("type"), "types", "examples")

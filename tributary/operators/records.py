@@ -50,17 +50,25 @@ def count(logs: Logs, plan: Plan) -> DataFrame:
     return logs.matching(plan).agg(F.count(F.lit(1)).alias("n"))
 
 
-def context(logs: Logs, plan: Plan, n: int, columns: tuple[str, ...] = (*LISTED, "line_no")) -> DataFrame:
+#: Records of a file that one window of ``context`` spans.
+CONTEXT_BLOCK = 100_000
+
+
+def context(logs: Logs, plan: Plan, n: int, columns: tuple[str, ...] = (*LISTED, "line_no"), block: int = CONTEXT_BLOCK) -> DataFrame:
     """Matching records and their neighbours: up to ``n`` away in the same file by ingest order, each once, with ``hit``.
 
-    A range frame over the file's order, instead of a self-join: a large file
-    is sorted once and never pairs up with itself. Files are the unit of
-    ingest order, so the frame cannot be cut further without their whole order;
-    the table is narrowed to what is shown before it is shuffled.
+    A range frame over ingest order, instead of a self-join that would pair a
+    file with itself. A file is cut into blocks of ``block`` records, and the hits
+    within ``n`` of a block's edge also go to the block beyond it, so a large
+    file is many windows and only hits near edges are there twice.
     """
-    near = Window.partitionBy("file").orderBy("seq").rangeBetween(-n, n)
+    block = max(block, 2 * n + 1)
+    near = Window.partitionBy("file", "block").orderBy("seq").rangeBetween(-n, n)
     marked = logs.table.withColumn("hit", holds(plan.where)).select("seq", "file", "hit", *columns)
-    close = marked.withColumn("near", F.max("hit").over(near)).where("near")
+    own = F.floor(F.col("seq") / block)
+    beyond = F.when(F.col("hit") & (F.col("seq") - n < own * block), own - 1).when(F.col("hit") & (F.col("seq") + n >= (own + 1) * block), own + 1)
+    dealt = marked.withColumn("own", own).withColumn("block", F.explode(F.array_compact(F.array(own, beyond))))
+    close = dealt.withColumn("near", F.max("hit").over(near)).where("near AND block = own")
     return close.orderBy("seq").select("seq", "file", "hit", *columns)
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -284,11 +285,22 @@ def with_seq(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """Files below ``paths`` as a logs table."""
+    """Files below ``paths`` as a logs table.
+
+    Numbering needs the parts' record counts before the first row leaves. Where
+    the session has a shared folder (spark.checkpoint.dir) the parsed rows go there
+    once as Parquet and both come from it; else the files are parsed for each.
+    """
     register(spark)
     own = _options(paths, **options)
     lines = spark.read.format("loglines").options(**own, stats="lines").load()
-    return with_seq(spark.read.format("loglines").options(**own).load(), lines)
+    rows = spark.read.format("loglines").options(**own).load()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        path = f"{shared.rstrip('/')}/tributary/logs-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path)
+    return with_seq(rows, lines)
 
 
 def follow_logs(spark: SparkSession, paths: list[str], **options) -> DataFrame:
