@@ -73,6 +73,7 @@ def test_ids_and_places(spark):
 def test_a_forgetful_cache_gives_the_same_ids(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_CHUNKS", 3)
     monkeypatch.setattr(packing, "WORDS_AT_ONCE", 2)
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 4)
     path = tokenizer_path(packing.VOCABULARY)
     tokenizer, ids = Tokenizer.from_file(path), packing.WordIds(path)
     for text in [t for t in TEXTS if t] * 2:

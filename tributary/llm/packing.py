@@ -41,6 +41,8 @@ BUCKETS = 512
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks that are no plain words whose ids a worker remembers; words that are encoded in one call.
 CACHE_CHUNKS, WORDS_AT_ONCE = 50_000, 20_000
+#: Words are added to those that a worker remembers until there are so many.
+KNOWN_WORDS = 150_000
 #: Bytes of text that are split into words at once.
 BATCH_TEXT = 8 << 20
 
@@ -83,8 +85,22 @@ class WordIds:
         self.marks = pa.array(list(_MARKS))
         self.mark_ids = np.array([self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in _MARKS], "<u4")
         self.others: dict[str, np.ndarray] = {}
+        self.known, self.known_ids, self.known_sizes = pa.array([], pa.string()), np.empty(0, "<u4"), np.empty(0, np.int64)
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and how many each has. The words of a worker's first batches are remembered: the frequent ones are among them."""
+        place = pc.index_in(words, self.known)
+        fresh = pc.is_null(place)
+        ids, sizes = self._encoded(words.filter(fresh))
+        flat, every = np.concatenate([self.known_ids, ids]), np.concatenate([self.known_sizes, sizes])
+        entries = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        entries[fresh.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(sizes))
+        if len(self.known) < KNOWN_WORDS:
+            self.known = pa.concat_arrays([self.known, words.filter(fresh)])
+            self.known_ids, self.known_sizes = flat, every
+        return _gathered(flat, every, entries), every[entries]
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words in a row, and how many each has."""
         ids, sizes = [], np.zeros(len(words), np.int64)
         ascii_ = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
