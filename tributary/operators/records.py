@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tributary.functions.predicates import holds
+from tributary.functions.scratch import stored
 from tributary.plans.session import Logs, Plan
 
 LISTED = ("ts", "level", "source", "message")
@@ -75,9 +76,10 @@ def context(logs: Logs, plan: Plan, n: int, columns: tuple[str, ...] = (*LISTED,
 def fold(logs: Logs, plan: Plan, by: str = "pattern_id") -> DataFrame:
     """Runs of consecutive records of one template: repeats, and ts, level, source, message of the first.
 
-    Global order without one big window: rows are range-partitioned by time,
-    runs are cut in each partition, and the few runs at partition edges are joined
-    up over one row a partition.
+    Global order without one big window: rows are range-partitioned by time and
+    runs are cut in each partition. The runs are stored, as what follows reads
+    them twice and must see the same partitions; then the two at most at each
+    partition's edges are joined up.
     """
     parts = int(logs.table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = logs.matching(plan).select("ts", "seq", "level", "source", "message", F.col(by).alias("key"))
@@ -88,10 +90,10 @@ def fold(logs: Logs, plan: Plan, by: str = "pattern_id") -> DataFrame:
     runs = dealt.withColumn("run", F.sum((~same).cast("int")).over(own))
     first = F.min(F.struct(F.col("ts").isNull().alias("undated"), "ts", "seq", "level", "source", "message"))
     runs = runs.groupBy("part", "run", "key").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
-    edge = Window.partitionBy("part")
-    marked = runs.withColumn("last_run", F.max("run").over(edge))
-    inner = marked.where("run > 1 AND run < last_run").select("n", "first", "key")
-    edges = marked.where("run = 1 OR run = last_run")  # two rows a partition at most
+    edge = Window.partitionBy("part").orderBy("run")
+    marked = stored(runs.withColumn("is_last", F.lead("run").over(edge).isNull()), "runs")
+    inner = marked.where("run > 1 AND NOT is_last").select("n", "first", "key")
+    edges = marked.where("run = 1 OR is_last")  # two rows a partition at most
     line = Window.orderBy("part", "run")
     again = F.col("key").eqNullSafe(F.lag("key").over(line)) & (F.row_number().over(line) > 1) & ((F.col("run") == 1) & (F.lag("part").over(line) != F.col("part")))
     joined = edges.withColumn("group", F.sum((~again).cast("int")).over(line)).groupBy("group", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import udfs
+from tributary.functions.scratch import shared_folder
 from tributary.functions.template import id_column, template_column
 from tributary.model import Promotion
 from tributary.operators import breakdown, investigate, records, stats
@@ -216,17 +217,17 @@ _logs_query("field_keys", lambda x: x.table.select(F.explode(F.map_keys("bag")).
 
 def _stream_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = windows.binned(windows.stream_of(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"])
-    return windows.run_to_table(spark, found, windows.shared_folder(spark))
+    return windows.run_to_table(spark, found, shared_folder(spark))
 
 
 def _stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = windows.binned(windows.stream_of(spark, sf_dir, "events"), "ts", "2 hours", [], slide="1 hour")
-    return windows.run_to_table(spark, found, windows.shared_folder(spark))
+    return windows.run_to_table(spark, found, shared_folder(spark))
 
 
 def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = windows.sessions(windows.stream_of(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"])
-    return windows.run_to_table(spark, found, windows.shared_folder(spark)).select("start", "user_id", "n")
+    return windows.run_to_table(spark, found, shared_folder(spark)).select("start", "user_id", "n")
 
 
 QUERIES |= {"stream_bins": _stream_bins, "stream_sliding": _stream_sliding, "stream_sessions": _stream_sessions}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,14 +57,26 @@ def suggest(name: str, known: list[str]) -> list[str]:
 
 @dataclass
 class Schema:
-    """Builtin columns, promoted columns, and the keys of the bag."""
+    """Builtin columns, promoted columns, and the keys of the bag.
+
+    Keys and sources may be functions: they cost a pass over the table and are
+    only asked for when a query names a field of the bag, or a source.
+    """
 
     columns: tuple[str, ...]
     promotions: tuple[Promotion, ...] = ()
-    keys: tuple[str, ...] = ()
-    sources: tuple[str, ...] = ()
+    own_keys: tuple[str, ...] | Callable[[], tuple[str, ...]] = ()
+    own_sources: tuple[str, ...] | Callable[[], tuple[str, ...]] = ()
     types: dict[str, str] = field(default_factory=dict)
 
+    @cached_property
+    def keys(self) -> tuple[str, ...]:
+        return self.own_keys() if callable(self.own_keys) else self.own_keys
+
+    @cached_property
+    def sources(self) -> tuple[str, ...]:
+        return self.own_sources() if callable(self.own_sources) else self.own_sources
+
     @property
     def names(self) -> list[str]:
         own = [c for c in BUILTINS if c in self.columns]
@@ -109,8 +123,13 @@ def bag_keys(logs: DataFrame) -> DataFrame:
 
 
 def read_schema(logs: DataFrame, promotions: tuple[Promotion, ...] = ()) -> Schema:
-    """Schema of a logs table; the catalogue of keys and sources is small and read once."""
-    keys = tuple(r.key for r in bag_keys(logs).collect()) if "bag" in logs.columns else ()
-    sources = tuple(r.source for r in logs.select("source").distinct().collect() if r.source is not None) if "source" in logs.columns else ()
+    """Schema of a logs table; the catalogues of keys and sources are small, and read once if at all."""
+
+    def keys() -> tuple[str, ...]:
+        return tuple(r.key for r in bag_keys(logs).collect()) if "bag" in logs.columns else ()
+
+    def sources() -> tuple[str, ...]:
+        return tuple(sorted(r.source for r in logs.select("source").distinct().collect() if r.source is not None)) if "source" in logs.columns else ()
+
     types = {f.name: f.dataType.simpleString() for f in logs.schema.fields}
-    return Schema(tuple(logs.columns), tuple(promotions), keys, tuple(sorted(sources)), types)
+    return Schema(tuple(logs.columns), tuple(promotions), keys, sources, types)

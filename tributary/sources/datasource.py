@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from tributary.functions.scratch import stored
 from tributary.model import LOGS_SCHEMA
 from tributary.sources.codecs import open_decoded
 from tributary.sources.formats import FORMATS, MIXED, Format, choose
@@ -287,19 +287,13 @@ def with_seq(rows: DataFrame, lines: DataFrame) -> DataFrame:
 def read_logs(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     """Files below ``paths`` as a logs table.
 
-    Numbering needs the parts' record counts before the first row leaves. Where
-    the session has a shared folder (spark.checkpoint.dir) the parsed rows go there
-    once as Parquet and both come from it; else the files are parsed for each.
+    Numbering needs the parts' record counts before the first row leaves, so the
+    parsed rows are stored once as Parquet, and both come from there.
     """
     register(spark)
     own = _options(paths, **options)
     lines = spark.read.format("loglines").options(**own, stats="lines").load()
-    rows = spark.read.format("loglines").options(**own).load()
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        path = f"{shared.rstrip('/')}/tributary/logs-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        rows = spark.read.schema(rows.schema).parquet(path)
+    rows = stored(spark.read.format("loglines").options(**own).load(), "logs")
     return with_seq(rows, lines)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +38,6 @@ def run_to_table(spark: SparkSession, result: DataFrame, folder: str, mode: str
     return spark.read.parquet(out)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where checkpoints go: the cluster's shared folder, a private one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or tempfile.mkdtemp(prefix="tributary-stream-")).rstrip("/")
-
-
 def stream_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the tables as a file stream."""
     path = f"{sf_dir}/{table}.parquet"
