@@ -238,18 +238,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one row left of each group: that of the smallest doc_id (any one of rows that repeat it)."""
+    """``docs`` with one row left of each group: that of the smallest doc_id (of rows that repeat it, the first stored).
+
+    Rows are numbered as they are stored with their fingerprints, so what
+    decides is narrow and the texts are shuffled once.
+    """
     columns = docs.columns
-    marked = materialize(with_fingerprint(docs, name="__fp"), "marked")
-    found = groups(marked.select("doc_id", F.col("__fp").alias("fp")), threshold)
-    keepers = (
-        marked.select(F.col("__fp").alias("fp"), F.col("doc_id").alias("__id"))
-        .join(found, "fp")
-        .where(F.col("__id").eqNullSafe(F.col("component_id")))
-        .groupBy("component", "__id")
-        .agg(F.min("fp").alias("__kept"))
-        .select("__id", "__kept")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept"))
-    kept = marked.join(materialize(keepers, "keepers"), same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "__fp"]).select(*columns)
+    marked = materialize(with_fingerprint(docs, name="__fp").withColumn("__row", F.monotonically_increasing_id()), "marked")
+    narrow = marked.select("doc_id", F.col("__fp").alias("fp"), "__row")
+    placed = narrow.join(groups(narrow, threshold), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keepers = materialize(placed.groupBy("component").agg(F.min("__row").alias("__row")).select("__row"), "keepers")
+    return marked.join(keepers, "__row", "left_semi").select(*columns)
