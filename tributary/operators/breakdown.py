@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tributary.dsl.syntax import DslError, duration_seconds
 from tributary.functions import scalar
 from tributary.functions.predicates import holds
+from tributary.functions.scratch import stored
 from tributary.model import BUILTINS
 from tributary.plans.session import Logs, Plan
 
@@ -62,9 +63,10 @@ def histogram(logs: Logs, plan: Plan, buckets: int = BUCKETS, width: int | None
     inside = (ts >= scalar.instant(start)) & (ts < scalar.instant(end))
     slot = F.floor((scalar.micros(ts) - F.lit(origin)) / F.lit(width)).cast("long")
     found = logs.matching(plan).where(inside).select(slot.alias("slot"), F.coalesce("level", F.lit("none")).alias("level")).groupBy("slot", "level").agg(F.count(F.lit(1)).alias("n"))
-    levels = found.select("level").distinct()
-    grid = spark.range(0, (end - 1 - origin) // width + 1).select(F.col("id").alias("slot")).crossJoin(levels)  # buckets x levels, both few
-    out = grid.join(found, ["slot", "level"], "left").select(scalar.from_micros(F.lit(origin) + F.col("slot") * F.lit(width)).alias("bucket"), "level", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    # one entry a bucket is gathered for each level, and the missing ones are zero: no second pass for the grid
+    by_level = found.groupBy("level").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("counts"))
+    grid = by_level.select("level", "counts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((end - 1 - origin) // width).cast("long"))).alias("slot"))
+    out = grid.select(scalar.from_micros(F.lit(origin) + F.col("slot") * F.lit(width)).alias("bucket"), "level", F.coalesce(F.try_element_at("counts", F.col("slot")), F.lit(0)).cast("long").alias("n"))
     return out.orderBy("bucket", "level")
 
 
@@ -111,12 +113,12 @@ def _long_form(rows: DataFrame, names: list[str]) -> DataFrame:
 def fields(logs: Logs, plan: Plan, limit: int = FIELD_LIMIT) -> DataFrame:
     """Per field: records, coverage, distinct, numeric, type, types, place, examples (up to three, most frequent first).
 
-    One pass in long form: values are counted once by (field, value), and all
-    figures come from those counts.
+    One pass in long form: values are counted once by (field, value) and stored,
+    and all figures come from those counts.
     """
     names = [n for n in BUILTINS if n in logs.table.columns and n not in ("seq", "fields", "raw")]
     rows = logs.matching(plan)
-    values = _long_form(rows, names).groupBy("field", "place", "value", "kind").agg(F.count(F.lit(1)).alias("n"))
+    values = stored(_long_form(rows, names).groupBy("field", "place", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "values")
     kind = F.max(F.struct("kind_n", F.col("kind"))).alias("most")
     kinds = values.groupBy("field", "kind").agg(F.sum("n").alias("kind_n")).groupBy("field").agg(kind, F.array_sort(F.collect_set("kind")).alias("types"))
     out = values.groupBy("field").agg(

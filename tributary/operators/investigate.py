@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from tributary.dsl.syntax import DslError, TextTerm, WindowTerm, instant_text, render_term
 from tributary.functions import scalar
 from tributary.functions.predicates import holds, term_predicate, text_predicate, within
+from tributary.functions.scratch import stored
 from tributary.operators.breakdown import limited, sources
 from tributary.operators.records import ordered
 from tributary.plans.schema import UnknownField
@@ -109,7 +110,7 @@ def diff_items(logs: Logs, before: Plan, after: Plan, names: list[str] | None =
     template = F.array(F.struct(F.lit("pattern").alias("kind"), F.lit("pattern_id").alias("name"), F.col("pattern_id").alias("value")))
     valued = F.transform(pairs, lambda e: F.struct(F.lit("value").alias("kind"), e["name"].alias("name"), e["value"].alias("value")))
     items = rows.select("b", "a", F.inline(F.concat(template, valued)))
-    counts = items.groupBy("kind", "name", "value").agg(F.count_if("b").alias("before"), F.count_if("a").alias("after"))
+    counts = stored(items.groupBy("kind", "name", "value").agg(F.count_if("b").alias("before"), F.count_if("a").alias("after")), "items")
     per_name = counts.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("values"), F.sum("before").alias("all_before"), F.sum("after").alias("all_after"))
     kept = counts.join(per_name.where(f"kind = 'pattern' OR values BETWEEN 2 AND {MOST_VALUES}").select("kind", "name"), ["kind", "name"], "left_semi")
     presence = per_name.where("kind = 'value'").select(F.lit("field").alias("kind"), "name", F.lit(None).cast("string").alias("value"), F.col("all_before").alias("before"), F.col("all_after").alias("after"))
