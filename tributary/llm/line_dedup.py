@@ -139,10 +139,10 @@ def _generalised(docs: DataFrame, templates: DataFrame, leaves: DataFrame) -> Da
     """
     spark = docs.sparkSession
     size = 1 << LEAF_BITS
-    bits = np.zeros(size // 8, np.uint8)  # 8 MB at most, whatever the number of leaves
-    slots = leaves.select(F.col("leaf").bitwiseAND(F.lit(size - 1)).alias("slot")).distinct()
-    for part in slots.select(F.shiftright("slot", 3).cast("int").alias("byte"), F.expr("shiftleft(1, cast(slot & 7 AS int))").alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        bits[part["byte"]] = part["bits"]
+    bits = np.zeros(size // 8, np.uint8)  # 8 MB, whatever the number of leaves
+    slot = F.col("leaf").bitwiseAND(F.lit(size - 1))
+    set_ = leaves.groupBy(F.shiftright(slot, 3).cast("int").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(leaf & 7 AS int))")).alias("bits")).toArrow()
+    bits[set_.column("byte").to_numpy()] = set_.column("bits").to_numpy()
     shared = spark.sparkContext.broadcast(bits)
     found = docs.select("text").mapInArrow(_leaf_lines(shared), "leaf long, template long, tokens array<long>")
     lines = found.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"))
