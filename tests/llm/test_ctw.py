@@ -131,3 +131,14 @@ def test_empty_tables(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = ctw.score_texts(spark.createDataFrame([(held, "ab")], "doc_id long, text string"), depth=2).first()
     assert row.held_out and row.n_tokens == 2 and row.n_known == 0 and abs(row.score - 3 * 8 * math.log10(0.5)) < 1e-4
+
+
+def test_blocks_give_the_scores_of_the_whole_tree(spark):
+    df = spark.createDataFrame(fixture(), "doc_id long, text string")
+    for depth, most in ((1, 60), (3, 300)):
+        counts = ctw.count_corpus(df.where(~ctw.held_out(df.doc_id)), depth)
+        assert len(list(ctw.trees_of(counts, depth, most))) > 2
+        read = lambda most: sorted((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in ctw.score_texts(df, depth=depth, most=most).collect())  # noqa: B023, E731
+        whole, parts = read(ctw.MOST_GRAMS), read(most)
+        assert [r[:3] for r in whole] == [r[:3] for r in parts]
+        assert np.allclose([r[3:] for r in whole], [r[3:] for r in parts], rtol=1e-5)

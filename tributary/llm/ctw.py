@@ -14,11 +14,13 @@ seen, so every byte's probabilities sum to one.
 
 Counting: workers count byte n-grams and words of the whole training texts and
 merge them before the shuffle, so what is gathered grows with the corpus. The
-tree's tables are broadcast under a checked bound (the driver needs some 250 bytes an n-gram): beyond ``MOST_GRAMS`` n-grams at a
-depth, contexts below a count found from the histogram of counts are not
-extended (the mixture stops at the shorter context); shorter contexts still
-hold all their counts. Words: counts of the ``TOP_WORDS`` most frequent are
-broadcast, the others are joined, so every count is exact.
+tree keeps every n-gram. It is dealt into blocks of whole contexts of ``SPLIT``
+bytes, in the order of their codes, of at most ``MOST_GRAMS`` n-grams (or one
+context); the driver needs some 250 bytes an n-gram of a block. A first round over the blocks
+yields the block probabilities of the contexts of ``SPLIT`` bytes, from which the
+shorter contexts are weighted; a second one broadcasts a block at a time, and
+each scores the decisions in its contexts. Scores do not depend on the blocks. Words:
+counts of the ``TOP_WORDS`` most frequent are broadcast, the others are joined, so every count is exact.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ from .common import materialize, raw_texts, tokens
 
 DEPTH = 5
 MOST_GRAMS = 4_000_000
+#: Bytes of context that are never parted: a block of the tree holds all that extends them.
+SPLIT = 2
 TOP_WORDS = 200_000
 #: Bytes of text that a worker handles at once; words that it counts before it passes them on.
 CHUNK_BYTES, PENDING_WORDS, PENDING_GRAMS = 2 << 20, 500_000, 3_000_000
@@ -233,8 +238,51 @@ def _hash_table(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.n
     return slots, held
 
 
-def build_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """Tree from (sorted codes, counts) for 0 to depth context bytes."""
+def _nodes(codes: np.ndarray, counts: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of one depth's nodes, where each starts in the codes, and how often they went to zero and to one."""
+    key = codes >> np.uint64(8 - bit)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    both = np.add.reduceat(counts, starts) if len(key) else counts
+    one = np.add.reduceat(counts * (codes >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64), starts) if len(key) else counts
+    return key[starts], starts, both - one, one
+
+
+def _parents(above: np.ndarray, keys: np.ndarray, d: int, bit: int) -> np.ndarray:
+    """Places of the nodes at depth ``d`` in the keys of the depth above."""
+    return np.searchsorted(above, keys & _mask(8 * (d - 1) + bit)).astype(np.int32)
+
+
+def _weighed(own: np.ndarray, parents: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log block probabilities and stopping shares of nodes, from their own estimates and their children's block probabilities."""
+    below = np.bincount(parents, weighted, len(own))
+    extended = np.bincount(parents, minlength=len(own)) > 0
+    mixed = np.where(extended, np.logaddexp(own, below) - math.log(2), own)
+    return mixed, np.where(extended, np.exp(own - math.log(2) - mixed), 1.0).clip(0, 1)
+
+
+Joints = list[tuple[np.ndarray, np.ndarray]]  # for each bit: keys of the nodes at a depth, their log block probabilities
+
+
+def joints_of(levels: list[tuple[np.ndarray, np.ndarray]], split: int) -> Joints:
+    """The nodes at depth ``split`` of a block that holds whole contexts of so many bytes."""
+    out = []
+    for bit in range(8):
+        keys, _, zeros, ones = _nodes(*levels[-1], bit)
+        weighted = log_kt(zeros, ones)
+        for d in range(len(levels) - 2, split - 1, -1):
+            above, _, zeros, ones = _nodes(*levels[d], bit)
+            weighted, _ = _weighed(log_kt(zeros, ones), _parents(above, keys, d + 1, bit), weighted)
+            keys = above
+        out.append((keys, weighted))
+    return out
+
+
+def build_tree(levels: list[tuple[np.ndarray, np.ndarray]], split: int = 0, joints: Joints | None = None) -> Tree:
+    """Tree from (sorted codes, counts) for 0 to depth context bytes.
+
+    With ``joints``, those of all blocks, the levels from ``split`` down are one
+    block's, and those above it are the whole tree's.
+    """
     depth = len(levels) - 1
     tree = Tree(depth, [c for c, _ in levels], [np.r_[0, np.cumsum(n)] for _, n in levels])
     top = levels[depth][0]
@@ -242,28 +290,24 @@ def build_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
         return tree
     total = np.zeros(len(top))
     for bit in range(8):
-        keys, owner, zeros, ones = [], [], [], []
+        keys, owner, zeros, ones = [], None, [], []
         for codes, counts in levels:
-            key = codes >> np.uint64(8 - bit)
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-            both = np.add.reduceat(counts, starts) if len(key) else counts
-            one = np.add.reduceat(counts * (codes >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64), starts) if len(key) else counts
-            keys.append(key[starts])
-            owner.append(np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(key)])) if codes is top else None)
-            zeros.append(both - one)
+            key, starts, zero, one = _nodes(codes, counts, bit)
+            keys.append(key)
+            zeros.append(zero)
             ones.append(one)
-        parents = [None] + [np.searchsorted(keys[d - 1], keys[d] & _mask(8 * (d - 1) + bit)).astype(np.int32) for d in range(1, depth + 1)]
+            owner = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(codes)]))  # the last is of the deepest
+        parents = [None] + [_parents(keys[d - 1], keys[d], d, bit) for d in range(1, depth + 1)]
         weighted = log_kt(zeros[depth], ones[depth])
         stops: list = [None] * depth
         for d in range(depth - 1, -1, -1):
-            own = log_kt(zeros[d], ones[d])
-            below = np.bincount(parents[d + 1], weighted, len(own))
-            extended = np.bincount(parents[d + 1], minlength=len(own)) > 0
-            weighted = np.where(extended, np.logaddexp(own, below) - math.log(2), own)
-            stops[d] = np.where(extended, np.exp(own - math.log(2) - weighted), 1.0).clip(0, 1)
+            children = parents[d + 1]
+            if joints is not None and d == split - 1:
+                children, weighted = _parents(keys[d], joints[bit][0], split, bit), joints[bit][1]
+            weighted, stops[d] = _weighed(log_kt(zeros[d], ones[d]), children, weighted)
             tree.nodes[bit, d] = keys[d], stops[d].astype(np.float32)
         one = (top >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
-        node = owner[depth]
+        node = owner
         share = lambda d, node: (np.where(one, ones[d][node], zeros[d][node]) + 0.5) / (zeros[d][node] + ones[d][node] + 1.0)  # noqa: B023, E731
         q = share(depth, node)
         for d in range(depth - 1, -1, -1):
@@ -296,58 +340,88 @@ def count_corpus(train: DataFrame, depth: int = DEPTH) -> Counts:
     return Counts(table, words[0] + texts, words[1] + (texts > 0), texts)
 
 
-def _level(grams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of one depth, without contexts that occur too rarely to fit ``most`` codes."""
-    if grams.count() > most:
-        context = F.shiftright("key", 8).alias("context")
-        totals = grams.groupBy(context).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("codes"))
-        power = F.floor(F.log2("total")).cast("int").alias("power")
-        room, least = most, 64
-        for row in sorted(totals.groupBy(power).agg(F.sum("codes").alias("codes")).collect(), key=lambda r: -r["power"]):  # at most 64 rows
-            if row["codes"] > room:
-                break
-            room, least = room - row["codes"], row["power"]
-        kept = totals.where(F.col("total") >= 2.0**least).select("context")
-        grams = grams.join(kept, context == F.col("context"), "left_semi")
+def _sorted(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     found = grams.select("key", "n").toArrow()
     codes = found.column("key").to_numpy().view(np.uint64)
     order = np.argsort(codes)
     return codes[order], found.column("n").to_numpy()[order]
 
 
-def tree_of(counts: Counts, depth: int = DEPTH, most: int = MOST_GRAMS) -> Tree:
-    """The weighted tree; only its deepest levels can be pruned."""
-    grams = counts.table.where(F.col("kind") == GRAM).select("key", "n")
-    levels = [_level(grams, most)]
-    for d in range(depth - 1, -1, -1):
-        mask = F.lit((1 << 8 * (d + 1)) - 1)
-        if int(levels[0][1].sum()) == counts_total(counts):  # nothing was pruned above: sum what is here
-            codes, n = _merge([levels[0][0] & _mask(8 * (d + 1))], [levels[0][1]])
-        else:
-            codes, n = _level(grams.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")), most)
-        levels.insert(0, (codes, n))
-    return build_tree(levels)
+def _levels(codes: np.ndarray, n: np.ndarray, depth: int, first: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted codes, counts) for ``first`` to ``depth`` context bytes, from those of the deepest."""
+    out = [(codes, n)]
+    for d in range(depth - 1, first - 1, -1):
+        key, count = _merge([out[0][0] & _mask(8 * (d + 1))], [out[0][1]])
+        out.insert(0, (key, count))
+    return out
 
 
-def counts_total(counts: Counts) -> int:
-    if not hasattr(counts, "_total"):
-        counts._total = counts.table.where(F.col("kind") == GRAM).agg(F.sum("n")).first()[0] or 0
-    return counts._total
+@dataclass
+class Block:
+    """Part ``number`` of ``of``: the decisions whose ``split`` bytes of context are from ``first`` on, below ``end``."""
+
+    tree: Tree
+    number: int = 0
+    of: int = 1
+    split: int = 0
+    first: int = 0
+    end: int = 0
+
+    def log2(self, codes: np.ndarray) -> np.ndarray:
+        """log2 of the probability of each code's symbol after its context; 0 outside the block."""
+        if self.of == 1:
+            return self.tree.log2(codes)
+        context = codes >> np.uint64(8) & _mask(8 * self.split)
+        at = np.flatnonzero((context >= np.uint64(self.first)) & (context < np.uint64(self.end)))
+        out = np.zeros(len(codes), np.float32)
+        out[at] = self.tree.log2(codes[at])
+        return out
+
+
+def trees_of(counts: Counts, depth: int = DEPTH, most: int = MOST_GRAMS) -> Iterator[Block]:
+    """The weighted tree over all n-grams, block by block."""
+    grams = counts.table.where(F.col("kind") == GRAM).select("key", "n")
+    split = min(SPLIT, depth)
+    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * split) - 1))
+    sizes = sorted(tuple(r) for r in grams.groupBy(context.alias("context")).agg(F.count(F.lit(1)).alias("codes")).collect())  # at most 65536 rows
+    edges, held = [0], 0
+    for value, codes in sizes:
+        if held and held + codes > most:
+            edges.append(value)
+            held = 0
+        held += codes
+    if len(edges) == 1:
+        yield Block(build_tree(_levels(*_sorted(grams), depth)))
+        return
+    edges.append(1 << 8 * split)
+    top = _levels(*_sorted(grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * split) - 1)).alias("key")).agg(F.sum("n").alias("n"))), split - 1)
+    block = lambda n: _levels(*_sorted(grams.where((context >= edges[n]) & (context < edges[n + 1]))), depth, split)
+    parts = [joints_of([*top, *block(n)], split) for n in range(len(edges) - 1)]
+    joints = [tuple(np.concatenate([part[bit][x] for part in parts]) for x in (0, 1)) for bit in range(8)]
+    for n in range(len(edges) - 1):
+        yield Block(build_tree([*top, *block(n)], split, joints), n, len(edges) - 1, split, edges[n], edges[n + 1])
 
 
 @dataclass
 class Shared:
-    tree: Tree
+    block: Block
     words: np.ndarray  # sorted hashes of the most frequent words
     counts: np.ndarray
     texts: int
     denominator: float
 
 
-_SCORED = "held_out boolean, n_tokens long, n_known long, n_bytes long, base_part double, score double, rare array<struct<word:long,times:int>>"
+_SCORED = "held_out boolean, n_tokens long, n_known long, n_bytes long, base_part double, score double, rare array<struct<word:long,times:int>>, frame binary"
 _RARE = pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int32())]))
 
 
+def _frame_scores(block: Block, data: list[bytes]) -> list[float]:
+    """log10 of the probability of each frame's decisions in the block."""
+    bits = np.r_[0.0, np.cumsum(block.log2(gram_codes(b"".join(data), block.tree.depth)[0]), dtype=np.float64)]
+    ends = np.cumsum([len(x) - block.tree.depth for x in data])
+    return (np.diff(bits[np.r_[0, ends]]) * math.log10(2)).tolist()
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Shared = shared.value
@@ -356,15 +430,12 @@ def _score(shared):
         frequent: dict[bytes, float] = {}
         lost: dict[bytes, int] = {}
         end_log = math.log10(model.texts + 1.0)
+        depth = model.block.tree.depth
         for batch in batches:
             rows = []
             for chunk in chunks(raw_texts(batch.column(2))):
-                data = [framed(w, model.tree.depth) for w in chunk]
-                codes, places = gram_codes(b"".join(data), model.tree.depth)
-                bits = np.r_[0.0, np.cumsum(model.tree.log2(codes), dtype=np.float64)]
-                ends = np.cumsum([len(x) - model.tree.depth for x in data])
-                scores = np.diff(bits[np.r_[0, ends]]) * math.log10(2)
-                for own, frame, score in zip(chunk, data, scores.tolist()):
+                data = [framed(w, depth) for w in chunk]
+                for own, frame, score in zip(chunk, data, _frame_scores(model.block, data)):
                     base, hits, rare = end_log, int(model.texts > 0), {}
                     for w in own:
                         if (x := frequent.get(w)) is None:
@@ -383,10 +454,29 @@ def _score(shared):
                         base += x
                         hits += 1
                     listed = [{"word": lost.get(w) or word_hash(w), "times": n} for w, n in rare.items()]
-                    rows.append((len(own) + 1, hits, len(frame) - model.tree.depth, base - (len(own) + 1) * model.denominator, score, listed))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), _RARE]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_part", "score", "rare"])
+                    rows.append((len(own) + 1, hits, len(frame) - depth, base - (len(own) + 1) * model.denominator, score, listed, frame if model.block.of > 1 else None))
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), _RARE, pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_part", "score", "rare", "frame"])
+
+    return run
+
+
+def _score_frames(shared):
+    """Scores of the decisions in one block, for texts that are framed already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores, held, size = [], [], 0
+            for frame in batch.column(1).to_pylist():
+                if held and size + len(frame) > CHUNK_BYTES:
+                    scores += _frame_scores(shared.value, held)
+                    held, size = [], 0
+                held.append(frame)
+                size += len(frame)
+            if held:
+                scores += _frame_scores(shared.value, held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
     return run
 
@@ -405,11 +495,20 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = MOST_GRAMS, top
     words = counts.table.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
     top = words.orderBy(F.desc("n"), "word").limit(top_words).toArrow().sort_by("word")
     denominator = math.log10(counts.tokens + counts.vocabulary + 1) if counts.texts else 0.0
-    model = Shared(tree_of(counts, depth, most), top.column("word").to_numpy(), top.column("n").to_numpy(), counts.texts, denominator)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(shared), f"doc_id {kind}, {_SCORED}")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+    context, parts = docs.sparkSession.sparkContext, []
+    for block in trees_of(counts, depth, most):
+        if not block.number:
+            shared = context.broadcast(Shared(block, top.column("word").to_numpy(), top.column("n").to_numpy(), counts.texts, denominator))
+            rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(shared), f"doc_id {kind}, {_SCORED}")
+            rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+            parts.append(rows.select("row", "score"))
+        else:
+            shared = context.broadcast(block)
+            parts.append(materialize(rows.select("row", "frame").mapInArrow(_score_frames(shared), "row long, score double"), "scored-block"))
+        shared.destroy()
+    if len(parts) > 1:
+        rows = rows.drop("frame", "score").join(materialize(reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.sum("score").alias("score")), "scores"), "row")
     rare = rows.select("row", F.inline("rare"))
     joined = rare.join(words, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
     added = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("base_more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_more"))
