@@ -95,3 +95,12 @@ def test_stage_keeps_columns_and_blocks_agree(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ld.report(df).count() == 0 and ld.drop_recurring_lines(df).count() == 0
+
+
+def test_a_shared_passage_does_not_make_its_documents_near_copies(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passages = [line(n) for n in (100, 100, 60, 200)]
+    rows = [(1000 * k + i, passage + "\n" + line(40)) for k, passage in enumerate(passages) for i in range(40)]
+    out = ld.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 160 and all(r.lines_dropped == 1 for r in out)

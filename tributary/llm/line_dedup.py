@@ -11,7 +11,8 @@ path ends in a leaf. Two kinds of template come out of a leaf:
 
 A template recurs if ``LEAST_DOCUMENTS`` documents or more hold it, where copies count
 once: exact copies share a text hash, and near copies mostly share a sketch (the
-least hash over the text's word starts). A template most of whose documents
+least hash over the text's word starts outside the lines being judged, so that a shared
+line does not make its own documents look alike). A template most of whose documents
 share their sketches is the content of a group of near copies, not boilerplate,
 and is left to near-duplicate removal.
 
@@ -46,6 +47,7 @@ LEAF_BITS = 26
 _DIGIT = re.compile(rb"[0-9]")
 _VARIABLE = re.compile(rb"\S*[0-9]\S*")
 _MASK = b"<*>"
+_NO_WORD = (1 << 63) - 1
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -71,34 +73,56 @@ def codes(line: bytes) -> tuple[int, int, list[bytes]] | None:
     return _signed(leaf), _signed(digest(b" ".join(words))), words
 
 
-def sketch(raw: bytes) -> int:
-    """The least hash of 24 bytes from each word start: equal for most near copies."""
+def word_starts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a text's word starts, and hashes of 24 bytes from each."""
     data = np.frombuffer(raw + b" " * 24, np.uint8)
     n = len(raw)
-    if not n:
-        return 0
     space = data[: n - 1] <= 0x20
     at = np.r_[0, np.flatnonzero(space & (data[1:n] > 0x20)) + 1]
     windows = np.ndarray((n + 17,), "<u8", data, 0, (1,))
     mixed = windows[at] * _WEIGHTS[0] + windows[at + 8] * _WEIGHTS[1] + windows[at + 16] * _WEIGHTS[2]
     mixed ^= mixed >> np.uint64(32)
     mixed *= _WEIGHTS[0]
-    return int((mixed ^ mixed >> np.uint64(29)).min() >> np.uint64(1))
+    return at, (mixed ^ mixed >> np.uint64(29)) >> np.uint64(1)
+
+
+def sketch(raw: bytes) -> int:
+    """The least hash of a text's word starts: equal for most near copies."""
+    return int(word_starts(raw)[1].min()) if raw else 0
+
+
+def line_minima(raw: bytes) -> list[int]:
+    """The least hash of the word starts in each line."""
+    at, mixed = word_starts(raw)
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x0A)
+    out = np.full(len(ends) + 1, _NO_WORD, np.uint64)
+    np.minimum.at(out, np.searchsorted(ends, at), mixed)
+    return out.tolist()
+
+
+def sketches(minima: list[int], groups: list) -> dict:
+    """For each group of lines, the least hash of the lines outside it; 0 if they hold no word."""
+    least: dict = {}
+    for x, group in zip(minima, groups):
+        least[group] = min(x, least.get(group, _NO_WORD))
+    order = sorted(least.values())[:2] + [_NO_WORD]
+    out = {group: order[x == order[0]] for group, x in least.items()}
+    return {group: 0 if x == _NO_WORD else x for group, x in out.items()}
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for raw in raw_texts(batch.column(0)):
-            own = {}
-            for line in raw.split(b"\n"):
-                if line and (found := codes(line)):
-                    own[found[1]] = found[0]
+            found = [codes(line) if line else None for line in raw.split(b"\n")]
+            own = {f[1]: f[0] for f in found if f}
             if own:
-                text, near = _signed(xxhash.xxh3_64_intdigest(raw)), sketch(raw)
-                rows.extend((leaf, template, text, near) for template, leaf in own.items())
-        columns = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["leaf", "template", "text", "near"])
+                text, minima = _signed(xxhash.xxh3_64_intdigest(raw)), line_minima(raw)
+                near = sketches(minima, [f and f[1] for f in found])
+                leaf_near = sketches(minima, [f and f[0] for f in found])
+                rows.extend((leaf, template, text, near[template], leaf_near[leaf]) for template, leaf in own.items())
+        columns = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["leaf", "template", "text", "near", "leaf_near"])
 
 
 def _spread(lines: DataFrame, *keys: str) -> DataFrame:
@@ -161,11 +185,11 @@ def _generalised(docs: DataFrame, templates: DataFrame, leaves: DataFrame) -> Da
 
 def recurring_templates(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(template): hashes of the masked lines that are dropped."""
-    lines = materialize(docs.select("text").mapInArrow(_lines, "leaf long, template long, text long, near long"), "lines")
+    lines = materialize(docs.select("text").mapInArrow(_lines, "leaf long, template long, text long, near long, leaf_near long"), "lines")
     templates = materialize(_spread(lines, "leaf", "template"), "templates")
     exact = templates.where(_recurs(least)).select("template")
     several = templates.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("documents").alias("n")).where(f"kinds > 1 AND n >= {least}").select("leaf")
-    leaves = materialize(_spread(lines, "leaf").where(_recurs(least)).join(several, "leaf", "left_semi"), "leaves")
+    leaves = materialize(_spread(lines.select("leaf", "text", F.col("leaf_near").alias("near")), "leaf").where(_recurs(least)).join(several, "leaf", "left_semi"), "leaves")
     if leaves.isEmpty():
         return exact
     alike = materialize(_generalised(docs, templates, leaves), "alike")
