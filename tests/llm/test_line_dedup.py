@@ -104,3 +104,13 @@ def test_a_shared_passage_does_not_make_its_documents_near_copies(spark):
     rows = [(1000 * k + i, passage + "\n" + line(40)) for k, passage in enumerate(passages) for i in range(40)]
     out = ld.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == 160 and all(r.lines_dropped == 1 for r in out)
+
+
+def test_two_templates_and_prose_in_one_leaf(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    shared = [lambda: f"thank you for reading this post {word()}", lambda: f"thank you for visiting our website {word()}", lambda: f"thank you for {line(4)}"]
+    rows = [(i, line(12) + "\n" + shared[i % 3]() + "\n" + line(15)) for i in range(120)]
+    out = ld.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 120 and all(r.lines_dropped == (r.doc_id % 3 < 2) for r in out)

@@ -5,9 +5,11 @@ a fixed depth: the number of tokens, then the first ``LEADING`` masked tokens; a
 path ends in a leaf. Two kinds of template come out of a leaf:
 
 * the masked line itself, if it recurs;
-* the leaf's generalised template, in which every position whose most frequent
-  token is not in nearly all of the leaf's lines is a variable, if enough
-  positions stay constant. It stands for the lines that agree with its constants.
+* its generalised templates, in which every position whose most frequent
+  token is not in nearly all of a group's lines is a variable, if enough
+  positions stay constant. Each stands for the lines that agree with its constants. The
+  leaf is the first group. Lines that a template leaves over are a group again, and a
+  group without a template is parted by the frequent tokens of one position.
 
 A template recurs if ``LEAST_DOCUMENTS`` documents or more hold it, where copies count
 once: exact copies share a text hash, and near copies mostly share a sketch (the
@@ -25,6 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -155,11 +158,13 @@ def _leaf_lines(shared):
     return run
 
 
-def _generalised(docs: DataFrame, templates: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Templates (the masked lines) that agree with the generalised template of their leaf.
+def _generalised(docs: DataFrame, templates: DataFrame, leaves: DataFrame, least: int) -> DataFrame:
+    """Templates (the masked lines) that agree with a generalised template of ``least`` documents in their leaf.
 
     Works on distinct masked lines, weighed by their documents. Tokens are
-    counted by (leaf, position, token), so a large leaf is dealt out too.
+    counted by (group, position, token), so a large leaf is dealt out too. In each
+    round a group loses the lines of its template, or a position with
+    frequent tokens, so the rounds end, at the latest, with the lines and their lengths.
     """
     spark = docs.sparkSession
     size = 1 << LEAF_BITS
@@ -170,17 +175,33 @@ def _generalised(docs: DataFrame, templates: DataFrame, leaves: DataFrame) -> Da
     shared = spark.sparkContext.broadcast(bits)
     found = docs.select("text").mapInArrow(_leaf_lines(shared), "leaf long, template long, tokens array<long>")
     lines = found.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"))
-    lines = lines.join(leaves.select("leaf", F.col("documents").alias("leaf_documents")), "leaf").join(templates.select("template", "documents"), "template")
-    lines = materialize(lines, "leaf-lines")
-    tokens = lines.select("leaf", "documents", F.posexplode("tokens").alias("at", "token"))
-    counted = tokens.groupBy("leaf", "at", "token").agg(F.sum("documents").alias("n"))
-    shape = counted.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("of"))
-    constant = F.when(F.col("most.n") >= CONSTANT * F.col("of"), F.col("most.token"))
-    shape = shape.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", constant.alias("token")))).alias("shape"))  # one entry a token of a line
-    kept = F.filter("shape", lambda p: p["token"].isNotNull())
-    shape = shape.select("leaf", kept.alias("kept"), F.size("shape").alias("length")).where(F.size("kept") >= SIMILAR * F.col("length"))
-    agrees = F.forall("kept", lambda p: F.element_at("tokens", p["at"] + 1) == p["token"])
-    return lines.join(materialize(shape, "shapes"), "leaf").where(agrees).select("leaf", "template", "documents")
+    lines = lines.join(leaves.select("leaf"), "leaf").join(templates.select("template", "documents"), "template")
+    lines = materialize(lines.select(F.col("leaf").alias("group"), "template", "documents", "tokens"), "leaf-lines")
+    out = []
+    while True:
+        tokens = lines.select("group", "documents", F.posexplode("tokens").alias("at", "token"))
+        counted = materialize(tokens.groupBy("group", "at", "token").agg(F.sum("documents").alias("n")), "tokens")
+        shape = counted.groupBy("group", "at").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("of"))
+        constant = F.when(F.col("most.n") >= CONSTANT * F.col("of"), F.col("most.token"))
+        parting = F.when(constant.isNull() & (F.col("most.n") >= least), F.struct(F.col("most.n").alias("n"), F.col("at")))
+        shape = shape.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("at", constant.alias("token")))).alias("shape"), F.max(parting).alias("parting"))  # one entry a token of a line
+        kept = F.filter("shape", lambda p: p["token"].isNotNull())
+        shape = shape.select("group", kept.alias("kept"), F.size("shape").alias("length"), F.col("parting.at").alias("parting"))
+        whole = F.size("kept") >= SIMILAR * F.col("length")
+        agrees = whole & F.forall("kept", lambda p: F.element_at("tokens", p["at"] + 1) == p["token"])
+        lines = materialize(lines.join(shape, "group").withColumn("agrees", agrees), "shaped")
+        enough = lines.groupBy("group").agg(F.sum(F.when(F.col("agrees"), F.col("documents")).otherwise(0)).alias("alike"), F.sum("documents").alias("all"))
+        lines = lines.join(enough, "group")
+        found = (F.col("alike") >= least) & F.col("agrees")
+        out.append(materialize(lines.where(found).select("template"), "alike"))
+        left = lines.where(~found & (((F.col("alike") >= least) & (F.col("all") - F.col("alike") >= least)) | ((F.col("alike") < least) & F.col("parting").isNotNull())))
+        frequent = counted.where(F.col("n") >= least).select("group", F.col("at").alias("parting"), F.col("token").alias("word"), F.lit(True).alias("frequent"))
+        left = left.withColumn("parting", F.when(F.col("alike") < least, F.col("parting"))).withColumn("word", F.element_at("tokens", F.col("parting") + 1))
+        left = left.join(frequent, ["group", "parting", "word"], "left")
+        group = F.xxhash64("group", F.coalesce("parting", F.lit(-1)), F.when(F.col("frequent"), F.col("word")))
+        lines = materialize(left.select(group.alias("group"), "template", "documents", "tokens"), "leaf-lines")
+        if lines.isEmpty():
+            return reduce(DataFrame.unionByName, out)
 
 
 def recurring_templates(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -192,9 +213,7 @@ def recurring_templates(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFr
     leaves = materialize(_spread(lines.select("leaf", "text", F.col("leaf_near").alias("near")), "leaf").where(_recurs(least)).join(several, "leaf", "left_semi"), "leaves")
     if leaves.isEmpty():
         return exact
-    alike = materialize(_generalised(docs, templates, leaves), "alike")
-    enough = alike.groupBy("leaf").agg(F.sum("documents").alias("n")).where(F.col("n") >= least).select("leaf")
-    return exact.unionByName(alike.join(enough, "leaf", "left_semi").select("template")).distinct()
+    return exact.unionByName(_generalised(docs, templates, leaves, least)).distinct()
 
 
 def _apply(shared, at: int, report: bool):
