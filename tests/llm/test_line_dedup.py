@@ -114,3 +114,13 @@ def test_two_templates_and_prose_in_one_leaf(spark):
     rows = [(i, line(12) + "\n" + shared[i % 3]() + "\n" + line(15)) for i in range(120)]
     out = ld.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == 120 and all(r.lines_dropped == (r.doc_id % 3 < 2) for r in out)
+
+
+def test_long_passages_of_few_unrelated_documents(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passages, group = {k: line(n) for k, n in ((2, 60), (9, 55), (5, 49))}, [line(60) for _ in range(8)]
+    rows = [(100 * k + i, line(30) + "\n" + passage + "\n" + line(20)) for k, passage in passages.items() for i in range(k)]
+    rows += [(2000 + i, "\n".join([*group, line(3)])) for i in range(4)]  # near copies keep their content
+    out = {r.doc_id: r.lines_dropped for r in ld.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: int(200 <= i < 1000 and not 500 <= i < 600) for i, _ in rows}

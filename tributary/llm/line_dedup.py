@@ -18,6 +18,10 @@ line does not make its own documents look alike). A template most of whose docum
 share their sketches is the content of a group of near copies, not boilerplate,
 and is left to near-duplicate removal.
 
+Templates of ``LONG_TOKENS`` or more also recur in fewer documents, down to two, if
+two of these are unlike each other: of ``MARKS`` least hashes outside the line, under
+half agree.
+
 Lines of recurring templates are dropped from every document. Lines of fewer
 than ``LEAST_TOKENS`` tokens are too short to tell and stay.
 """
@@ -38,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import materialize, raw_texts
 
 LEADING, LEAST_TOKENS, LEAST_DOCUMENTS = 3, 4, 10
+LONG_TOKENS, MARKS = 50, 8
 #: Share of a leaf's lines that a constant token is in, and of positions that must be constant.
 CONSTANT, SIMILAR = 0.8, 0.6
 #: Distinct sketches must be this share of the distinct texts.
@@ -113,6 +118,19 @@ def sketches(minima: list[int], groups: list) -> dict:
     return {group: 0 if x == _NO_WORD else x for group, x in out.items()}
 
 
+def marks(raw: bytes, lines: set[int]) -> list[int]:
+    """Least hashes, by MARKS functions, of the word starts outside these lines; none without such words."""
+    at, mixed = word_starts(raw)
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x0A)
+    rest = mixed[~np.isin(np.searchsorted(ends, at), list(lines))]
+    out = []
+    for n in range(MARKS if len(rest) else 0):
+        x = (rest ^ np.uint64(n + 1) * _WEIGHTS[1]) * _WEIGHTS[2]
+        x = (x ^ x >> np.uint64(32)) * _WEIGHTS[0]
+        out.append(int((x ^ x >> np.uint64(29)).min() >> np.uint64(1)))
+    return out
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -123,9 +141,15 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text, minima = _signed(xxhash.xxh3_64_intdigest(raw)), line_minima(raw)
                 near = sketches(minima, [f and f[1] for f in found])
                 leaf_near = sketches(minima, [f and f[0] for f in found])
-                rows.extend((leaf, template, text, near[template], leaf_near[leaf]) for template, leaf in own.items())
-        columns = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["leaf", "template", "text", "near", "leaf_near"])
+                places: dict[int, set[int]] = {}
+                for n, f in enumerate(found):
+                    if f and len(f[2]) >= LONG_TOKENS:
+                        places.setdefault(f[1], set()).add(n)
+                held = {template: marks(raw, lines) for template, lines in places.items()}
+                rows.extend((leaf, template, text, near[template], leaf_near[leaf], held.get(template)) for template, leaf in own.items())
+        columns = list(zip(*rows)) or [()] * 6
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["leaf", "template", "text", "near", "leaf_near", "marks"])
 
 
 def _spread(lines: DataFrame, *keys: str) -> DataFrame:
@@ -139,6 +163,15 @@ def _recurs(least: int):
     return (F.col("documents") >= least) & (F.col("documents") >= APART * F.col("texts"))
 
 
+def _long_recurring(lines: DataFrame, templates: DataFrame, least: int) -> DataFrame:
+    """Long templates of 2 to ``least`` - 1 documents, two of which are unlike each other."""
+    few = templates.where((F.col("documents") >= 2) & (F.col("documents") < least)).select("template")
+    held = lines.where(F.col("marks").isNotNull()).groupBy("template", "near").agg(F.min("marks").alias("marks"))
+    held = held.join(few, "template", "left_semi").groupBy("template").agg(F.collect_list("marks").alias("all"))  # fewer than least
+    agree = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    return held.where(F.exists("all", lambda a: F.exists("all", lambda b: agree(a, b) < MARKS / 2))).select("template")
+
+
 def _leaf_lines(shared):
     """Tokens of the lines in leaves whose bit is set."""
 
@@ -206,9 +239,9 @@ def _generalised(docs: DataFrame, templates: DataFrame, leaves: DataFrame, least
 
 def recurring_templates(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(template): hashes of the masked lines that are dropped."""
-    lines = materialize(docs.select("text").mapInArrow(_lines, "leaf long, template long, text long, near long, leaf_near long"), "lines")
+    lines = materialize(docs.select("text").mapInArrow(_lines, "leaf long, template long, text long, near long, leaf_near long, marks array<long>"), "lines")
     templates = materialize(_spread(lines, "leaf", "template"), "templates")
-    exact = templates.where(_recurs(least)).select("template")
+    exact = templates.where(_recurs(least)).select("template").unionByName(_long_recurring(lines, templates, least))
     several = templates.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("documents").alias("n")).where(f"kinds > 1 AND n >= {least}").select("leaf")
     leaves = materialize(_spread(lines.select("leaf", "text", F.col("leaf_near").alias("near")), "leaf").where(_recurs(least)).join(several, "leaf", "left_semi"), "leaves")
     if leaves.isEmpty():
