@@ -10,10 +10,14 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
 
+#: Keys that are broadcast at most; parts that a hot key is dealt out to beyond that.
+MOST_KEYS, SALTS = 500_000, 16
+
 #: Records and bytes of an Arrow batch that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
@@ -60,6 +64,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def salted_join(rows: DataFrame, keys: DataFrame, key: str, salt: str) -> DataFrame:
+    """Left join with a table of distinct keys, of which each is dealt out to SALTS parts by the column ``salt`` of the rows."""
+    part = fresh([*rows.columns, *keys.columns], "part")
+    dealt = keys.withColumn(part, F.explode(F.array(*(F.lit(n) for n in range(SALTS)))))
+    return rows.withColumn(part, F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(dealt, [key, part], "left").drop(part)
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, key: str, salt: str, most: int = MOST_KEYS) -> DataFrame:
+    """Left join with ``keys``, a stored table of distinct keys.
+
+    Up to ``most`` keys are broadcast; more are joined with salt, as one key may hold a third of the rows.
+    """
+    return rows.join(F.broadcast(keys), key, "left") if keys.count() <= most else salted_join(rows, keys, key, salt)
+
+
+def flagged(rows: DataFrame, keys: DataFrame, key: str, flag: str, salt: str, most: int = MOST_KEYS) -> DataFrame:
+    """``rows`` with a boolean ``flag``: whether ``keys`` has the row's ``key``."""
+    joined = looked_up(rows, keys.select(key, F.lit(True).alias(flag)), key, salt, most)
+    return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def raw_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -4,34 +4,34 @@ A line's tokens that hold a digit are variable and masked. The parse tree has
 a fixed depth: the number of tokens, then the first ``LEADING`` masked tokens; a
 path ends in a leaf. Two kinds of template come out of a leaf:
 
-* the masked line itself, if it recurs;
-* its generalised templates, in which every position whose most frequent
-  token is not in nearly all of a group's lines is a variable, if enough
-  positions stay constant. Each stands for the lines that agree with its constants. The
-  leaf is the first group. Lines that a template leaves over are a group again, and a
-  group without a template is parted by the frequent tokens of one position.
-
-A template recurs if ``LEAST_DOCUMENTS`` documents or more hold it, where copies count
-once: exact copies share a text hash, and near copies mostly share a sketch (the
-least hash over the text's word starts outside the lines being judged, so that a shared
-line does not make its own documents look alike). A template most of whose documents
-share their sketches is the content of a group of near copies, not boilerplate,
-and is left to near-duplicate removal.
-
-Templates of ``LONG_TOKENS`` or more also recur in fewer documents, down to two, if
-two of these are unlike each other: of ``MARKS`` least hashes outside the line, under
-half agree.
-
-Lines of recurring templates are dropped from every document. Lines of fewer
-than ``LEAST_TOKENS`` tokens are too short to tell and stay.
+* the masked line itself, if it recurs. Where masking leaves no letter (numbers
+  in a table), the line as it is; lines without letters and digits have no template;
+* its generalised templates. A token is a constant of the leaf if
+  ``least`` documents have it in that position; the other positions are variable fields. Lines
+  with the same constants are one template, if ``SIMILAR`` of the positions are constant,
+  of all and of those behind the leading ones. Lines that are left over are tried once more
+  with the tokens that nearly all of them share (``CONSTANT``).
+
+A template recurs if ``LEAST_DOCUMENTS`` texts with words of their own hold it, and these are
+a tenth of all texts that do. Exact
+copies are one text. A text has words of its own if, of its words outside candidate templates
+(those in that many texts of any kind), at least half are in lines that no other text shares. A line is
+shared if one of its sketches, the least or greatest of the hashes of five words from each word start in it, is in
+another text: so a copy's edited lines are shared, and a group of copies is no
+evidence against its own lines, however large it is, while pages
+that consist of the same lines but for one of their own are.
+
+A template of ``LONG_TOKENS`` tokens or more also recurs if two unlike texts hold it:
+of the least hashes, in ``MARKS`` classes, of the words outside it, under ``ALIKE`` agree.
+
+Lines of recurring templates are dropped from every document.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,24 +39,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_texts
+from .common import flagged, fresh, looked_up, materialize, raw_texts, salted_join
 
-LEADING, LEAST_TOKENS, LEAST_DOCUMENTS = 3, 4, 10
-LONG_TOKENS, MARKS = 50, 8
-#: Share of a leaf's lines that a constant token is in, and of positions that must be constant.
+LEADING, LEAST_DOCUMENTS = 3, 10
+LONG_TOKENS, MARKS = 50, 32
+#: Two texts are unlike below this share of equal marks. Of the texts that hold a template, this share must speak for it.
+ALIKE, SPREAD = 0.3, 0.1
+#: Share of the lines left over that a constant token is in, and of positions that must be constant.
 CONSTANT, SIMILAR = 0.8, 0.6
-#: Distinct sketches must be this share of the distinct texts.
-APART = 0.5
-#: Hashes of dropped templates that are broadcast at once; more are applied block by block.
-BLOCK_TEMPLATES = 4_000_000
+#: Of the words outside candidate templates, this share is the text's own.
+OWN = 0.5
+#: Hashes of dropped templates that are broadcast at most; more are joined to the texts.
+MOST_TEMPLATES = 4_000_000
 #: Bits of the map that narrows the second pass to leaves of interest.
 LEAF_BITS = 26
+#: Bytes from a word start that are hashed: some five words.
+WINDOW = 32
+#: Texts that a worker remembers, to parse copies once.
+SEEN = 200_000
 
 _DIGIT = re.compile(rb"[0-9]")
+_LETTER = re.compile(rb"[a-z\x80-\xff]")
 _VARIABLE = re.compile(rb"\S*[0-9]\S*")
 _MASK = b"<*>"
-_NO_WORD = (1 << 63) - 1
-_WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def _signed(x: int) -> int:
@@ -64,112 +70,139 @@ def _signed(x: int) -> int:
 
 
 def masked_tokens(line: bytes) -> list[bytes]:
-    """Tokens of a line (ASCII white space, A-Z in lower case), those with a digit masked."""
+    """Tokens of a line (ASCII white space, A-Z in lower case), those with a digit masked; none without a letter or digit."""
     low = line.lower()
-    if _DIGIT.search(low):
-        low = _VARIABLE.sub(_MASK, low)
-    return low.split()
+    digit = _DIGIT.search(low)
+    masked = _VARIABLE.sub(_MASK, low) if digit else low
+    if _LETTER.search(masked):
+        return masked.split()
+    return low.split() if digit else []
 
 
 def codes(line: bytes) -> tuple[int, int, list[bytes]] | None:
-    """(leaf, template, masked tokens); None for a line that is too short."""
+    """(leaf, template, tokens); None for a line that has no template."""
     words = masked_tokens(line)
-    if len(words) < LEAST_TOKENS:
+    if not words:
         return None
     digest = xxhash.xxh3_64_intdigest
     leaf = digest(b"%d " % len(words) + b" ".join(words[:LEADING]))
     return _signed(leaf), _signed(digest(b" ".join(words))), words
 
 
-def word_starts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a text's word starts, and hashes of 24 bytes from each."""
-    data = np.frombuffer(raw + b" " * 24, np.uint8)
+def word_windows(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For each word start in a text, the number of its line and the hash of the ``WINDOW`` bytes from it."""
+    data = np.frombuffer(raw + b" " * WINDOW, np.uint8)
     n = len(raw)
     space = data[: n - 1] <= 0x20
     at = np.r_[0, np.flatnonzero(space & (data[1:n] > 0x20)) + 1]
-    windows = np.ndarray((n + 17,), "<u8", data, 0, (1,))
-    mixed = windows[at] * _WEIGHTS[0] + windows[at + 8] * _WEIGHTS[1] + windows[at + 16] * _WEIGHTS[2]
+    windows = np.ndarray((n + WINDOW - 7,), "<u8", data, 0, (1,))
+    mixed = sum(windows[at + 8 * k] * _WEIGHTS[k] for k in range(WINDOW // 8))
     mixed ^= mixed >> np.uint64(32)
     mixed *= _WEIGHTS[0]
-    return at, (mixed ^ mixed >> np.uint64(29)) >> np.uint64(1)
-
-
-def sketch(raw: bytes) -> int:
-    """The least hash of a text's word starts: equal for most near copies."""
-    return int(word_starts(raw)[1].min()) if raw else 0
-
-
-def line_minima(raw: bytes) -> list[int]:
-    """The least hash of the word starts in each line."""
-    at, mixed = word_starts(raw)
-    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x0A)
-    out = np.full(len(ends) + 1, _NO_WORD, np.uint64)
-    np.minimum.at(out, np.searchsorted(ends, at), mixed)
-    return out.tolist()
-
-
-def sketches(minima: list[int], groups: list) -> dict:
-    """For each group of lines, the least hash of the lines outside it; 0 if they hold no word."""
-    least: dict = {}
-    for x, group in zip(minima, groups):
-        least[group] = min(x, least.get(group, _NO_WORD))
-    order = sorted(least.values())[:2] + [_NO_WORD]
-    out = {group: order[x == order[0]] for group, x in least.items()}
-    return {group: 0 if x == _NO_WORD else x for group, x in out.items()}
-
-
-def marks(raw: bytes, lines: set[int]) -> list[int]:
-    """Least hashes, by MARKS functions, of the word starts outside these lines; none without such words."""
-    at, mixed = word_starts(raw)
-    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x0A)
-    rest = mixed[~np.isin(np.searchsorted(ends, at), list(lines))]
-    out = []
-    for n in range(MARKS if len(rest) else 0):
-        x = (rest ^ np.uint64(n + 1) * _WEIGHTS[1]) * _WEIGHTS[2]
-        x = (x ^ x >> np.uint64(32)) * _WEIGHTS[0]
-        out.append(int((x ^ x >> np.uint64(29)).min() >> np.uint64(1)))
-    return out
+    return np.searchsorted(np.flatnonzero(data[:n] == 0x0A), at), (mixed ^ mixed >> np.uint64(29)) >> np.uint64(1)
+
+
+def line_sketches(line: np.ndarray, hashes: np.ndarray, lines: int) -> list[tuple[int, int, int]]:
+    """SKETCHES of each line: the least and the greatest hash of its word starts, and the least by another function."""
+    starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    out = np.zeros((lines, 3), np.int64)
+    for k, reduced in enumerate((np.minimum, np.maximum, np.minimum)):
+        out[line[starts], k] = reduced.reduceat(hashes * _WEIGHTS[1] >> np.uint64(1) if k == 2 else hashes, starts)
+    return list(map(tuple, out.tolist()))
+
+
+def text_marks(templates: np.ndarray, hashes: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """For each of MARKS classes of hashes the least one, its template, and the least one of another template; -1 where there is none."""
+    kind, value = hashes % np.uint64(MARKS), (hashes // np.uint64(MARKS) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+    order = np.lexsort((value, kind))
+    kind, value, held = kind[order].astype(np.int64), value[order], templates[order]
+    least, by, second = np.full(MARKS, -1), np.zeros(MARKS, np.int64), np.full(MARKS, -1)
+    first = np.unique(kind, return_index=True)[1]
+    least[kind[first]], by[kind[first]] = value[first], held[first]
+    others = held != by[kind]
+    first = np.unique(kind[others], return_index=True)[1]
+    second[kind[others][first]] = value[others][first]
+    return least.tolist(), by.tolist(), second.tolist()
+
+
+SKETCHES = ("low", "high", "other")
+_LINE = "text long, leaf long, template long, tokens int, words int, low long, high long, other long, marks struct<least:array<int>,by:array<long>,second:array<int>>"
+_MARKS = pa.struct([("least", pa.list_(pa.int32())), ("by", pa.list_(pa.int64())), ("second", pa.list_(pa.int32()))])
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text and template; the marks of a text with long lines are in one of its rows."""
+    seen: set[int] = set()
     for batch in batches:
         rows = []
-        for raw in raw_texts(batch.column(0)):
-            found = [codes(line) if line else None for line in raw.split(b"\n")]
-            own = {f[1]: f[0] for f in found if f}
-            if own:
-                text, minima = _signed(xxhash.xxh3_64_intdigest(raw)), line_minima(raw)
-                near = sketches(minima, [f and f[1] for f in found])
-                leaf_near = sketches(minima, [f and f[0] for f in found])
-                places: dict[int, set[int]] = {}
-                for n, f in enumerate(found):
-                    if f and len(f[2]) >= LONG_TOKENS:
-                        places.setdefault(f[1], set()).add(n)
-                held = {template: marks(raw, lines) for template, lines in places.items()}
-                rows.extend((leaf, template, text, near[template], leaf_near[leaf], held.get(template)) for template, leaf in own.items())
-        columns = list(zip(*rows)) or [()] * 6
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["leaf", "template", "text", "near", "leaf_near", "marks"])
-
-
-def _spread(lines: DataFrame, *keys: str) -> DataFrame:
-    """Distinct texts and distinct sketches that hold each key; exact copies of a text count once."""
-    once = lines.groupBy(*keys, "near", "text").agg(F.lit(1).alias("one"))
-    near = once.groupBy(*keys, "near").agg(F.sum("one").alias("texts"))
-    return near.groupBy(*keys).agg(F.sum("texts").alias("texts"), F.count(F.lit(1)).alias("documents"))
-
-
-def _recurs(least: int):
-    return (F.col("documents") >= least) & (F.col("documents") >= APART * F.col("texts"))
-
-
-def _long_recurring(lines: DataFrame, templates: DataFrame, least: int) -> DataFrame:
-    """Long templates of 2 to ``least`` - 1 documents, two of which are unlike each other."""
-    few = templates.where((F.col("documents") >= 2) & (F.col("documents") < least)).select("template")
-    held = lines.where(F.col("marks").isNotNull()).groupBy("template", "near").agg(F.min("marks").alias("marks"))
-    held = held.join(few, "template", "left_semi").groupBy("template").agg(F.collect_list("marks").alias("all"))  # fewer than least
-    agree = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return held.where(F.exists("all", lambda a: F.exists("all", lambda b: agree(a, b) < MARKS / 2))).select("template")
+        for text, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+            if text in seen:
+                continue
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.add(text)
+            found = [codes(line) for line in raw.split(b"\n")]
+            line, hashes = word_windows(raw)
+            own: dict[int, list] = {}
+            for code, sketches in zip(found, line_sketches(line, hashes, len(found))):
+                if code:
+                    leaf, template, tokens = code
+                    if row := own.get(template):
+                        row[4] += len(tokens)
+                        row[5:8] = min(row[5], sketches[0]), max(row[6], sketches[1]), min(row[7], sketches[2])
+                    else:
+                        own[template] = [text, leaf, template, len(tokens), len(tokens), *sketches, None]
+            if any(row[3] >= LONG_TOKENS for row in own.values()):
+                templates = np.array([code[1] if code else 0 for code in found])
+                next(iter(own.values()))[8] = dict(zip(("least", "by", "second"), text_marks(templates[line], hashes)))
+            rows.extend(own.values())
+        columns = list(zip(*rows)) or [()] * 9
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), _MARKS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["text", "leaf", "template", "tokens", "words", "low", "high", "other", "marks"])
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """One row for each distinct text (its hash) and template in it."""
+    texts = docs.where(F.length("text") > 0).select(F.xxhash64("text").alias("id"), "text")
+    every = texts.mapInArrow(_lines, _LINE).groupBy("template", "text")
+    return materialize(every.agg(*(F.min(c).alias(c) for c in ("leaf", "tokens", "words", *SKETCHES, "marks"))), "lines")
+
+
+def _evidence(lines: DataFrame, least: int) -> DataFrame:
+    """Texts and their templates, with 1 for the texts that have words of their own."""
+    texts = lines.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("tokens").alias("tokens"))
+    long = (F.col("tokens") >= LONG_TOKENS) & (F.col("texts") >= 2)
+    candidates = materialize(texts.where((F.col("texts") >= least) | long).select("template"), "candidates")
+    sketches = lines.select("text", F.explode(F.array(*SKETCHES)).alias("sketch"))
+    shared = sketches.groupBy("sketch").agg(F.min("text").alias("first"), F.max("text").alias("last")).where("first < last")
+    shared = materialize(shared.select("sketch"), "shared")
+    rest = flagged(lines, candidates, "template", "candidate", "text").where(~F.col("candidate")).select("text", "words", *SKETCHES)
+    for kind in SKETCHES:
+        rest = flagged(rest, shared.withColumnRenamed("sketch", kind), kind, f"{kind}_shared", "text")
+    rest = rest.withColumn("shared", F.greatest(*(f"{kind}_shared" for kind in SKETCHES)))
+    words = rest.groupBy("text").agg(F.sum("words").alias("all"), F.sum(F.when(~F.col("shared"), F.col("words")).otherwise(0)).alias("own"))
+    own = words.where((F.col("own") > 0) & (F.col("own") >= OWN * F.col("all"))).select("text", F.lit(1).alias("evidence"))
+    held = lines.select("text", "leaf", "template").join(own, "text", "left")
+    return materialize(held.withColumn("evidence", F.coalesce("evidence", F.lit(0))), "evidence")
+
+
+def _spread(least: int):
+    return (F.col("documents") >= least) & (F.col("documents") >= SPREAD * F.col("texts"))
+
+
+def _long_recurring(lines: DataFrame) -> DataFrame:
+    """Long templates in texts of which ``SPREAD`` are unlike one of them (the one with the least hash), but for that line."""
+    long = lines.where(F.col("tokens") >= LONG_TOKENS).select("template", "text")
+    several = materialize(long.groupBy("template").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("template"), "long")
+    held = flagged(long, several, "template", "several", "text").where("several").select("template", "text")
+    marked = lines.where(F.col("marks").isNotNull()).select("text", "marks")
+    rest = F.transform("marks.least", lambda x, n: F.when(F.col("marks.by")[n] == F.col("template"), F.col("marks.second")[n]).otherwise(x))
+    held = materialize(held.join(marked, "text").select("template", "text", rest.alias("rest")).where(F.exists("rest", lambda x: x >= 0)), "long-lines")
+    first = materialize(held.groupBy("template").agg(F.min(F.struct("text", "rest"))["rest"].alias("first")), "first")
+    both = lambda agree: F.aggregate(F.zip_with("rest", "first", lambda x, y: agree(x, y).cast("int")), F.lit(0), lambda n, x: n + x)
+    apart = both(lambda x, y: (x == y) & (x >= 0)) < ALIKE * both(lambda x, y: (x >= 0) | (y >= 0))
+    unlike = looked_up(held, first, "template", "text").groupBy("template").agg(F.sum(apart.cast("int")).alias("n"), F.count(F.lit(1)).alias("texts"))
+    return unlike.where((F.col("n") > 0) & (F.col("n") >= SPREAD * F.col("texts"))).select("template")
 
 
 def _leaf_lines(shared):
@@ -178,123 +211,149 @@ def _leaf_lines(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         size = len(bits) * 8 - 1
+        seen: set[int] = set()
         for batch in batches:
             own: dict[int, tuple] = {}
             for raw in raw_texts(batch.column(0)):
                 for line in raw.split(b"\n"):
-                    if line and (found := codes(line)) and bits[(found[0] & size) >> 3] >> (found[0] & 7) & 1 and found[1] not in own:
+                    if line and (found := codes(line)) and bits[(found[0] & size) >> 3] >> (found[0] & 7) & 1 and found[1] not in seen:
                         own[found[1]] = (found[0], found[1], [_signed(xxhash.xxh3_64_intdigest(w)) for w in found[2]])
+                        seen.add(found[1])
+            if len(seen) > SEEN:
+                seen.clear()
             columns = list(zip(*own.values())) or [()] * 3
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["leaf", "template", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["leaf", "template", "line"])
 
     return run
 
 
-def _generalised(docs: DataFrame, templates: DataFrame, leaves: DataFrame, least: int) -> DataFrame:
-    """Templates (the masked lines) that agree with a generalised template of ``least`` documents in their leaf.
-
-    Works on distinct masked lines, weighed by their documents. Tokens are
-    counted by (group, position, token), so a large leaf is dealt out too. In each
-    round a group loses the lines of its template, or a position with
-    frequent tokens, so the rounds end, at the latest, with the lines and their lengths.
-    """
-    spark = docs.sparkSession
-    size = 1 << LEAF_BITS
-    bits = np.zeros(size // 8, np.uint8)  # 8 MB, whatever the number of leaves
-    slot = F.col("leaf").bitwiseAND(F.lit(size - 1))
+def _bits(leaves: DataFrame) -> np.ndarray:
+    """A map of 8 MB, whatever the number of leaves."""
+    bits = np.zeros((1 << LEAF_BITS) // 8, np.uint8)
+    slot = F.col("leaf").bitwiseAND(F.lit((1 << LEAF_BITS) - 1))
     set_ = leaves.groupBy(F.shiftright(slot, 3).cast("int").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(leaf & 7 AS int))")).alias("bits")).toArrow()
     bits[set_.column("byte").to_numpy()] = set_.column("bits").to_numpy()
-    shared = spark.sparkContext.broadcast(bits)
-    found = docs.select("text").mapInArrow(_leaf_lines(shared), "leaf long, template long, tokens array<long>")
-    lines = found.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"))
-    lines = lines.join(leaves.select("leaf"), "leaf").join(templates.select("template", "documents"), "template")
-    lines = materialize(lines.select(F.col("leaf").alias("group"), "template", "documents", "tokens"), "leaf-lines")
-    out = []
-    while True:
-        tokens = lines.select("group", "documents", F.posexplode("tokens").alias("at", "token"))
-        counted = materialize(tokens.groupBy("group", "at", "token").agg(F.sum("documents").alias("n")), "tokens")
-        shape = counted.groupBy("group", "at").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("of"))
-        constant = F.when(F.col("most.n") >= CONSTANT * F.col("of"), F.col("most.token"))
-        parting = F.when(constant.isNull() & (F.col("most.n") >= least), F.struct(F.col("most.n").alias("n"), F.col("at")))
-        shape = shape.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("at", constant.alias("token")))).alias("shape"), F.max(parting).alias("parting"))  # one entry a token of a line
-        kept = F.filter("shape", lambda p: p["token"].isNotNull())
-        shape = shape.select("group", kept.alias("kept"), F.size("shape").alias("length"), F.col("parting.at").alias("parting"))
-        whole = F.size("kept") >= SIMILAR * F.col("length")
-        agrees = whole & F.forall("kept", lambda p: F.element_at("tokens", p["at"] + 1) == p["token"])
-        lines = materialize(lines.join(shape, "group").withColumn("agrees", agrees), "shaped")
-        enough = lines.groupBy("group").agg(F.sum(F.when(F.col("agrees"), F.col("documents")).otherwise(0)).alias("alike"), F.sum("documents").alias("all"))
-        lines = lines.join(enough, "group")
-        found = (F.col("alike") >= least) & F.col("agrees")
-        out.append(materialize(lines.where(found).select("template"), "alike"))
-        left = lines.where(~found & (((F.col("alike") >= least) & (F.col("all") - F.col("alike") >= least)) | ((F.col("alike") < least) & F.col("parting").isNotNull())))
-        frequent = counted.where(F.col("n") >= least).select("group", F.col("at").alias("parting"), F.col("token").alias("word"), F.lit(True).alias("frequent"))
-        left = left.withColumn("parting", F.when(F.col("alike") < least, F.col("parting"))).withColumn("word", F.element_at("tokens", F.col("parting") + 1))
-        left = left.join(frequent, ["group", "parting", "word"], "left")
-        group = F.xxhash64("group", F.coalesce("parting", F.lit(-1)), F.when(F.col("frequent"), F.col("word")))
-        lines = materialize(left.select(group.alias("group"), "template", "documents", "tokens"), "leaf-lines")
-        if lines.isEmpty():
-            return reduce(DataFrame.unionByName, out)
+    return bits
+
+
+def _alike(lines: DataFrame, least: int, constant: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(template, group) of the lines whose constants make a template, and the lines that are left over."""
+    key = F.xxhash64("leaf", "at", "token").alias("key")
+    tokens = lines.select("leaf", "template", "documents", F.posexplode("line").alias("at", "token"))
+    frequent = materialize(constant(tokens.groupBy("leaf", "at", "token").agg(F.sum("documents").alias("n"))).select(key), "constants")
+    marked = flagged(tokens.select("leaf", "template", "documents", "at", "token", key), frequent, "key", "constant", "template")
+    entry = F.when(F.col("constant"), F.struct("at", "token"))
+    shapes = marked.groupBy("leaf", "template").agg(F.first("documents").alias("documents"), F.count(F.lit(1)).alias("length"), F.sort_array(F.collect_list(entry)).alias("kept"))  # one entry a token of a line
+    free, kept = F.col("length") - LEADING, F.size("kept")
+    whole = (kept >= SIMILAR * F.col("length")) & (kept - LEADING >= SIMILAR * free)
+    shapes = materialize(shapes.where(whole).select("template", "documents", F.xxhash64("leaf", "kept").alias("group")), "shapes")
+    groups = shapes.groupBy("group").agg(F.sum("documents").alias("n")).where(F.col("n") >= least)
+    found = materialize(shapes.join(groups, "group", "left_semi").select("template", "group"), "alike")
+    return found, lines.join(found, "template", "left_anti")
+
+
+def _generalised(docs: DataFrame, held: DataFrame, support: DataFrame, least: int) -> DataFrame | None:
+    """Templates (the masked lines) that agree with a generalised template of ``least`` texts in their leaf.
+
+    Works on distinct masked lines, weighed by their texts. Tokens are
+    counted by (leaf, position, token), so a large leaf is dealt out too.
+    """
+    several = support.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("documents").alias("n")).where(f"kinds > 1 AND n >= {least}")
+    several = materialize(several.select("leaf"), "several")
+    once = flagged(held.where("evidence = 1").select("leaf", "text"), several, "leaf", "several", "text").where("several").groupBy("leaf", "text").agg(F.lit(1).alias("one"))
+    leaves = materialize(once.groupBy("leaf").agg(F.sum("one").alias("n")).where(F.col("n") >= least).select("leaf"), "leaves")
+    if leaves.isEmpty():
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(leaves))
+    found = docs.select("text").mapInArrow(_leaf_lines(shared), "leaf long, template long, line array<long>")
+    lines = found.groupBy("leaf", "template").agg(F.first("line").alias("line")).join(leaves, "leaf", "left_semi")
+    lines = materialize(lines.join(support.select("template", "documents"), "template"), "leaf-lines")
+    first, left = _alike(lines, least, lambda n: n.where(F.col("n") >= least))
+    left = materialize(left, "left-over")
+    total = left.groupBy("leaf").agg(F.sum("documents").alias("of"))
+    second, _ = _alike(left, least, lambda n: n.join(total, "leaf").where(F.col("n") >= CONSTANT * F.col("of")))
+    found = materialize(first.unionByName(second), "generalised")
+    once = looked_up(held, found, "template", "text").where(F.col("group").isNotNull()).groupBy("group", "text").agg(F.max("evidence").alias("evidence"))
+    groups = once.groupBy("group").agg(F.sum("evidence").alias("documents"), F.count(F.lit(1)).alias("texts")).where(_spread(least))
+    return found.join(groups, "group", "left_semi").select("template")
+
+
+def _recurring(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+    held = _evidence(lines, least)
+    support = held.groupBy("template").agg(F.sum("evidence").alias("documents"), F.count(F.lit(1)).alias("texts"), F.min("leaf").alias("leaf"))
+    support = materialize(support.where("documents > 0"), "support")
+    exact = support.where(_spread(least)).select("template").unionByName(_long_recurring(lines))
+    more = _generalised(docs, held, support, least)
+    return materialize((exact if more is None else exact.unionByName(more)).distinct(), "recurring")
 
 
 def recurring_templates(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(template): hashes of the masked lines that are dropped."""
-    lines = materialize(docs.select("text").mapInArrow(_lines, "leaf long, template long, text long, near long, leaf_near long, marks array<long>"), "lines")
-    templates = materialize(_spread(lines, "leaf", "template"), "templates")
-    exact = templates.where(_recurs(least)).select("template").unionByName(_long_recurring(lines, templates, least))
-    several = templates.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("documents").alias("n")).where(f"kinds > 1 AND n >= {least}").select("leaf")
-    leaves = materialize(_spread(lines.select("leaf", "text", F.col("leaf_near").alias("near")), "leaf").where(_recurs(least)).join(several, "leaf", "left_semi"), "leaves")
-    if leaves.isEmpty():
-        return exact
-    return exact.unionByName(_generalised(docs, templates, leaves, least)).distinct()
+    return _recurring(docs, line_table(docs), least)
+
+
+def _clean(raw: bytes | None, gone: Callable[[list[int]], list[bool]]) -> tuple[bytes | None, int, int]:
+    """The text without its lines of templates that are gone, and the lines and words dropped."""
+    lines = (raw or b"").split(b"\n")
+    found = [codes(x) if x else None for x in lines]
+    drop = gone([f[1] if f else 0 for f in found])
+    drop = [d and f is not None for d, f in zip(drop, found)]
+    if not any(drop):
+        return raw, 0, 0
+    return b"\n".join(x for x, d in zip(lines, drop) if not d), sum(drop), sum(len(f[2]) for f, d in zip(found, drop) if d)
+
+
+def _apply(at: int, report: tuple[int, int] | None, shared=None, listed: int | None = None):
+    """Clean the texts in column ``at``; templates come sorted with ``shared`` or, for each row, in column ``listed``."""
 
+    def among(templates: np.ndarray) -> Callable[[list[int]], list[bool]]:
+        def gone(keys: list[int]) -> list[bool]:
+            found = np.array(keys, np.int64)
+            return (templates[np.minimum(np.searchsorted(templates, found), len(templates) - 1)] == found).tolist() if len(templates) else [False] * len(keys)
+
+        return gone
 
-def _apply(shared, at: int, report: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gone = shared.value
+        common = among(shared.value) if shared is not None else None
         for batch in batches:
-            texts, counts = [], []
-            for value in batch.column(at).cast(pa.binary()).to_pylist():
-                lines = (value or b"").split(b"\n")
-                found = [codes(x) if x else None for x in lines]
-                keys = np.array([f[1] if f else 0 for f in found], np.int64)
-                place = np.minimum(np.searchsorted(gone, keys), max(len(gone) - 1, 0))
-                drop = (gone[place] == keys) & np.array([f is not None for f in found]) if len(gone) else np.zeros(len(keys), bool)
-                if drop.any():
-                    kept = [x for x, d in zip(lines, drop) if not d]
-                    counts.append((int(drop.sum()), sum(len(f[2]) for f, d in zip(found, drop) if d)))
-                    texts.append(b"\n".join(kept))
-                else:
-                    counts.append((0, 0))
-                    texts.append(value)
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            names = list(batch.schema.names)
-            if report:
-                for n, name in enumerate(("lines_dropped", "words_dropped")):
-                    before = columns[names.index(name)].to_numpy(zero_copy_only=False)
-                    columns[names.index(name)] = pa.array(before + np.array([c[n] for c in counts], np.int64))
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            if common is not None:
+                done = [_clean(raw, common) for raw in texts]
+            else:
+                lists = batch.column(listed).to_pylist()
+                done = [_clean(raw, among(np.sort(np.array(own or [], np.int64)))) for raw, own in zip(texts, lists)]
+            columns, names = list(batch.columns), list(batch.schema.names)
+            columns[at] = pa.array([d[0] for d in done], pa.binary()).cast(pa.string())
+            for place, n in zip(report or (), (1, 2)):
+                columns[place] = pa.array([d[n] for d in done], pa.int64())
+            if listed is not None:
+                del columns[listed], names[listed]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _blocks(templates: DataFrame, size: int) -> Iterator[np.ndarray]:
-    templates = materialize(templates, "dropped")
-    parts = max(1, -(-templates.count() // size))
-    for n in range(parts):
-        part = templates.where(F.pmod(F.xxhash64("template"), F.lit(parts)) == n) if parts > 1 else templates
-        yield np.sort(part.toArrow().column("template").to_numpy())
-
+def drop_templates(docs: DataFrame, templates: DataFrame, lines: DataFrame | None = None, report: bool = False, most: int = MOST_TEMPLATES) -> DataFrame:
+    """``docs`` without the lines of these templates, and with lines_dropped and words_dropped for a report.
 
-def drop_templates(docs: DataFrame, templates: DataFrame, report: bool = False, block: int = BLOCK_TEMPLATES) -> DataFrame:
-    """``docs`` without the lines of these templates; a bounded block of templates is broadcast for each pass."""
-    at = docs.columns.index("text")
+    Up to ``most`` templates are broadcast. Beyond that each text is joined with the list of its own ones.
+    """
+    at, report_at = docs.columns.index("text"), None
     if report:
         docs = docs.withColumns({"lines_dropped": F.lit(0).cast("long"), "words_dropped": F.lit(0).cast("long")})
-    for part in _blocks(templates, block):
-        docs = docs.mapInArrow(_apply(docs.sparkSession.sparkContext.broadcast(part), at, report), docs.schema)
-    return docs
+        report_at = (docs.columns.index("lines_dropped"), docs.columns.index("words_dropped"))
+    templates = materialize(templates, "dropped")
+    if templates.count() <= most:
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(templates.toArrow().column("template").to_numpy()))
+        return docs.mapInArrow(_apply(at, report_at, shared=shared), docs.schema)
+    lines = line_table(docs) if lines is None else lines
+    held = flagged(lines.select("text", "template"), templates, "template", "gone", "text").where("gone")
+    id_, gone, salt = (fresh(docs.columns, x) for x in ("text_id", "gone", "salt"))
+    held = held.groupBy(F.col("text").alias(id_)).agg(F.collect_list("template").alias(gone))  # no more than a text's lines
+    rows = docs.withColumns({id_: F.xxhash64("text"), salt: F.monotonically_increasing_id()})
+    joined = salted_join(rows, materialize(held, "held"), id_, salt).select(*(F.col(f"`{c}`") for c in docs.columns), gone)
+    return joined.mapInArrow(_apply(at, report_at, listed=len(docs.columns)), docs.schema)
 
 
 def drop_recurring_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -302,7 +361,8 @@ def drop_recurring_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataF
 
     All rows and columns stay; a text can become empty. Null texts stay null.
     """
-    out = drop_templates(docs, recurring_templates(docs, least))
+    lines = line_table(docs)
+    out = drop_templates(docs, _recurring(docs, lines, least), lines)
     if "n_chars" in docs.columns:
         length = F.coalesce(F.char_length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", length)
@@ -322,6 +382,7 @@ def report(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     reported. Extra columns are not carried; an empty table gives an empty table.
     """
     rows = docs.select("doc_id", "text")
-    cleaned = drop_templates(rows, recurring_templates(rows, least), report=True)
+    lines = line_table(rows)
+    cleaned = drop_templates(rows, _recurring(rows, lines, least), lines, report=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return cleaned.mapInArrow(_crc, f"doc_id {kind}, lines_dropped long, words_dropped long, text_crc32 long")
