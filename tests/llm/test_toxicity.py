@@ -91,3 +91,43 @@ def test_nothing_to_learn(spark):
     model = tx.fit(d, none)
     assert model.entries == [] and [r.predicted for r in tx.score(d, model).collect()] == [0, 0]
     assert tx.score(d.limit(0), model).count() == 0
+
+
+def test_the_model_is_the_same_for_any_partitions(spark):
+    docs, labels = corpus()
+    rng = random.Random(4)
+    docs += [(6000 + i, docs[i % 40][1] + " " + "".join(rng.choices("abcdef", k=8))) for i in range(200)]  # near copies
+    labels += [(6000 + i, int(i % 40 % 6 == 0)) for i in range(200)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    models = [tx.fit(d.repartition(n).sortWithinPartitions("text"), lab.repartition(n)) for n in (1, 5, 9)]
+    assert models[0] == models[1] == models[2] and models[0].belief
+
+
+def test_score_against_its_definition(spark):
+    """Each word counts for its nearest entry; the beliefs of words combine as independent chances."""
+    docs, labels = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = tx.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rows = {(r.doc_id): r.score for r in tx.score(d, model).collect()}
+    texts = {i: t for i, t in docs if i is not None and t and '"' not in t and i % 7 == 0 or i in (5002, 5003, 5005)}
+    for i, text in texts.items():
+        clean = 0.99
+        for word in {w.strip("!") for w in text.lower().split()}:
+            near = []
+            for n, e in enumerate(model.entries):
+                edits = min(distance(word[:k], e.text) for k in range(len(word) + 1)) if e.kind == "stem" else distance(word, e.text)
+                if edits <= e.edits:
+                    near.append((edits, -len(e.text), n))
+            if near:
+                edits, _, n = min(near)
+                belief = model.belief.get((n, edits, False), (0.95, 0.75, 0.6)[edits])
+                clean *= 1 - belief if belief >= 0.5 else 1
+        assert abs(rows[i] - (1 - clean)) < 1e-12, i
+
+
+def test_one_word_counts_once(spark):
+    model = tx.Model([tx.Entry("abcdefgh", "word"), tx.Entry("abcdefgx", "word"), tx.Entry("abcdefgy", "word")], {(n, 1, False): 0.6 for n in range(3)})
+    d = spark.createDataFrame([(1, "an abcdefgz here, abcdefgz there", 0.5)], "doc_id long, text string, toxic_score double")
+    assert abs(tx.score(d, model).first().score - (1 - 0.99 * 0.4)) < 1e-12
+    assert tx.drop_toxic(d, model).columns == d.columns and tx.drop_toxic(d, model).count() == 1

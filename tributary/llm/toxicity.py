@@ -10,7 +10,7 @@ Insertions, deletions, substitutions and swaps count one edit each.
 Each hit is judged in its context window. Hits inside quotation marks or next
 to a reporting verb are counted apart from plain ones, and the labelled texts
 tell how far either kind means abuse; without evidence, quoted hits weigh half.
-A text's score is the noisy-or over its best hit for each entry.
+Each word counts for one entry, the nearest. A text's score is the noisy-or over its words' best hits.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: At most so many labelled rows are learnt from, chosen by a hash of their doc_id.
 FIT_ROWS = 20_000
@@ -46,7 +46,7 @@ WINDOW = 6
 BELIEF, BELIEF_DOCS = (0.95, 0.75, 0.6), 4
 QUOTED = 0.5
 #: Hits below this say nothing.
-LEAST_HIT = 0.3
+LEAST_HIT = 0.5
 BASE_SCORE = 0.01
 CACHE_WORDS = 300_000
 
@@ -182,36 +182,40 @@ class Matcher:
     def __init__(self, model: Model):
         self.model, self.automaton = model, Automaton(model.entries)
         self.clean: set[str] = set()
-        self.hit: dict[str, tuple] = {}
+        self.hit: dict[str, tuple[int, int]] = {}
 
-    def hits(self, text: str | None) -> set[tuple[int, int, bool]]:
-        """(entry, edits, quoted) of the hits of a text."""
+    def nearest(self, word: str) -> tuple[int, int] | None:
+        """The one entry that a word counts for, and the edits: the fewest, then the longest entry, then the first."""
+        found = self.automaton.match(word)
+        return min(found, key=lambda x: (x[1], -len(self.model.entries[x[0]].text), x[0])) if found else None
+
+    def hits(self, text: str | None) -> set[tuple[str, int, int, bool]]:
+        """(word, entry, edits, quoted) of the hits of a text."""
         lowered = (text or "").lower()
         words = set(_WORD.findall(lowered))
         if len(self.clean) > CACHE_WORDS:
             self.clean.clear()
         found = words & self.hit.keys()
         for word in words - self.clean - found:
-            if matched := self.automaton.match(word):
+            if matched := self.nearest(word):
                 self.hit[word] = matched
                 found.add(word)
             else:
                 self.clean.add(word)
-        out: set[tuple[int, int, bool]] = set()
+        out: set[tuple[str, int, int, bool]] = set()
         if found:
             if len(self.hit) > CACHE_WORDS:
                 self.hit = {w: self.hit[w] for w in found}
             spans = [m.span() for m in _WORD.finditer(lowered)]
             for at, (start, end) in enumerate(spans):
                 if (word := lowered[start:end]) in found:
-                    apart = quoted(lowered, spans, at)
-                    out.update((entry, edits, apart) for entry, edits in self.hit[word])
+                    out.add((word, *self.hit[word], quoted(lowered, spans, at)))
         return out
 
     def score(self, text: str | None) -> float:
-        best: dict[int, float] = {}
-        for entry, edits, apart in self.hits(text):
-            best[entry] = max(best.get(entry, 0.0), self.model.chance(entry, edits, apart))
+        best: dict[str, float] = {}
+        for word, entry, edits, apart in self.hits(text):
+            best[word] = max(best.get(word, 0.0), self.model.chance(entry, edits, apart))
         clean = 1.0 - BASE_SCORE
         for chance in best.values():
             if chance >= LEAST_HIT:
@@ -292,7 +296,7 @@ def _evidence(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
         for batch in batches:
-            rows = [(*hit, t) for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in matcher.hits(text)]
+            rows = [(*hit, t) for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in sorted({h[1:] for h in matcher.hits(text)})]
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.bool_(), pa.int32()))], names=["entry", "edits", "quoted", "toxic"])
 
@@ -309,7 +313,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")  # fit_rows rows of two numbers
     rows = rows.mapInArrow(_training, "toxic int, text string, least long, greatest long")
-    rows = materialize(rows.dropDuplicates(["toxic", "least"]).dropDuplicates(["toxic", "greatest"]).select("toxic", "text"), "training")
+    for key, other in (("least", "greatest"), ("greatest", "least")):  # the same row of each group, whatever the partitions
+        first = F.min(F.struct(F.xxhash64("text"), "text", other))
+        rows = rows.groupBy("toxic", key).agg(first.alias("first")).select("toxic", key, "first.text", f"first.{other}")
+    rows = materialize(rows.select("toxic", "text"), "training")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)
     support = max(3, math.ceil(SUPPORT * positive))
@@ -340,13 +347,14 @@ def _matcher(shared) -> Matcher:
     return _matchers[id(model)]
 
 
-def _score(shared, at: int):
+def _score(shared, texts: int, kept: list[int], name: str):
+    """The columns ``kept`` and the score, as column ``name``, of the column ``texts``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(shared)
         for batch in batches:
-            scores = np.array([matcher.score(x) for x in batch.column(at).to_pylist()], np.float64)
-            keep = [c for c in range(batch.num_columns) if batch.schema.names[c] != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], names=[*(batch.schema.names[c] for c in keep), "__score"])
+            scores = pa.array(np.array([matcher.score(x) for x in batch.column(texts).to_pylist()], np.float64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), scores], names=[*(batch.schema.names[c] for c in kept), name])
 
     return run
 
@@ -358,15 +366,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     scored. Extra columns are not carried; an empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", F.col("text").alias("__text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(shared, 1), f"doc_id {kind}, __score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = docs.select("doc_id", "text").mapInArrow(_score(shared, 1, [0], "score"), f"doc_id {kind}, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents whose score reaches the threshold; the columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
-    return docs.mapInArrow(_score(shared, at), schema).where(F.col("__score") < threshold).drop("__score")
+    at, name = docs.columns.index("text"), fresh(docs.columns, "toxic_score")
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(_score(shared, at, list(range(len(docs.columns))), name), schema).where(F.col(name) < threshold).drop(name)
