@@ -23,18 +23,29 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a private one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors see.
+
+    A private one only where that is unset and one machine does all the work.
+    """
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set {_SETTING} to a folder that all executors see")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="tributary-")
         atexit.register(shutil.rmtree, _own["dir"], True)
     return _own["dir"]
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/tributary-llm/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tributary/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
@@ -42,21 +53,23 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
 
     What follows starts from files, so a lost executor costs only its running tasks.
     """
+    bounded_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Delete the intermediate tables of the shared folder. Results that are read from them must have been stored before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tributary")
+    """Delete this application's intermediate tables. Results that are read from them must have been stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches small: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Keep the session's Arrow batches small, unless it has set bounds of its own: texts may be very long."""
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if (full := f"spark.sql.execution.arrow.{name}") not in spark.conf.getAll:
+            spark.conf.set(full, str(bound))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
