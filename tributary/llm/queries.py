@@ -79,7 +79,8 @@ ln AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS l FROM
 dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, l, count(*) AS n FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id, l) GROUP BY doc_id),
 nl AS (SELECT DISTINCT host, text, line, sum(k) OVER (PARTITION BY doc_id, line) AS k FROM (SELECT doc_id, host, text, len(q) AS k,
        regexp_replace(array_to_string(q, ' '), '[0-9]+', '0', 'g') AS line FROM (SELECT doc_id, host, text, {_WORDS.format(_LOWER.format('l'))} AS q FROM ln) WHERE len(q) > 0)),
-common AS (SELECT host, line FROM nl GROUP BY host, line HAVING count(DISTINCT text) > {quality.LINE_LIMIT}),
+sz AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
+common AS (SELECT host, line FROM nl JOIN sz USING (host) GROUP BY host, line, texts HAVING count(DISTINCT text) > {quality.LINE_LIMIT} AND count(DISTINCT text) * {quality.LINE_SHARE} > texts),
 gone AS (SELECT nl.host, nl.text, sum(k) AS k FROM nl JOIN common USING (host, line) GROUP BY ALL),
 f AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
       length(w.text) - length(translate(w.text, '#*$%&|<>', '')) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
@@ -131,9 +132,15 @@ ORACLE_SQL["op3_license_scan"] = f"""
 WITH t AS (SELECT template, license, class, string_split(body, ' ') AS w FROM (VALUES {_TEMPLATES}) v(template, license, class, body)),
 i AS (SELECT DISTINCT template, license, class, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, CAST(len(w) - 3 AS BIGINT))) AS p FROM t)),
 c AS (SELECT template, count(*) AS shingles FROM i GROUP BY template),
+r AS (SELECT a.template, b.template AS rival FROM i a JOIN i b USING (s) JOIN c ON c.template = a.template WHERE a.license <> b.license GROUP BY a.template, b.template, shingles HAVING 2 * count(*) >= shingles),
+x AS (SELECT r.template, r.rival, i.s FROM r JOIN i USING (template) WHERE NOT EXISTS (SELECT 1 FROM i k WHERE k.template = r.rival AND k.s = i.s)),
+o AS (SELECT template, rival, count(*) AS own FROM x GROUP BY template, rival),
 d AS (SELECT doc_id, {_LETTERS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
 s AS (SELECT doc_id, p - 1 AS p, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, CAST(len(w) - 3 AS BIGINT))) AS p FROM d)),
 h AS (SELECT doc_id, template, license, class, s, unnest([p - p % class, p - p % class - class]) AS start FROM s JOIN i USING (s)),
-m AS (SELECT doc_id, template, license, start, count(DISTINCT s) AS matched FROM h WHERE start >= 0 GROUP BY ALL)
+m AS (SELECT doc_id, template, license, start, count(DISTINCT s) AS matched FROM h WHERE start >= 0 GROUP BY ALL),
+told AS (SELECT doc_id, template, start, rival, count(DISTINCT s) AS told FROM h JOIN x USING (template, s) GROUP BY ALL),
+bad AS (SELECT doc_id, template, start FROM m JOIN o USING (template) LEFT JOIN told USING (doc_id, template, start, rival) WHERE 2 * coalesce(told, 0) < own)
 SELECT doc_id, template, license, max(matched) AS matched, shingles, min(start) AS first_word
-FROM m JOIN c USING (template) WHERE matched >= {license_scan.CONTAINMENT} * shingles GROUP BY doc_id, template, license, shingles"""
+FROM m JOIN c USING (template) ANTI JOIN bad USING (doc_id, template, start) WHERE matched >= {license_scan.CONTAINMENT} * shingles
+GROUP BY doc_id, template, license, shingles"""
