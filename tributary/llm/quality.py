@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_texts
+from .common import looked_up, materialize, raw_texts
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: A line in more distinct documents of a host than this is removed.
-LINE_LIMIT = 10
+#: A line in more distinct documents of a host than this, and than one in LINE_SHARE of them, is removed.
+LINE_LIMIT, LINE_SHARE = 10, 2000
 #: A document with less than this per cent of its words left is depleted.
 LEAST_LEFT = 30
 
@@ -119,12 +119,12 @@ def host_lines(base: DataFrame) -> DataFrame:
     return lines.groupBy("host", "line", "text_hash").agg(F.max("words").alias("words"))
 
 
-def judge(docs: DataFrame, limit: int = LINE_LIMIT, least_left: int = LEAST_LEFT, host: str = "source", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, limit: int = LINE_LIMIT, share: int = LINE_SHARE, least_left: int = LEAST_LEFT, host: str = "source", text: str = "text") -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, kept, n_words_removed.
 
     kept is false for a document that fails the base rules or of whose words
     less than ``least_left`` per cent remain once the lines in more than
-    ``limit`` distinct documents of its host are removed.
+    ``limit`` distinct documents of its host, and more than one in ``share`` of them, are removed.
 
     Null text is empty, and so fails the base rules; null and empty hosts form
     one host. Rows that repeat a doc_id are judged each by its own text. Extra
@@ -132,7 +132,9 @@ def judge(docs: DataFrame, limit: int = LINE_LIMIT, least_left: int = LEAST_LEFT
     """
     base = materialize(measured(docs, host, text), "measured")
     lines = materialize(host_lines(base), "lines")
-    common = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > limit)
+    common = materialize(lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > limit), "frequent")
+    texts = base.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.sum("one").alias("texts"))
+    common = looked_up(common, materialize(texts, "hosts"), "host", "line").where(F.col("documents") * share > F.col("texts"))
     gone = lines.join(materialize(common.select("host", "line"), "common"), ["host", "line"], "left_semi")
     gone = materialize(gone.groupBy("host", "text_hash").agg(F.sum("words").alias("n_words_removed")), "gone")
     out = base.drop("lines").join(gone, ["host", "text_hash"], "left")
