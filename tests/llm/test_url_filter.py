@@ -45,6 +45,14 @@ def test_cascade_is_exact_over_the_universe_in_several_blocks(spark):
     assert all(r.listed == (int(r.key[3:]) % 3 == 0) for r in marked)
 
 
+def test_hashes_that_both_kinds_of_key_have(spark):
+    keys = spark.range(6000).select(F.concat(F.lit("key"), "id").alias("key"))
+    cascades, shards = url_filter.membership(keys, F.expr("cast(substr(key, 4) as int) % 3 = 0"), bits=20)
+    assert cascades[0].shared
+    marked = url_filter.probe(keys, "key", cascades, shards, bits=20).collect()
+    assert len(marked) == 6000 and all(r.listed == (int(r.key[3:]) % 3 == 0) for r in marked)
+
+
 def test_empty_lists_and_tables(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge(empty).count() == 0

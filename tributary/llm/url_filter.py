@@ -74,8 +74,8 @@ def _positions(hashes: np.ndarray, level: int, bits: np.ndarray | int) -> list[n
     return [(a + np.uint64(i) * b) % bits for i in range(PROBES)]
 
 
-def key_hashes(keys: list[str | None]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(k or "", 7) for k in keys), np.uint64, len(keys))
+def key_hashes(keys: list[str | None], bits: int = 64, seed: int = 7) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(k or "", seed) for k in keys), np.uint64, len(keys)) & np.uint64((1 << bits) - 1)
 
 
 @dataclass
@@ -87,6 +87,9 @@ class Cascade:
     bits: list[np.ndarray]
     starts: list[np.ndarray]
     words: list[np.ndarray]
+    #: Hashes that a listed and an unlisted key share, and second hashes of the listed ones: told apart by an exact table.
+    shared: frozenset = frozenset()
+    exact: frozenset = frozenset()
 
     def places(self, hashes: np.ndarray, level: int) -> list[np.ndarray]:
         shard = ((hashes >> np.uint64(40)) % np.uint64(self.shards)).astype(np.int64) - self.first
@@ -100,8 +103,16 @@ class Cascade:
             out &= (self.words[level][word.astype(np.int64)] >> bit & np.uint64(1)).astype(bool)
         return out
 
+    def answer(self, keys: list[str | None], hashes: np.ndarray) -> np.ndarray:
+        """Exact for keys of the universe."""
+        out = self.listed(hashes)
+        if self.shared:
+            for n in np.flatnonzero([h in self.shared for h in hashes.tolist()]):
+                out[n] = (int(hashes[n]), int(key_hashes([keys[n]], seed=8)[0])) in self.exact
+        return out
+
     def listed(self, hashes: np.ndarray) -> np.ndarray:
-        """Exact for keys of the universe: the first level that a key misses tells."""
+        """The first level that a key misses tells."""
         out = np.zeros(len(hashes), bool)
         going = np.arange(len(hashes))
         for level in range(len(self.bits)):
@@ -169,44 +180,54 @@ def _shard(h: Column, shards: int) -> Column:
     return F.pmod(F.shiftrightunsigned(h, 40), F.lit(shards)).cast("int")
 
 
-def _hash_keys(kind: str):
+def _hash_keys(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = key_hashes(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *batch.columns[1:]], names=["h", *batch.schema.names[1:]])
+            keys = batch.column(0).to_pylist()
+            hashes = [pa.array(x.view(np.int64)) for x in (key_hashes(keys, bits), key_hashes(keys, seed=8))]
+            yield pa.RecordBatch.from_arrays([*hashes, *batch.columns[1:]], names=["h", "second", *batch.schema.names[1:]])
 
     return run
 
 
-def membership(keys: DataFrame, listed: Column, block_bytes: int = BLOCK_BYTES) -> tuple[list[Cascade], int]:
+def membership(keys: DataFrame, listed: Column, block_bytes: int = BLOCK_BYTES, bits: int = 64) -> tuple[list[Cascade], int]:
     """Cascades, one a block of shards, over the universe ``keys`` (distinct, column key) of which ``listed`` says which are listed.
 
     A column expression marks the list here; a list in a table is marked by a
-    semi-join while the filter is built, never while it is probed.
+    semi-join while the filter is built, never while it is probed. The few hashes that
+    listed and other keys share (a pair among 2^32 keys) are told apart by second hashes.
     """
-    hashed = keys.select("key", listed.alias("listed")).mapInArrow(_hash_keys("key"), "h long, listed boolean")
-    universe = materialize(hashed.select("h", "listed"), "keys")
+    hashed = keys.select("key", F.coalesce(listed, F.lit(False)).alias("listed")).mapInArrow(_hash_keys(bits), "h long, second long, listed boolean")
+    universe = materialize(hashed, "keys")
+    shared = materialize(universe.groupBy("h").agg(F.min("listed").alias("all"), F.max("listed").alias("any")).where("all <> any").select("h"), "shared-hashes")
+    apart = [(r["h"] % (1 << 64), r["second"] % (1 << 64), r["listed"]) for r in universe.join(F.broadcast(shared), "h").collect()]  # pairs that share 64 bits
+    if apart:
+        universe = materialize(universe.join(F.broadcast(shared), "h", "left_anti"), "keys")
     count = universe.where("listed").count()
     need = count * FIRST_BITS // 8 * 2 + 4096  # deeper levels hold less than as much again
     blocks = max(1, -(-need // block_bytes))
     shards = blocks * 16
     universe = universe.withColumn("shard", _shard(F.col("h"), shards))
     sides = universe.where("listed"), universe.where("NOT coalesce(listed, false)")
-    return [build_block(*sides, shards, b * 16, b * 16 + 16) for b in range(blocks)], shards
+    cascades = [build_block(*sides, shards, b * 16, b * 16 + 16) for b in range(blocks)]
+    for cascade in cascades:
+        cascade.shared, cascade.exact = frozenset(h for h, _, _ in apart), frozenset((h, second) for h, second, is_listed in apart if is_listed)
+    return cascades, shards
 
 
-def probe(rows: DataFrame, key: str, cascades: list[Cascade], shards: int, name: str = "listed") -> DataFrame:
+def probe(rows: DataFrame, key: str, cascades: list[Cascade], shards: int, name: str = "listed", bits: int = 64) -> DataFrame:
     """Add boolean ``name``: whether the row's key is listed. One pass a block; a pass leaves the keys of other blocks alone."""
     for at, cascade in enumerate(cascades):
         first, last = cascade.first, cascade.first + 16
 
         @F.pandas_udf("boolean")
         def answer(values, before, c=None):
-            hashes = key_hashes(values.tolist())
+            keys = values.tolist()
+            hashes = key_hashes(keys, bits)
             shard = ((hashes >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
             mine = (shard >= first) & (shard < last)
             out = before.to_numpy(bool, copy=True)
-            out[mine] = shared.value.listed(hashes[mine])
+            out[mine] = shared.value.answer([k for k, m in zip(keys, mine) if m], hashes[mine])
             import pandas as pd
 
             return pd.Series(out)
