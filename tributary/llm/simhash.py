@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_texts, tokens
+from .common import fresh, materialize, raw_texts, tokens
 from .components import connected_components
 
 SEED, WIDTH, THRESHOLD = 42, 4, 4
@@ -244,8 +244,9 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFra
     decides is narrow and the texts are shuffled once.
     """
     columns = docs.columns
-    marked = materialize(with_fingerprint(docs, name="__fp").withColumn("__row", F.monotonically_increasing_id()), "marked")
-    narrow = marked.select("doc_id", F.col("__fp").alias("fp"), "__row")
+    fp, row = fresh(columns, "fingerprint"), fresh(columns, "row_no")
+    marked = materialize(with_fingerprint(docs, name=fp).withColumn(row, F.monotonically_increasing_id()), "marked")
+    narrow = marked.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"))
     placed = narrow.join(groups(narrow, threshold), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keepers = materialize(placed.groupBy("component").agg(F.min("__row").alias("__row")).select("__row"), "keepers")
-    return marked.join(keepers, "__row", "left_semi").select(*columns)
+    keepers = materialize(placed.groupBy("component").agg(F.min("row").alias(row)).select(row), "keepers")
+    return marked.join(keepers, row, "left_semi").select(*(F.col(f"`{c}`") for c in columns))
