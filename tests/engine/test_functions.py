@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tributary.dsl.syntax import DslError
 from tributary.functions import udfs
 from tributary.functions.template import id_column, template, template_column, template_id, template_of
 from tributary.operators import investigate
@@ -26,6 +27,8 @@ TEMPLATES = {
     "nul\x00\x01byte\ttab": "nul<ctl>byte\ttab",
     "-5 +3.2s 7apples 12abcd": "<num> <num>s 7apples 12abcd",
     "/var/log/app/2026-08-13/x.log": "/var/log/app/<ts>/x.log",
+    "/api/orders/(2291)/x": "/api/orders/(<num>)/x",
+    "/a/[7]/'42'!/(deadbeef99)/()": "/a/[<num>]/'<num>'!/(<id>)/()",
     "": "",
 }
 
@@ -87,6 +90,36 @@ def test_pipe(spark):
     assert seen == ["m20", "m22", "m23"]
 
 
+PIPED = b"""{"ts":"2026-08-13T14:00:00Z","level":"info","msg":"piped one","status":200}
+{"ts":"2026-08-13T14:00:01Z","level":"error","msg":"piped two","status":502}
+{"ts":"2026-08-13T14:00:02Z","level":"info","msg":"piped three","region":"eu"}
+"""
+
+
+@pytest.mark.parametrize("text, expect", [("", "one two three"), ("level:error", "two"), ("status:>=500", "two"), ("-region:eu", "one two"), ("region:none", "one two"), ("status:*", "one two")])
+def test_pipe_filters(spark, text, expect):
+    seen = []
+    assert stream_pipe(spark, io.BytesIO(PIPED), text, lambda rows: seen.extend(r.message for r in rows)) == 3
+    assert seen == [f"piped {x}" for x in expect.split()]
+
+
+@pytest.mark.parametrize("text", ["stats:>=500", "-nope:1", "nope:none"])
+def test_a_pipe_rejects_an_unknown_field(spark, text):
+    with pytest.raises(DslError, match="arrived so far") as problem:
+        stream_pipe(spark, io.BytesIO(PIPED), text, lambda rows: None)
+    assert "status" in str(problem.value) or "nope" in text
+    with pytest.raises(DslError, match="arrived so far"):
+        stream_pipe(spark, io.BytesIO(b""), text, lambda rows: None)
+    assert stream_pipe(spark, io.BytesIO(b""), "", lambda rows: None) == 0
+
+
+def test_a_pipe_emits_each_record_once(spark):
+    seen, batches = [], []
+    data = b"".join(b'{"ts":"2026-08-13T14:00:00Z","level":"info","msg":"record %d"}\n' % n for n in range(1200))
+    stream_pipe(spark, io.BytesIO(data), "", lambda rows: (batches.append(len(rows)), seen.extend(r.message for r in rows)))
+    assert sorted(seen) == sorted(f"record {n}" for n in range(1200)) and len(batches) > 1
+
+
 def test_rendering():
     rows = [(1, None, "a,b"), (2, 0.5, "c\nd")]
     names = ["n", "x", "raw"]

@@ -167,3 +167,17 @@ def test_scalars(spark):
     assert [r[0] for r in levels.select(scalar.normal_level(F.col("t"))).collect()] == ["warn", "error", "custom", None, None]
     quoted = spark.createDataFrame([("a\\Eb+É",)], "t string")
     assert quoted.where(scalar.contains(F.col("t"), "\\eb+é")).count() == 1
+
+
+def test_bucket_widths():
+    hour = 3_600_000_000
+    assert [breakdown.bucket_width(h * hour) // hour for h in (48, 60, 100, 120, 180, 181, 360, 700, 720, 1440, 10080, 20000)] == [1, 1, 2, 2, 3, 6, 6, 12, 12, 24, 168, 168]
+    assert breakdown.bucket_width(60 * 5_000) == 10_000 and breakdown.bucket_width(1) == 1_000
+
+
+def test_trace_names(make_logs):
+    row = ("a.log", "jsonl")
+    logs = make_logs([("14:00:00", "info", "a", "s", *row, {"x-request-id": "r1", "traceID": "r1", "trace-id": "r1"}), ("14:01:00", "info", "b", "s", *row, {"x-request-id": "r1"})])
+    assert investigate.detect_trace_field(logs, "r1") == "x-request-id"
+    many = [("14:00:00", "info", "a", "s", *row, {"correlation_id": "c1"})] * 20 + [("14:00:01", "info", "b", "s", *row, {"trace_id": "t1"})]
+    assert investigate.detect_trace_field(make_logs(many), "c1") == "correlation_id"

@@ -54,6 +54,10 @@ def test_each_format(name):
 
 def test_details():
     f = formats.FORMATS
+    coloured = f["console"].parse("[00:00:31] \x1b[31m✖\x1b[0m fail  src/payments/authorize.spec.ts")
+    assert (coloured.level, coloured.message, coloured.fields) == ("error", "fail  src/payments/authorize.spec.ts", {"elapsed": "00:00:31", "elapsed_s": 31, "marker": "✖"})
+    assert f["console"].parse("[12:05] • npm WARN deprecated").level == "warn" and f["console"].parse("[01:02:05] ok").fields["elapsed_s"] == 3725
+    assert f["haproxy"].parse(LINES["haproxy"]).fields["client_port"] == 5555
     assert f["jsonl"].parse(LINES["jsonl"]).fields == {"status": 502, "ok": True}
     cut = f["jsonl"].parse('{"msg":"a","n":12,"m":3')
     assert cut.partial and cut.fields == {"n": 12, "truncated": True}
@@ -64,7 +68,7 @@ def test_details():
     assert f["postgres"].parse("2026-08-13 14:00:00 CST [7] LOG: x").stamp.abbrev == "CST"
     assert f["haproxy"].parse(LINES["haproxy"]).fields["tr_ms"] == 4
     assert f["cef"].parse(LINES["cef"]).fields["msg"] == "two words" and f["cef"].parse(LINES["cef"]).stamp.us == NOON
-    assert f["console"].parse(LINES["console"]).fields == {"elapsed": "02:15", "marker": "✗"}
+    assert f["console"].parse(LINES["console"]).fields == {"elapsed": "02:15", "elapsed_s": 135, "marker": "✗"}
     assert f["jsonl"].parse('{"a":1,"a":2}').fields == {"a": 1, "a.2": 2}
     with pytest.raises(formats.Unread):
         f["postgres"].parse("2026-08-13 14:00:00 UTC [7] WHATEVER: x")
@@ -182,3 +186,13 @@ def test_stdin(spark):
     logs = Logs(table)
     assert [r.message for r in logs.matching(logs.plan("n:>1")).collect()] == ["ho"]
     assert breakdown.sources(logs).first().source == "stdin"
+
+
+def test_which_endings_are_read(tmp_path):
+    skipped = "duckdb db sqlite sqlite3 zip tar 7z png jpg jpeg gif pdf ico so dylib dll exe a o class jar pyc wasm mp4 mov mp3 woff woff2 ttf".split()
+    taken = "log txt out err yaml yml md html js ts py go rb toml lock css svg 1".split()
+    for ending in skipped + taken:
+        (tmp_path / f"x.{ending}").write_text("level=info msg=hi\n")
+    found = walk(str(tmp_path))
+    assert sorted(os.path.basename(f.path) for f in found.files) == sorted(f"x.{e}" for e in taken)
+    assert len(found.skipped) == len(skipped)

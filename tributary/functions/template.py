@@ -57,7 +57,23 @@ def _value(core: str) -> str:
     return core
 
 
-def _segment(part: str) -> str:
+def _peeled(text: str) -> tuple[str, str, str]:
+    """Punctuation before, the core, and punctuation after."""
+    low, high = 0, len(text)
+    while low < high and text[low] in PEELED:
+        low += 1
+    while high > low and text[high - 1] in PEELED:
+        high -= 1
+    return text[:low], text[low:high], text[high:]
+
+
+def _segment(text: str) -> str:
+    """A part of a path, masked inside its punctuation."""
+    before, part, after = _peeled(text)
+    return before + _part(part) + after if part else text
+
+
+def _part(part: str) -> str:
     if _UUID.fullmatch(part):
         return "<uuid>"
     if _TIME.fullmatch(part):
@@ -71,12 +87,8 @@ def _segment(part: str) -> str:
 def _token(text: str) -> str:
     if not _LOOKS.search(text):
         return text
-    low, high = 0, len(text)
-    while low < high and text[low] in PEELED:
-        low += 1
-    while high > low and text[high - 1] in PEELED:
-        high -= 1
-    return text[:low] + (_value(text[low:high]) if low < high else "") + text[high:]
+    before, core, after = _peeled(text)
+    return before + (_value(core) if core else "") + after
 
 
 def template(line: str) -> str:

@@ -18,14 +18,15 @@ from tributary.model import BUILTINS
 from tributary.plans.session import Logs, Plan
 
 BUCKETS, TOP_LIMIT, PATTERN_LIMIT, FIELD_LIMIT = 60, 20, 30, 50
-MINUTE = 60_000_000
-#: Widths that a histogram bucket may have: steps of milliseconds, seconds, minutes, hours and days, in microseconds.
-STEPS = tuple(
-    [n * 1_000 for n in (1, 5, 10, 50, 100, 500)]
-    + [n * 1_000_000 for n in (1, 2, 5, 10, 15, 30)]
-    + [n * MINUTE for n in (1, 2, 5, 10, 15, 30)]
-    + [n * 60 * MINUTE for n in (1, 6, 24, 168)]
-)
+MILLISECOND, SECOND, MINUTE, HOUR, DAY = 1_000, 1_000_000, 60_000_000, 3_600_000_000, 86_400_000_000
+#: Widths that a histogram bucket may have, in microseconds.
+STEPS = (
+    MILLISECOND, 10 * MILLISECOND, 100 * MILLISECOND,
+    SECOND, 2 * SECOND, 5 * SECOND, 10 * SECOND, 15 * SECOND, 30 * SECOND,
+    MINUTE, 2 * MINUTE, 5 * MINUTE, 10 * MINUTE, 15 * MINUTE, 30 * MINUTE,
+    HOUR, 2 * HOUR, 3 * HOUR, 6 * HOUR, 12 * HOUR,
+    DAY, 7 * DAY,
+)
 
 
 def limited(df: DataFrame, limit: int, default: int) -> DataFrame:
@@ -35,9 +36,9 @@ def limited(df: DataFrame, limit: int, default: int) -> DataFrame:
 
 
 def bucket_width(span: int, buckets: int = BUCKETS) -> int:
-    """The least step with which ``span`` microseconds need no more than ``buckets``."""
-    ideal = -(-span // max(1, buckets))
-    return next((s for s in STEPS if s >= ideal), STEPS[-1] * -(-ideal // STEPS[-1]))
+    """The least step of at least this share of ``span`` microseconds (rounded down to nanoseconds); else the widest."""
+    ideal = span * 1000 // max(1, buckets)
+    return next((s for s in STEPS if s * 1000 >= ideal), STEPS[-1])
 
 
 def histogram(logs: Logs, plan: Plan, buckets: int = BUCKETS, width: int | None = None) -> DataFrame:

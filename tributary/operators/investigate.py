@@ -21,7 +21,7 @@ from tributary.plans.schema import UnknownField
 from tributary.plans.session import Logs, Plan
 
 #: Names that a trace id goes by.
-TRACE_FIELDS = ("trace_id", "traceId", "traceID", "trace", "request_id", "requestId", "req_id", "correlation_id", "correlationId", "x_request_id")
+TRACE_FIELDS = ("trace_id", "traceId", "trace-id", "traceid", "request_id", "requestId", "req_id", "x-request-id", "correlation_id", "correlationId")
 DIFF_LIMIT, MOST_VALUES, HANDOFF_LIMIT = 20, 500, 200
 
 

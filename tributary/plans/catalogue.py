@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tributary.functions import udfs
 from tributary.functions.scratch import shared_folder
@@ -71,12 +72,10 @@ _filter("bag_eq", "k:7", "k = '7'")
 _filter("value_list", "k:1,2,3", "k IN ('1', '2', '3')")
 _filter("text_order", 'message:>"purchase by user 5"', "message > 'purchase by user 5'")
 _filter("typed_number", "user_id:>=100 user_id:<=200", "user_id BETWEEN 100 AND 200")
-_filter("typed_misfit", "user_id:abc", "FALSE")
+_filter("typed_misfit", "user_id:abc,7", "user_id = 7")
 _filter("free_text", "error", "message ILIKE '%error%' OR fields ILIKE '%error%' OR raw ILIKE '%error%'")
 _filter("free_text_phrase", '"by user 12" -purchase', "(message LIKE '%by user 12%' OR raw LIKE '%by user 12%') AND NOT message LIKE '%purchase%'")
-_filter("smart_case", "message~User", "message LIKE '%User%'")
 _filter("smart_case_low", "message~ERROR,click", "message LIKE '%ERROR%' OR message ILIKE '%click%'")
-_filter("literal_not_regex", 'message~"user 1."', "message LIKE '%user 1.%'")
 _filter("regex", r"message~/user 1\d$/", r"regexp_matches(message, 'user 1\d$')")
 _filter("regex_negated", r"-message~/user \d+5$/", r"NOT coalesce(regexp_matches(message, 'user \d+5$'), FALSE)")
 _filter("source_prefix", "source:svc-1", "source = 'svc-1'")
@@ -91,6 +90,27 @@ _filter("time_excluded", "-on:2024-01-07 -on:2024-01-09", "NOT coalesce(ts >= TI
 _filter("time_intersect", "after:2024-01-10 before:2024-01-11", "ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'")
 
 
+def _reworded(name: str, text: str, words: list[tuple[str, str]], where: str) -> None:
+    """A filter over messages with other words."""
+
+    def run(x: Logs) -> DataFrame:
+        message, sql = F.col("message"), "message"
+        for old, new in words:
+            message = F.replace(message, F.lit(old), F.lit(new))
+        other = Logs(x.table.withColumn("message", message), x.promotions)
+        return other.matching(other.plan(text)).select("seq", "message")
+
+    message = "message"
+    for old, new in words:
+        message = f"replace({message}, '{old}', '{new}')"
+    _logs_query(f"filter_{name}", run, f", m AS (SELECT seq, {message} AS message FROM logs) SELECT seq, message FROM m WHERE {where}")
+
+
+_reworded("smart_case", 'message~"by User 1",cLICK', [("user", "User")], "message LIKE '%by User 1%'")
+_reworded("literal_not_regex", 'message~"u.1"', [("click by user ", "click by u."), (" user ", " u-")], "message LIKE '%u.1%'")
+_reworded("path_glob_text", '"/API/Orders"', [("click by user ", "GET /API/Orders/")], "message LIKE '%/API/Orders%'")
+
+
 def _pattern_filter(x: Logs) -> DataFrame:
     known = x.table.select("pattern_id").distinct().orderBy("pattern_id").first()["pattern_id"]
     return x.matching(x.plan(f"pattern:{known[:7]}")).select("seq", "pattern_id")
@@ -149,6 +169,28 @@ _logs_query(
     LEFT JOIN (SELECT bucket, level, 1 AS n FROM w) USING (bucket, level) GROUP BY bucket, level""",
 )
 
+_HISTOGRAM = """, w AS (SELECT time_bucket(INTERVAL {step}, ts, TIMESTAMP '1970-01-01') AS bucket, coalesce(level, 'none') AS level FROM logs WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '{end}')
+    SELECT bucket, level, count(n) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '{end}' - INTERVAL 1 SECOND, INTERVAL {step})) AS bucket) CROSS JOIN (SELECT DISTINCT level FROM w)
+    LEFT JOIN (SELECT bucket, level, 1 AS n FROM w) USING (bucket, level) GROUP BY bucket, level"""
+for _name, _end, _step in (("wide", "2024-01-06 04:00:00", "2 HOUR"), ("week", "2024-01-09 00:00:00", "3 HOUR"), ("month", "2024-01-25 00:00:00", "12 HOUR"), ("short", "2024-01-02 00:50:00", "1 MINUTE")):
+    _logs_query(f"histogram_{_name}", lambda x, end=_end: breakdown.histogram(x, x.plan(f'between:"2024-01-02T00:00:00Z - {end.replace(" ", "T")}Z"'), 60), _HISTOGRAM.format(step=_step, end=_end))
+
+
+def _positions(make: Callable[[Logs], DataFrame]) -> Callable[[Logs], DataFrame]:
+    """The result with each row's place in it, so that the order is compared; results of a report's size only."""
+
+    def run(x: Logs) -> DataFrame:
+        out = make(x)
+        rows = [(*r, n) for n, r in enumerate(out.collect())]
+        return out.sparkSession.createDataFrame(rows, T.StructType([*out.schema.fields, T.StructField("place", T.LongType())]))
+
+    return run
+
+
+_logs_query("order_stats", _positions(lambda x: stats.stats(x, x.plan("stats count() by source, level", aggregate=True), ("source", "level", "n"))), "SELECT *, row_number() OVER (ORDER BY n DESC, source, level) - 1 AS place FROM (SELECT source, level, count(*) AS n FROM logs WHERE level IS NOT NULL GROUP BY source, level)")
+_logs_query("order_stats_bin", _positions(lambda x: stats.stats(x, x.plan("stats count() by bin(1d), source", aggregate=True), ("bin", "source", "n"))), f"SELECT *, row_number() OVER (ORDER BY bin, source) - 1 AS place FROM (SELECT {_BIN.format('1 DAY')} AS bin, source, count(*) AS n FROM logs WHERE ts IS NOT NULL GROUP BY 1, 2)")
+_logs_query("order_top", _positions(lambda x: breakdown.top(x, x.plan(""), "k", 25).select("value", "n")), "SELECT k AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, k) - 1 AS place FROM logs WHERE k IS NOT NULL GROUP BY k ORDER BY n DESC, k LIMIT 25")
+
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -172,7 +214,16 @@ _logs_query(
     """SELECT pattern_id, min(pattern) AS pattern, count(*) AS n, min(ts) AS first, max(ts) AS last, count(*) FILTER (ts IS NULL) AS undated, count(*) FILTER (NOT parsed) AS unparsed, min(message) AS example,
     string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM logs WHERE TRY_CAST(k AS DOUBLE) < 80 GROUP BY pattern_id""",
 )
-_logs_query("patterns_new_since", lambda x: breakdown.patterns(x, x.plan("user_id:<3"), -1, "12h").select("pattern_id", "n", "undated"), "SELECT pattern_id, count(*) AS n, count(*) FILTER (ts IS NULL) AS undated FROM logs WHERE user_id < 3 GROUP BY pattern_id HAVING count(*) FILTER (ts < (SELECT max(ts) FROM logs) - INTERVAL 12 HOUR) = 0 AND count(ts) > 0")
+
+
+def _new_patterns(x: Logs) -> DataFrame:
+    """Templates that keep the user, of which some are new in the last 24 days."""
+    table = x.table.withColumn("pattern", F.col("message")).withColumn("pattern_id", id_column(F.col("message")))
+    other = Logs(table, x.promotions)
+    return breakdown.patterns(other, other.plan(""), -1, "24d").select("pattern", "n", "undated")
+
+
+_logs_query("patterns_new_since", _new_patterns, "SELECT message AS pattern, count(*) AS n, count(*) FILTER (ts IS NULL) AS undated FROM logs GROUP BY message HAVING count(*) FILTER (ts < (SELECT max(ts) FROM logs) - INTERVAL 24 DAY) = 0 AND count(ts) > 0")
 _logs_query("pattern_totals", lambda x: breakdown.pattern_totals(x, x.plan("")), "SELECT count(*) AS records, count(DISTINCT pattern_id) AS templates, count(*) FILTER (NOT parsed) AS unparsed_records, count(DISTINCT pattern_id) FILTER (NOT parsed) AS unparsed_templates FROM logs")
 
 
@@ -278,6 +329,10 @@ LINE_FORMATS = {
     "docker": (f"concat('{{\"log\":\"ERROR did ', event_type, '\\\\n\",\"stream\":\"s', user_id, '\",\"time\":\"', {_AT}, 'Z\"}}')", "ts", "'error'", "'ERROR did ' || event_type", ("stream", "'s' || CAST(user_id AS VARCHAR)")),
     "redis": ("concat(user_id, ':M ', date_format(ts, 'dd MMM yyyy HH:mm:ss.SSS'), ' # did ', event_type)", "date_trunc('millisecond', ts)", "'warn'", "'did ' || event_type", ("pid", "CAST(user_id AS VARCHAR)")),
     "cef": ("concat('CEF:0|Acme|Wall|1|', user_id, '|did ', event_type, '|', event_id % 10, '|src=10.0.0.1')", "NULL::TIMESTAMP", "CASE WHEN event_id % 10 >= 9 THEN 'fatal' WHEN event_id % 10 >= 7 THEN 'error' WHEN event_id % 10 >= 4 THEN 'warn' ELSE 'info' END", "'did ' || event_type", ("signature", "CAST(user_id AS VARCHAR)")),
+    "journald": ("concat('{\"MESSAGE\":\"did ', event_type, '\",\"PRIORITY\":\"', event_id % 8, '\",\"__REALTIME_TIMESTAMP\":\"', unix_micros(cast(ts as timestamp)), '\",\"_PID\":\"', user_id, '\"}')", "ts", "CASE WHEN event_id % 8 < 3 THEN 'fatal' WHEN event_id % 8 = 3 THEN 'error' WHEN event_id % 8 = 4 THEN 'warn' WHEN event_id % 8 < 7 THEN 'info' ELSE 'debug' END", "'did ' || event_type", ("_PID", "CAST(user_id AS VARCHAR)")),
+    "haproxy": ("concat('10.0.0.1:', user_id, ' [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss.SSS'), ' +0000] web api/srv1 1/2/3/4/10 ', 200 + 100 * (event_id % 4), ' 99 - - ---- 1/2/3/4/0 5/6 \"GET /', event_type, ' HTTP/1.1\"')", "date_trunc('millisecond', ts)", "CASE event_id % 4 WHEN 2 THEN 'warn' WHEN 3 THEN 'error' ELSE 'info' END", "'GET /' || event_type", ("client_port", "CAST(user_id AS VARCHAR)")),
+    "console": ("concat('[0', user_id % 7, ':', lpad(event_id % 60, 2, '0'), ':30] \\u001b[31m✖ ', if(event_id % 2 = 0, 'fail', 'Skipped'), '\\u001b[0m the ', event_type, ' run')", "NULL::TIMESTAMP", "CASE WHEN event_id % 2 = 0 THEN 'error' ELSE 'warn' END", "CASE WHEN event_id % 2 = 0 THEN 'fail' ELSE 'Skipped' END || ' the ' || event_type || ' run'", ("elapsed_s", "CAST(3600 * (user_id % 7) + 60 * (event_id % 60) + 30 AS VARCHAR)")),
+    "text": ("concat('the door of room ', user_id, ' was left open after a ', if(event_type = 'error', 'storm', event_type))", "NULL::TIMESTAMP", "NULL", "'the door of room ' || CAST(user_id AS VARCHAR) || ' was left open after a ' || CASE event_type WHEN 'error' THEN 'storm' ELSE event_type END", ("none", "NULL::VARCHAR")),
     "nginx_error": ("concat(date_format(ts, 'yyyy/MM/dd HH:mm:ss'), ' [warn] ', user_id, '#7: *3 did ', event_type, ', client: 10.0.0.1')", "date_trunc('second', ts)", "'warn'", "'did ' || event_type", ("pid", "CAST(user_id AS VARCHAR)")),
 }
 
@@ -297,6 +352,17 @@ for _name, (_, _ts, _level, _message, (_, _field)) in LINE_FORMATS.items():
     ORACLE_SQL[f"ingest_{_name}"] = f"SELECT event_id, {_ts} AS ts, {_level} AS level, {_message} AS message, '{_name}' AS format, TRUE AS parsed, {_field} AS field FROM events"
 
 
+def _path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of paths with punctuation around their numbers."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.format_string("GET /api/orders/(%d)/[%s]/x?%d done", "user_id", "event_type", F.col("event_id"))
+    return events.groupBy(template_column(line).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["template_paths"] = _path_templates
+ORACLE_SQL["template_paths"] = "SELECT 'GET /api/orders/(<num>)/[' || event_type || ']/x?' || CAST(event_id AS VARCHAR) || ' done' AS pattern, count(*) AS n FROM events GROUP BY 1"
+
+
 def _redacted(x: Logs) -> DataFrame:
     return redact(x.matching(x.plan("level:error")), ("k",)).select("seq", "raw", F.col("bag")["k"].alias("k"))
 

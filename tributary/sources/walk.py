@@ -12,7 +12,7 @@ from tributary.sources.codecs import codec_of, open_decoded
 
 #: Folders and endings that hold no logs.
 SKIPPED_DIRS = frozenset(".git .svn .hg node_modules .terraform __pycache__ .venv vendor".split())
-SKIPPED_ENDINGS = frozenset(".go .js .ts .py .rb .java .class .jar .so .dll .exe .o .a .png .jpg .jpeg .gif .svg .ico .pdf .zip .tar .db .sqlite .parquet .md .html .css .yaml .yml .toml .lock".split())
+SKIPPED_ENDINGS = frozenset(".duckdb .db .sqlite .sqlite3 .zip .tar .7z .png .jpg .jpeg .gif .pdf .ico .so .dylib .dll .exe .a .o .class .jar .pyc .wasm .mp4 .mov .mp3 .woff .woff2 .ttf".split())
 COMPRESSED = (".gz", ".zst", ".zstd", ".xz", ".bz2")
 MOST_BYTES = 4 << 30
 SNIFF_BYTES, MOST_NULS = 8000, 0.01

@@ -7,7 +7,7 @@ import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,7 +15,7 @@ from tributary.dsl.syntax import DslError, TimeTerm, parse
 from tributary.dsl.timeexpr import TimeContext, micros, resolve
 from tributary.functions.predicates import predicate
 from tributary.model import LOGS_SCHEMA, Promotion
-from tributary.plans.schema import Schema
+from tributary.plans.schema import Schema, UnknownField
 from tributary.sources.datasource import follow_logs
 from tributary.sources.infer import promote
 
@@ -42,6 +42,33 @@ def compiled(text: str, schema: Schema, zone: str = "UTC", now: int | None = Non
     return predicate(query, schema)
 
 
+@dataclass
+class First:
+    """A stream's filter, resolved against the records of the first batch that has any."""
+
+    text: str
+    promotions: tuple[Promotion, ...] = ()
+    keys: tuple[str, ...] = ()
+    sources: tuple[str, ...] = ()
+    where: Column | None = None
+
+    def filter(self, batch: Callable[[], DataFrame]) -> Column | None:
+        """None as long as there are no records."""
+        if self.where is None:
+            found = batch()
+            if found.isEmpty():
+                return None
+            own = [r.key for r in found.select(F.explode(F.map_keys("bag")).alias("key")).distinct().collect()]
+            self.where = self.resolved(tuple(dict.fromkeys((*self.keys, *own))))
+        return self.where
+
+    def resolved(self, keys: tuple[str, ...]) -> Column:
+        try:
+            return compiled(self.text, stream_schema(self.promotions, keys, self.sources))
+        except UnknownField as problem:
+            raise DslError(f"{problem} (a stream's filter is resolved against the records that have arrived so far)") from None
+
+
 @dataclass
 class Follower:
     """New records of files, with frozen promotions, to a function a batch.
@@ -63,16 +90,17 @@ class Follower:
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=POLL)).start()
 
     def records(self, text: str, checkpoint: str, emit: Callable[[list], None], available_now: bool = False, keys: tuple[str, ...] = ()) -> StreamingQuery:
-        """Matching records in order of time, a batch at a time. A name that is unknown yet is looked up in each batch's own keys."""
+        """Matching records in order of time, a batch at a time.
+
+        The filter is resolved once, against ``keys`` and those of the first batch with records. A name
+        that is unknown then ends the query with an error.
+        """
+        first = First(text, self.promotions, keys)
 
         def each(batch: DataFrame, _: int) -> None:
-            found = tuple(r.key for r in batch.select(F.explode(F.map_keys("bag")).alias("key")).distinct().collect())
-            try:
-                where = compiled(text, stream_schema(self.promotions, tuple(dict.fromkeys((*keys, *found)))))
-            except DslError as problem:
-                if "unknown field" in str(problem):
-                    return  # no record of this batch has it
-                raise
+            where = first.filter(lambda: batch)
+            if where is None:
+                return
             rows = batch.where(where).orderBy(F.col("ts").asc_nulls_last(), "part", "rec_no").collect()
             if rows:
                 emit(rows)
@@ -152,8 +180,8 @@ class Hub:
 def stream_pipe(spark: SparkSession, stream, text: str, emit: Callable[[list], None], parser: str | None = None, zone: str = "UTC", rows: int = 500, seconds: float = 0.2) -> int:
     """Records of a live pipe through a filter, a batch at a time; how many there were.
 
-    A batch is closed after ``rows`` records or ``seconds``. A filter on a field that no
-    record has shown yet matches nothing until one does.
+    A batch is closed after ``rows`` records or ``seconds``. The filter is resolved against
+    the first batch; a field that is unknown then, or at the end of an empty pipe, is an error.
     """
     import time
 
@@ -161,23 +189,15 @@ def stream_pipe(spark: SparkSession, stream, text: str, emit: Callable[[list], N
     from tributary.sources.formats import FORMATS
     from tributary.sources.reader import read, row
 
-    held, seen, keys, began = [], 0, {}, time.monotonic()
+    held, seen, first, began = [], 0, First(text, sources=("stdin",)), time.monotonic()
 
     def flush() -> None:
         if not held:
             return
         values = [tuple(moment(r["ts"]) if f.name == "ts" and r["ts"] is not None else r[f.name] for f in LOGS_SCHEMA.fields) for r in held]
-        for r in held:
-            keys.update(dict.fromkeys(r["bag"]))
         batch = spark.createDataFrame(values, LOGS_SCHEMA)
         held.clear()
-        try:
-            where = compiled(text, stream_schema((), tuple(keys), ("stdin",)))
-        except DslError as problem:
-            if "unknown field" not in str(problem):
-                raise
-            return
-        found = batch.where(where).orderBy("seq").collect()
+        found = batch.where(first.filter(lambda: batch)).orderBy("seq").collect()
         if found:
             emit(found)
 
@@ -188,4 +208,6 @@ def stream_pipe(spark: SparkSession, stream, text: str, emit: Callable[[list], N
             flush()
             began = time.monotonic()
     flush()
+    if not seen:
+        first.resolved(())
     return seen
