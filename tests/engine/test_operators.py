@@ -181,3 +181,16 @@ def test_trace_names(make_logs):
     assert investigate.detect_trace_field(logs, "r1") == "x-request-id"
     many = [("14:00:00", "info", "a", "s", *row, {"correlation_id": "c1"})] * 20 + [("14:00:01", "info", "b", "s", *row, {"trace_id": "t1"})]
     assert investigate.detect_trace_field(make_logs(many), "c1") == "correlation_id"
+
+
+def test_quantiles_of_many_values_are_the_same(make_logs):
+    import random
+
+    rng = random.Random(3)
+    rows = [("14:00:00", rng.choice(["info", "error"]), "m", rng.choice("ab"), "f", "jsonl", {"n": rng.choice([rng.randint(0, 9), round(rng.random(), 3), "x"]), "k": rng.choice("uv")}) for _ in range(300)]
+    logs = make_logs(rows)
+    for text in ("stats p50(n), count(), p95(n), p99(k)", "stats p95(n), p50(n) by source, k", "stats p99(n) by level", "level:fatal stats p50(n), count()", "stats avg(n), p50(n) by source"):
+        few, many = run(logs, text), run(logs, text, most=0)
+        assert few and len(few) == len(many)
+        for a, b in zip(few, many):
+            assert all(x == y or abs(x - y) < 1e-12 for x, y in zip(a, b)), text

@@ -23,6 +23,7 @@ from tributary.plans.session import Logs, Plan
 #: Names that a trace id goes by.
 TRACE_FIELDS = ("trace_id", "traceId", "trace-id", "traceid", "request_id", "requestId", "req_id", "x-request-id", "correlation_id", "correlationId")
 DIFF_LIMIT, MOST_VALUES, HANDOFF_LIMIT = 20, 500, 200
+HOUR = 3_600_000_000
 
 
 class NoTraceField(DslError):
@@ -58,9 +59,20 @@ def trace(logs: Logs, plan: Plan, value: str, by: str | None = None) -> DataFram
     column = logs.schema.column(by or detect_trace_field(logs, value)).cast("string")
     fielded = holds(column == value)
     hops = logs.matching(plan).where(fielded | text_predicate(TextTerm(value))).select("seq", "ts", "source", "level", "message", (~fielded).alias("text_only"))
-    time_order = Window.partitionBy(F.col("ts").isNull()).orderBy("ts", "seq")  # the hops of one id
-    gap = F.when(F.col("ts").isNotNull(), scalar.micros(F.col("ts")) - F.lag(scalar.micros(F.col("ts"))).over(time_order))
-    return ordered(hops.withColumn("gap_us", gap))
+    return ordered(with_gaps(stored(hops, "hops")))
+
+
+def with_gaps(hops: DataFrame) -> DataFrame:
+    """Add gap_us: within an hour by a window, and from the last hop of an earlier hour by a table of one row an hour."""
+    us = scalar.micros(F.col("ts"))
+    hops = hops.withColumn("hour_no", F.floor(us / F.lit(HOUR)))
+    ends = hops.where("ts IS NOT NULL").groupBy("hour_no").agg(F.max(us).alias("end"))
+    ends = ends.withColumn("end", F.lag("end").over(Window.orderBy("hour_no")))
+    own = Window.partitionBy("hour_no").orderBy("ts", "seq")
+    before = F.coalesce(F.lag(us).over(own), F.col("end"))
+    dated = hops.where("ts IS NOT NULL").join(F.broadcast(ends), "hour_no").withColumn("gap_us", us - before)  # a century has 900,000 hours
+    undated = hops.where("ts IS NULL").withColumn("gap_us", F.lit(None).cast("long"))
+    return dated.select(*undated.columns).unionByName(undated).drop("hour_no")
 
 
 def trace_summary(hops: DataFrame) -> DataFrame:

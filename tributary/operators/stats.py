@@ -9,14 +9,18 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tributary.dsl.syntax import Aggregate, Bin, DslError, Key, bin_text
 from tributary.dsl.timeexpr import local, midnight
 from tributary.functions import scalar
+from tributary.functions.scratch import stored
 from tributary.plans.schema import Schema
 from tributary.plans.session import Logs, Plan
 
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+#: Rows of which quantiles are taken group by group; of more, the values are dealt out by ranges.
+MOST_VALUES = 5_000_000
 
 
 class NonNumericField(DslError):
@@ -61,7 +65,61 @@ def key_column(key: Key | Bin, logs: Logs, plan: Plan) -> Column:
     return scalar.bins(F.col("ts"), key.seconds, origin(logs, plan)) if isinstance(key, Bin) else logs.schema.column(key.field)
 
 
-def stats(logs: Logs, plan: Plan, names: tuple[str, ...] | None = None) -> DataFrame:
+def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles for each group, however many values it has.
+
+    Distinct values with their counts are dealt out by ranges of (keys, value) and
+    stored; sums a range and group tell the ranks at which each range begins, so that a
+    group may span many tasks. Columns: the keys, and one for each name wanted.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_value"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(counted.repartitionByRange(parts, *keys, value).withColumn("range_no", F.spark_partition_id()), "values")
+    before = Window.partitionBy(*keys).orderBy("range_no")
+    sums = dealt.groupBy(*keys, "range_no").agg(F.sum("n_value").alias("n_range"))  # a group's rows are as many as its ranges
+    sums = sums.withColumn("start", F.sum("n_range").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_range"))
+    sums = sums.withColumn("total", F.sum("n_range").over(Window.partitionBy(*keys))).drop("n_range")
+    joined = [*keys, "range_no"]
+    sums = sums.toDF(*(f"of_{c}" if c in joined else c for c in sums.columns))
+    placed = dealt.join(sums, reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in joined])).drop(*(f"of_{c}" for c in joined))
+    own = Window.partitionBy(*keys, "range_no").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("end", F.col("start") + F.sum("n_value").over(own)).withColumn("begin", F.col("end") - F.col("n_value"))
+    out = []
+    for name, share in wanted.items():
+        rank = (F.col("total") - 1) * share
+        held = lambda at: F.max(F.when((F.col("begin") <= at) & (at < F.col("end")), F.col(value)))
+        low, high, part = held(F.floor(rank)), held(F.ceil(rank)), F.max(rank - F.floor(rank))
+        out.append(F.when(part == 0, low).otherwise((1 - part) * low + part * high).alias(name))
+    return placed.groupBy(*keys).agg(*out)
+
+
+def aggregated(rows: DataFrame, keys: list[Column], wanted: list[Aggregate], made: list[Column], schema: Schema, most: int) -> DataFrame:
+    """Rows grouped by ``keys``, with one column an aggregate; large tables get their quantiles in another way, to the same values."""
+    special = [a for a in wanted if a.name in QUANTILES]
+    if not special or rows.limit(most + 1).count() <= most:
+        return rows.groupBy(*keys).agg(*made) if keys else rows.agg(*made)
+    names = [f"key_{n}" for n in range(len(keys))]
+    fields = {a.field: f"value_{n}" for n, a in enumerate(special)}
+    keyed = rows.select("*", *[k.alias(n) for k, n in zip(keys, names)])
+    others = [m for a, m in zip(wanted, made) if a not in special]
+    out = keyed.groupBy(*names).agg(*(others or [F.count(F.lit(1)).alias("n_rows")]))
+    for name, column in fields.items():
+        of_field = {a.label: QUANTILES[a.name] for a in special if a.field == name}
+        found = quantiles(rows.select(*[k.alias(n) for k, n in zip(keys, names)], numeric(schema, name).alias(column)), names, column, of_field)
+        if names:
+            found = found.toDF(*[f"own_{n}" for n in names], *of_field)
+            out = out.join(found, reduce(and_, [F.col(n).eqNullSafe(F.col(f"own_{n}")) for n in names]), "left").drop(*[f"own_{n}" for n in names])
+        else:
+            out = out.crossJoin(F.broadcast(found))  # one row each
+    labels = [key.alias(made_name) for key, made_name in zip([F.col(n) for n in names], _labels(rows, keys))]
+    return out.select(*labels, *[F.col(f"`{a.label}`") for a in wanted])
+
+
+def _labels(rows: DataFrame, keys: list[Column]) -> list[str]:
+    return rows.select(*keys).columns if keys else []
+
+
+def stats(logs: Logs, plan: Plan, names: tuple[str, ...] | None = None, most: int = MOST_VALUES) -> DataFrame:
     """The clause's result. Grouping skips records that lack a key; without ``by`` there is always one row.
 
     Ordered by the bin and the other keys, or else by the first aggregate
@@ -77,7 +135,8 @@ def stats(logs: Logs, plan: Plan, names: tuple[str, ...] | None = None) -> DataF
     if keys:
         # what is aggregated is projected first, so that a shuffle carries no more
         present = reduce(and_, [key_column(k, logs, plan).isNotNull() for k in clause.by])
-        out = rows.where(present).groupBy(*keys).agg(*made)
+        rows = rows.where(present)
+        out = aggregated(rows, keys, clause.aggregates, made, logs.schema, most)
         quoted = [F.col(f"`{key_name(k)}`") for k in clause.by]
         if any(isinstance(k, Bin) for k in clause.by):
             order = sorted(range(len(quoted)), key=lambda n: not isinstance(clause.by[n], Bin))
@@ -85,7 +144,7 @@ def stats(logs: Logs, plan: Plan, names: tuple[str, ...] | None = None) -> DataF
         else:
             out = out.orderBy(F.col(f"`{clause.aggregates[0].label}`").desc_nulls_last(), *[q.asc() for q in quoted])
     else:
-        out = rows.agg(*made)
+        out = aggregated(rows, [], clause.aggregates, made, logs.schema, most)
     return out.toDF(*names) if names else out.select(*[F.col(f"`{x}`") for x in labels])
 
 

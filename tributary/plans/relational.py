@@ -7,14 +7,13 @@ SQL. Where both dialects agree the text is shared and goes through
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tributary.functions.scratch import shared_folder, stored
+from tributary.functions.scratch import new_path, stored
 from tributary.plans.sql import run_sql
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -171,7 +170,7 @@ def _read_back(kind: str, options: dict, schema: str) -> Callable[[Tables], Data
     """Customers written as files of another kind and scanned in SQL's way."""
 
     def run(t: Tables) -> DataFrame:
-        path = f"{shared_folder(t.spark)}/tributary-scans/{kind}-{uuid.uuid4().hex}"
+        path = new_path(t.spark, kind)
         t.customer.write.options(**options).format(kind).save(path)
         return t.spark.read.options(**options).schema(schema).format(kind).load(path).groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.max("c_name").alias("last"))
 

@@ -68,6 +68,8 @@ class Schema:
     own_keys: tuple[str, ...] | Callable[[], tuple[str, ...]] = ()
     own_sources: tuple[str, ...] | Callable[[], tuple[str, ...]] = ()
     types: dict[str, str] = field(default_factory=dict)
+    #: Whether the bag has a key just so: ends at the first record that has it.
+    has_key: Callable[[str], bool] | None = None
 
     @cached_property
     def keys(self) -> tuple[str, ...]:
@@ -77,6 +79,10 @@ class Schema:
     def sources(self) -> tuple[str, ...]:
         return self.own_sources() if callable(self.own_sources) else self.own_sources
 
+    @cached_property
+    def asked(self) -> dict[str, bool]:
+        return {}
+
     @property
     def names(self) -> list[str]:
         own = [c for c in BUILTINS if c in self.columns]
@@ -97,6 +103,11 @@ class Schema:
             for p in sorted(self.promotions, key=lambda p: p.field):
                 if same(p.field) or same(p.column):
                     return "column", p.column
+        if "keys" not in self.__dict__ and self.has_key is not None:
+            if name not in self.asked:
+                self.asked[name] = self.has_key(name)
+            if self.asked[name]:
+                return "bag", name
         for same in (lambda x: x == name, lambda x: x.lower() == low):
             for key in sorted(self.keys):
                 if same(key):
@@ -131,5 +142,8 @@ def read_schema(logs: DataFrame, promotions: tuple[Promotion, ...] = ()) -> Sche
     def sources() -> tuple[str, ...]:
         return tuple(sorted(r.source for r in logs.select("source").distinct().collect() if r.source is not None)) if "source" in logs.columns else ()
 
+    def has_key(name: str) -> bool:
+        return "bag" in logs.columns and not logs.where(F.map_contains_key("bag", name)).select("bag").isEmpty()
+
     types = {f.name: f.dataType.simpleString() for f in logs.schema.fields}
-    return Schema(tuple(logs.columns), tuple(promotions), keys, sources, types)
+    return Schema(tuple(logs.columns), tuple(promotions), keys, sources, types, has_key)
