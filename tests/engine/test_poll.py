@@ -57,3 +57,14 @@ def test_empty_and_partial_lines(tmp_path):
     assert rows == []
     rows, state = look(path, state)  # it does not grow any more
     assert [r[2] for r in rows] == ["no line end yet"]
+
+
+def test_bounded_looks_read_everything_once(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_text("".join(LINE.format(n, n) + ("\tat somewhere in the code\n" * 40 if n == 5 else "") for n in range(20)))
+    state, seen, looks = None, [], 0
+    while not state or not state["still"]:
+        rows, state = poll(walk(str(path)).files[0], state, 0, None, "UTC", most=100)
+        seen += [(r["rec_no"], r["message"].split("\n")[0]) for r in rows]
+        looks += 1
+    assert seen == [(n + 1, f"m{n}") for n in range(20)] and looks > 8

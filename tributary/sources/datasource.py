@@ -37,6 +37,8 @@ _ARROW = pa.schema(
 )
 BATCH = 2000
 SPLIT_BYTES = 128 << 20
+#: Bytes that a follower takes in at one look.
+POLL_BYTES = 64 << 20
 
 
 def paths_of(options: dict) -> list[str]:
@@ -170,11 +172,14 @@ class LogStreamReader(SimpleDataSourceStreamReader):
         return {}
 
     def read(self, start: dict) -> tuple[Iterator, dict]:
-        end, out = dict(start), []
+        end, out, left = dict(start), [], int(self.options.get("pollBytes", self.options.get("pollbytes", POLL_BYTES)))
         for n, f in enumerate(list_files(self.options).files):
             if f.codec is not None and f.path in start:
                 continue
-            rows, state = poll(f, start.get(f.path), n, self.parser, self.zone)
+            if left <= 0:
+                break  # the next poll goes on here
+            rows, state = poll(f, start.get(f.path), n, self.parser, self.zone, most=left)
+            left -= max(0, state["seen"] - start.get(f.path, {"offset": 0})["offset"])
             out += rows
             end[f.path] = state
         return iter([_tuple(r) for r in out]), end
@@ -198,34 +203,40 @@ def head_hash(path: str, size: int = 4096) -> str:
         return hashlib.sha256(f.read(size)).hexdigest()[:32]
 
 
-def poll(file: Found, state: dict | None, order: int, parser: str | None, zone: str, until: dict | None = None) -> tuple[list[dict], dict]:
-    """New whole records of a file since ``state``, and the state after them."""
+def poll(file: Found, state: dict | None, order: int, parser: str | None, zone: str, until: dict | None = None, most: int | None = None) -> tuple[list[dict], dict]:
+    """New whole records of a file since ``state``, and the state after them; from ``most`` bytes, if a record is no longer."""
     import io
 
     fresh = {"head": "", "head_size": 0, "offset": 0, "line": 1, "rec": 0, "size": -1, "format": ""}
     state = dict(state or fresh)
     if state["head_size"] and (file.size < state["offset"] or head_hash(file.path, state["head_size"]) != state["head"]):
         state = fresh
-    if file.codec is not None:
-        with open_decoded(file.path, file.codec) as f:
-            data = f.read()
-    else:
-        with open(file.path, "rb") as f:
-            f.seek(state["offset"])
-            data = f.read((until["seen"] if until else file.size) - state["offset"])
-    seen = state["offset"] + len(data)
-    still = until["still"] if until else (seen == state.get("seen") or file.codec is not None)
-    complete = data if still else data[: data.rfind(b"\n") + 1]
-    fmt = FORMATS.get(state["format"]) or (MIXED if state["format"] == "mixed" else None)
-    if fmt is None:
-        fmt = FORMATS.get(parser) if parser and parser != "mixed" else choose([valid_text(x)[0] for x in complete.split(b"\n")[:SAMPLE_LINES]])
-    entries = list(read(io.BytesIO(complete), fmt, zone, first_line=state["line"]))
+    fixed = FORMATS.get(state["format"]) or (MIXED if state["format"] == "mixed" else None)
+    size = file.size if most is None else min(file.size, state["offset"] + most)
+    while True:
+        if file.codec is not None:
+            with open_decoded(file.path, file.codec) as f:
+                data = f.read()
+        else:
+            with open(file.path, "rb") as f:
+                f.seek(state["offset"])
+                data = f.read((until["seen"] if until else size) - state["offset"])
+        seen = state["offset"] + len(data)
+        still = until["still"] if until else (seen == state.get("seen") and size == file.size or file.codec is not None)
+        complete = data if still else data[: data.rfind(b"\n") + 1]
+        fmt = fixed
+        if fmt is None:
+            fmt = FORMATS.get(parser) if parser and parser != "mixed" else choose([valid_text(x)[0] for x in complete.split(b"\n")[:SAMPLE_LINES]])
+        entries = list(read(io.BytesIO(complete), fmt, zone, first_line=state["line"]))
+        if until or size >= file.size or len(entries) > 1:
+            break
+        size = min(file.size, 2 * size - state["offset"])  # a record is longer than that
     held = entries[-1:] if entries and not still else []
     done = entries[: len(entries) - len(held)]
     rows = [{"part": order, "rec_no": state["rec"] + n, **row(e, logical_source(file.path), file.path)} for n, e in enumerate(done, 1)]
     used = held[0].offset if held else len(complete)
-    size = min(4096, seen)
-    after = {"head": head_hash(file.path, size) if file.codec is None and size else "", "head_size": size if file.codec is None else 0, "offset": state["offset"] + used, "line": state["line"] + complete[:used].count(b"\n"), "rec": state["rec"] + len(done), "seen": seen, "still": still, "format": fmt.name if entries else ""}
+    head = min(4096, seen)
+    after = {"head": head_hash(file.path, head) if file.codec is None and head else "", "head_size": head if file.codec is None else 0, "offset": state["offset"] + used, "line": state["line"] + complete[:used].count(b"\n"), "rec": state["rec"] + len(done), "seen": seen, "still": still, "format": fmt.name if entries else ""}
     return rows, after
 
 
