@@ -67,3 +67,17 @@ def test_band_settings():
     least = 0.8 / 4.2
     assert 1 - (1 - least) ** decontam.HASHES > 0.999998
     assert len(set(decontam._MULTIPLIERS.tolist())) == decontam.HASHES and np.all(decontam._MULTIPLIERS % 2 == 1)
+
+
+def test_blocks_are_bounded_in_bytes(spark):
+    rows = [(i, "x" * n) for i, n in enumerate([10, 10, 50, 5, 5, 5, 5])] + [(9, None)]
+    found = [[x[0] for x in part] for part in decontam._blocks(spark.createDataFrame(rows, "item_id long, text string").coalesce(1), 3, 30)]
+    assert found == [[0, 1], [2], [3, 4, 5], [6, 9]]
+
+
+def test_a_very_long_text_with_a_hit(spark):
+    words = [f"w{i % 977}x{i}" for i in range(80_000)]
+    items = [(1, " ".join(words[40_000:40_030])), (2, " ".join(words[79_990:])), (3, " ".join(words[5:300:2]))]
+    docs = spark.createDataFrame([(7, " ".join(words))], "doc_id long, text string")
+    found = decontam.contained_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.item_id, r.matched) for r in found) == [(1, 26), (2, 6)]

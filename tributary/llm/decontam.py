@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import raw_texts, tokens
 
 WIDTH, CONTAINMENT, HASHES = 5, 0.8, 64
-#: Items of one broadcast index; more are searched block by block.
-BLOCK_ITEMS = 20_000
+#: Items, and bytes of their texts, of one broadcast index; more are searched block by block, each a pass over the texts.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 #: Bytes of text that are searched at once: their shingles stay in a processor's cache.
 PORTION = 1 << 20
 
@@ -198,14 +198,16 @@ def _search(shared, least: float):
     return run
 
 
-def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple]]:
-    """The benchmark in blocks of bounded size, streamed through the driver."""
-    held = []
+def _blocks(benchmark: DataFrame, size: int, most_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
+    """The benchmark in blocks of bounded items and bytes (or one item), streamed through the driver."""
+    held, held_bytes = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        held.append((row["item_id"], row["text"]))
-        if len(held) == size:
+        length = len((row["text"] or "").encode())
+        if held and (len(held) == size or held_bytes + length > most_bytes):
             yield held
-            held = []
+            held, held_bytes = [], 0
+        held.append((row["item_id"], row["text"]))
+        held_bytes += length
     if held:
         yield held
 
