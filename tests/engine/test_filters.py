@@ -135,3 +135,14 @@ def test_what_parses_renders_back(text):
     except DslError:
         return
     assert parse(render(tree)) == tree
+
+
+def test_views_of_a_call_leave_the_sessions_own_alone(spark, eleven):
+    from tributary.plans.sql import query, run_sql
+
+    spark.range(3).createOrReplaceTempView("logs")
+    assert query(eleven, "SELECT count(*) AS n FROM logs").rows[0].n == 11
+    assert spark.table("logs").count() == 3
+    late = run_sql(spark, "SELECT * FROM only_here", {"only_here": spark.range(5)})
+    assert late.count() == 5 and not spark.catalog.tableExists("only_here")
+    spark.catalog.dropTempView("logs")

@@ -10,6 +10,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 from tributary.dsl.syntax import DslError, parse
+from tributary.functions.scratch import new_path
 from tributary.operators import breakdown, investigate, records, stats
 from tributary.plans.session import Logs
 from tributary.plans.sql import query
@@ -126,7 +127,7 @@ def execute(a: argparse.Namespace) -> int:
             stream_pipe(spark, sys.stdin.buffer, text, lambda rows: print(rendered(list(records.LISTED), [[r[c] for c in records.LISTED] for r in rows], a.format, a.tz), flush=True), a.parser, a.source_tz)
             return 0
         emit = lambda rows: print(rendered(list(records.LISTED), [[r[c] for c in records.LISTED] for r in rows], a.format, a.tz), flush=True)
-        Follower(spark, paths).records(text, tempfile.mkdtemp(prefix="tributary-follow-"), emit).awaitTermination()
+        Follower(spark, paths).records(text, new_path(spark, "follow"), emit).awaitTermination()
         return 0
     logs = opened(spark, paths, a)
     limit = -1 if a.all else (0 if a.limit == records.DISPLAY_LIMIT else a.limit)

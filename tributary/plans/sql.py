@@ -12,10 +12,19 @@ SQL_LIMIT = 200
 
 
 def run_sql(spark: SparkSession, text: str, views: dict[str, DataFrame]) -> DataFrame:
-    """Spark SQL over named views; the views are of this call only."""
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text)
+    """Spark SQL over named views; the views are of this call only, and the session's own of these names come back after it."""
+    catalog = spark._jsparkSession.sessionState().catalog()
+    before = {name: spark.table(name) for name in views if catalog.getTempView(name).isDefined()}
+    try:
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(text)  # names are resolved here
+    finally:
+        for name in views:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
 
 
 @dataclass

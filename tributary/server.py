@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import os
 import queue
-import tempfile
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 from urllib.parse import parse_qs, urlsplit
 
 from tributary.dsl.syntax import DslError
+from tributary.functions.scratch import new_path
 from tributary.operators import breakdown, investigate, records
 from tributary.plans.session import Logs
 from tributary.plans.sql import query
@@ -173,7 +173,7 @@ def serve(logs: Logs, address: str, space: Workspace | None = None, paths: list[
     if paths:
         from tributary.streaming.follow import Follower, Hub
 
-        hub = Hub(Follower(logs.table.sparkSession, paths, logs.promotions), tempfile.mkdtemp(prefix="tributary-tail-"))
+        hub = Hub(Follower(logs.table.sparkSession, paths, logs.promotions), new_path(logs.table.sparkSession, "tail"))
         hub.start()
     with server(logs, address, space, hub) as http:
         print(f"http://{address}")

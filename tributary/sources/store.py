@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tributary.model import LOGS_SCHEMA, Promotion
 from tributary.plans.session import Logs
@@ -19,10 +20,17 @@ from tributary.sources.infer import infer, promote, sample
 from tributary.sources.walk import walk_all
 
 #: Raised when what is stored changes.
-VERSION = 1
+VERSION = 2
 MOST_CACHE_BYTES, MOST_CACHE_DAYS = 2 << 30, 14
 
 
+_STORED = StructType([*LOGS_SCHEMA.fields, StructField("rec_no", LongType())])
+
+
+def _name(path: str) -> str:
+    return hashlib.sha256(path.encode()).hexdigest()[:16]
+
+
 def cache_key(paths: list[str], **options) -> str:
     """Identity of an ingest: its version, options and paths, but not the files' sizes."""
     own = json.dumps([VERSION, sorted(os.path.abspath(p) for p in paths), sorted((k, str(v)) for k, v in options.items())])
@@ -62,38 +70,38 @@ class Store:
             meta = self._meta(key)
         os.utime(self.folder(key))
         promotions = tuple(Promotion(**p) for p in meta["promotions"])
-        return Logs(promote(self._base(key, meta["generation"]), list(promotions)), promotions, zone)
+        return Logs(promote(self._base(key, meta["generation"], meta["files"]), list(promotions)), promotions, zone)
 
-    def _base(self, key: str, generation: str) -> DataFrame:
+    def _base(self, key: str, generation: str, files: dict[str, str]) -> DataFrame:
         """Base columns with a dense seq over the files' order."""
         from pyspark.sql.window import Window
 
-        rows = self.spark.read.parquet(os.path.join(self.folder(key), generation))
-        counts = rows.groupBy("file_ord").agg(F.count(F.lit(1)).alias("n"))
+        rows = self.spark.read.schema(_STORED).parquet(os.path.join(self.folder(key), generation))
+        order = self.spark.createDataFrame([(p, n) for n, p in enumerate(files)], "file string, file_ord int")
+        counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).join(order, "file")
         before = Window.orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-        bases = counts.select("file_ord", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-        return rows.join(F.broadcast(bases), "file_ord").withColumn("seq", F.col("base") + F.col("rec_no")).select(*LOGS_SCHEMA.names)
+        bases = counts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        return rows.join(F.broadcast(bases), "file").withColumn("seq", F.col("base") + F.col("rec_no")).select(*LOGS_SCHEMA.names)
 
     def _refresh(self, key: str, files: dict[str, str], stale: list[str], keep: list[str], options: dict) -> None:
-        """Write a new generation next to the old one: kept files are copied as files, changed ones are ingested."""
+        """Write a new generation next to the old one: kept files are copied as files, changed ones are ingested together."""
         folder, generation = self.folder(key), f"gen-{time.time_ns()}"
         target = os.path.join(folder, generation)
         os.makedirs(target, exist_ok=True)
         old = (self._meta(key) or {}).get("generation")
-        order = {p: n for n, p in enumerate(files)}
         for path in keep:
-            name = hashlib.sha256(path.encode()).hexdigest()[:16]
-            rows = self.spark.read.parquet(os.path.join(folder, old, f"name={name}")) if old else None
-            if rows is not None:
-                rows.withColumn("file_ord", F.lit(order[path])).write.parquet(os.path.join(target, f"name={name}"))
-        for path in stale:
-            name = hashlib.sha256(path.encode()).hexdigest()[:16]
+            kept = os.path.join(folder, old, f"name={_name(path)}") if old else ""
+            if os.path.isdir(kept):  # a file without records has none
+                shutil.copytree(kept, os.path.join(target, f"name={_name(path)}"))
+        if stale:
             read_options = {k: v for k, v in options.items() if k not in ("include", "exclude")}
-            rows = read_logs(self.spark, [path], **read_options).withColumns({"file_ord": F.lit(order[path]), "rec_no": F.col("seq")})
-            rows.write.parquet(os.path.join(target, f"name={name}"))
+            rows = read_logs(self.spark, stale, **read_options)
+            first = rows.groupBy("file").agg(F.min("seq").alias("first"))  # one row a file
+            rows = rows.join(F.broadcast(first), "file").withColumn("rec_no", F.col("seq") - F.col("first") + 1).drop("first")
+            rows.withColumn("name", F.substring(F.sha2(F.col("file").cast("binary"), 256), 1, 16)).write.mode("append").partitionBy("name").parquet(target)
         meta = {"version": VERSION, "complete": True, "generation": generation, "files": files, "promotions": []}
         if files:
-            found = infer(sample(self._base(key, generation)))
+            found = infer(sample(self._base(key, generation, files)))
             meta["promotions"] = [p.__dict__ for p in found]
         partial = os.path.join(folder, "_meta.json.partial")
         with open(partial, "w") as f:
