@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tributary.operators import breakdown
 from tributary.plans.session import Logs
 from tributary.sources import formats
-from tributary.sources.datasource import read_logs, read_stats, read_stdin
+from tributary.sources.datasource import read_files_and_stdin, read_logs, read_stats, read_stdin
 from tributary.sources.generate import Corpus
 from tributary.sources.infer import column_name, demote, infer, infer_and_promote
 from tributary.sources.reader import ReadStats, read, row, valid_text
@@ -196,3 +196,11 @@ def test_which_endings_are_read(tmp_path):
     found = walk(str(tmp_path))
     assert sorted(os.path.basename(f.path) for f in found.files) == sorted(f"x.{e}" for e in taken)
     assert len(found.skipped) == len(skipped)
+
+
+def test_a_stream_and_files_are_one_table(spark, tmp_path):
+    (tmp_path / "app.log").write_text('{"ts":"2026-08-13T14:03:00Z","level":"info","msg":"from a file"}\n')
+    piped = b"".join(b'{"ts":"2026-08-13T14:0%d:00Z","level":"info","msg":"piped %d","status":50%d}\n' % (n, n, n) for n in range(3))
+    rows = read_files_and_stdin(spark, ["-", str(tmp_path)], io.BytesIO(piped)).orderBy("seq").collect()
+    assert [(r.seq, r.source, r.message) for r in rows] == [(1, "app", "from a file"), (2, "stdin", "piped 0"), (3, "stdin", "piped 1"), (4, "stdin", "piped 2")]
+    assert read_files_and_stdin(spark, ["-"], io.BytesIO(piped)).count() == 3 and read_files_and_stdin(spark, [str(tmp_path)]).count() == 1

@@ -15,7 +15,6 @@ from tributary.operators import breakdown, investigate, records, stats
 from tributary.plans.session import Logs
 from tributary.plans.sql import query
 from tributary.render import FORMATS, rendered
-from tributary.sources.datasource import read_stdin
 from tributary.sources.generate import Corpus
 from tributary.sources.infer import infer_and_promote
 from tributary.sources.store import Store
@@ -60,12 +59,12 @@ def opened(spark: SparkSession, paths: list[str], a: argparse.Namespace) -> Logs
     from datetime import datetime, timezone
 
     from tributary.dsl.timeexpr import micros
-    from tributary.sources.datasource import read_logs
+    from tributary.sources.datasource import read_files_and_stdin, read_logs
 
     now = micros(datetime.now(timezone.utc)) if a.relative_to_now else None
     own = {k: v for k, v in (("parser", a.parser), ("sourceTz", a.source_tz if a.source_tz != "UTC" else None), ("include", a.include or None), ("exclude", a.exclude or None), ("maxFileSize", a.max_file_size)) if v}
-    if paths == ["-"]:
-        table, promotions = infer_and_promote(read_stdin(spark, a.parser, a.source_tz))
+    if "-" in paths:
+        table, promotions = infer_and_promote(read_files_and_stdin(spark, paths, **own))
         return Logs(table, promotions, a.tz, now)
     if not walk_all(paths).files:
         raise DslError(f"no log files in {', '.join(paths)}")

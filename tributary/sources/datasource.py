@@ -322,3 +322,17 @@ def read_stdin(spark: SparkSession, parser: str | None = None, zone: str = "UTC"
 
     values = [tuple(moment(r["ts"]) if f.name == "ts" and r["ts"] is not None else r[f.name] for f in LOGS_SCHEMA.fields) for r in rows]
     return spark.createDataFrame(values, LOGS_SCHEMA)
+
+
+def read_files_and_stdin(spark: SparkSession, paths: list[str], stream=None, parser: str | None = None, sourceTz: str = "UTC", **options) -> DataFrame:
+    """Files and standard input (``-``) in one table. The files come first, wherever the stream is named: it may go on for long."""
+    files = [p for p in paths if p != "-"]
+    if "-" not in paths:
+        return read_logs(spark, files, parser=parser, sourceTz=sourceTz, **options)
+    piped = read_stdin(spark, parser, sourceTz, stream)
+    if not files:
+        return piped
+    read_ = read_logs(spark, files, parser=parser, sourceTz=sourceTz, **options)
+    base = read_.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("base"))  # one row
+    after = piped.crossJoin(F.broadcast(base)).withColumn("seq", F.col("seq") + F.col("base")).select(*read_.columns)
+    return read_.unionByName(after)
