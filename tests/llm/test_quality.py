@@ -51,6 +51,14 @@ def test_common_lines_deplete_documents(spark):
     assert found[400] == found[401] == [(False, 0)] and found[None] == [(True, 0)] and found[402] == [(True, 0)] * 2
 
 
+def test_the_limit_grows_with_the_host(spark):
+    """A line in 12 of 40 documents is common where the limit is one in 20 of them, and not where it is one in 3."""
+    rows = [(i, "a", f"{'menu ' * 30}of the site\n" * (i < 12) + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(25)), "h", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sum(r.n_words_removed > 0 for r in quality.judge(df, share=20).collect()) == 12
+    assert sum(r.n_words_removed > 0 for r in quality.judge(df, share=3).collect()) == 0
+
+
 def test_empty_table(spark):
     out = quality.judge(spark.createDataFrame([], SCHEMA))
     assert out.count() == 0 and "kept" in out.columns
