@@ -86,3 +86,13 @@ def test_a_forgetful_cache_gives_the_same_ids(monkeypatch):
 def test_tiny_tables(spark, n):
     df = spark.createDataFrame([(1, "a b")][:n], "doc_id long, text string")
     assert packing.pack(df).count() == n
+
+
+def test_buckets_grow_with_the_pieces(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id AS doc_id", "cast(id % 3 AS int) AS piece", "cast(5 + id % 2 AS long) AS length", "id * 7 AS ids_crc32")
+    monkeypatch.setattr(packing, "BUCKETS", 2)
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 10)
+    ranks = {}
+    for r in packing._ranked(rows, 300).collect():
+        ranks.setdefault(r.length, []).append(r["rank"])
+    assert {k: sorted(v) for k, v in ranks.items()} == {5: list(range(150)), 6: list(range(150))}

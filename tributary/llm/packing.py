@@ -37,7 +37,8 @@ from .common import materialize, tokenizer_path
 CAPACITY, END_ID = 2048, 0
 #: Large pieces are those over capacity / SMALL; with 400 groups the plan stays within 0.1 % of best fit decreasing.
 GROUPS, SMALL = 400, 2.5
-BUCKETS = 512
+#: Buckets that the ranks of a length are counted in, at least, and pieces of all lengths in one.
+BUCKETS, BUCKET_PIECES = 512, 50_000
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks that are no plain words whose ids a worker remembers; words that are encoded in one call.
 CACHE_CHUNKS, WORDS_AT_ONCE = 50_000, 20_000
@@ -401,9 +402,13 @@ def grouped_plan(counts: np.ndarray, groups: int = GROUPS, small: float = SMALL)
 # --- placing ------------------------------------------------------------------
 
 
-def _ranked(cut: DataFrame) -> DataFrame:
-    """Rank of each piece within its length, from 0 and without gaps."""
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")
+def _ranked(cut: DataFrame, pieces: int) -> DataFrame:
+    """Rank of each piece within its length, from 0 and without gaps.
+
+    Most pieces may have one length, so the buckets that ranks are counted in grow with the pieces.
+    """
+    buckets = max(BUCKETS, pieces // BUCKET_PIECES)
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     counted = materialize(cut.select("length", bucket.alias("bucket")).groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -437,4 +442,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     plan = docs.sparkSession.sparkContext.broadcast(grouped_plan(counts))
     order = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     schema = cut.select(*order).schema.add("sequence_id", "long").add("offset", "long")
-    return _ranked(cut).select(*order, "rank").mapInArrow(_place(plan), schema)
+    return _ranked(cut, int(counts.sum())).select(*order, "rank").mapInArrow(_place(plan), schema)
