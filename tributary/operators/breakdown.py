@@ -18,6 +18,8 @@ from tributary.model import BUILTINS
 from tributary.plans.session import Logs, Plan
 
 BUCKETS, TOP_LIMIT, PATTERN_LIMIT, FIELD_LIMIT = 60, 20, 30, 50
+#: A field that every record has, to count them in the same pass.
+EVERY = "\x00record"
 MILLISECOND, SECOND, MINUTE, HOUR, DAY = 1_000, 1_000_000, 60_000_000, 3_600_000_000, 86_400_000_000
 #: Widths that a histogram bucket may have, in microseconds.
 STEPS = (
@@ -119,7 +121,8 @@ def fields(logs: Logs, plan: Plan, limit: int = FIELD_LIMIT) -> DataFrame:
     """
     names = [n for n in BUILTINS if n in logs.table.columns and n not in ("seq", "fields", "raw")]
     rows = logs.matching(plan)
-    values = stored(_long_form(rows, names).groupBy("field", "place", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "values")
+    counted = stored(_long_form(rows.withColumn(EVERY, F.lit("")), [EVERY, *names]).groupBy("field", "place", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "values")
+    values = counted.where(F.col("field") != EVERY)
     kind = F.max(F.struct("kind_n", F.col("kind"))).alias("most")
     kinds = values.groupBy("field", "kind").agg(F.sum("n").alias("kind_n")).groupBy("field").agg(kind, F.array_sort(F.collect_set("kind")).alias("types"))
     out = values.groupBy("field").agg(
@@ -134,7 +137,7 @@ def fields(logs: Logs, plan: Plan, limit: int = FIELD_LIMIT) -> DataFrame:
     best = per_value.withColumn("at", first("field", "slice")).where("at <= 3").withColumn("at", first("field")).where("at <= 3")
     examples = best.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda e: e["value"]).alias("examples"))
     out = out.join(examples, "field")
-    total = rows.agg(F.count(F.lit(1)).alias("matched"))
+    total = counted.where(F.col("field") == EVERY).select(F.col("n").alias("matched"))  # at most one row
     out = out.join(kinds, "field").crossJoin(F.broadcast(total))
     out = out.select("field", "place", "records", (F.col("records") / F.col("matched")).alias("coverage"), "distinct", "numeric", F.col("most.kind").alias("type"), "types", "examples")
     return limited(out.orderBy(F.desc("coverage"), F.asc("field")), limit, FIELD_LIMIT)
