@@ -1,9 +1,12 @@
 import math
+import pickle
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tributary.llm import ctw
@@ -142,3 +145,37 @@ def test_blocks_give_the_scores_of_the_whole_tree(spark):
         whole, parts = read(ctw.MOST_GRAMS), read(most)
         assert [r[:3] for r in whole] == [r[:3] for r in parts]
         assert np.allclose([r[3:] for r in whole], [r[3:] for r in parts], rtol=1e-5)
+
+
+def long_text(n):
+    return [bytes(w) for w in np.random.default_rng(1).integers(97, 105, (n, 5), np.uint8)]
+
+
+def test_a_worker_holds_each_code_once_and_scores_in_small_pieces():
+    words = long_text(350_000)
+    tree = ctw.build_tree(levels_of([words[:100_000]], 5))
+    assert len(pickle.dumps(tree, 5)) < 60 * len(tree.grams[5])
+    frames = [ctw.framed(words[i : i + 500], 5) for i in range(0, len(words), 500)]
+    tracemalloc.start()
+    found = ctw._frame_scores(ctw.Block(tree), frames)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * sum(map(len, frames))
+    for i in (0, 300, 699):
+        bits = tree.log2(ctw.gram_codes(frames[i], 5)[0]).astype(float)
+        assert math.isclose(found[i], bits.sum() * math.log10(2), rel_tol=1e-9)
+    assert math.isclose(ctw._frame_scores(ctw.Block(tree), [ctw.framed(words, 5)])[0], sum(found), rel_tol=0.01)  # one text of several pieces
+
+
+def test_counts_that_end_with_a_full_buffer(monkeypatch):
+    monkeypatch.setattr(ctw, "PENDING_GRAMS", 5)
+    rows = [r for batch in ctw._count(2)(iter([pa.record_batch([pa.array(["abcdefghij abc"])], names=["text"])])) for r in batch.to_pylist()]
+    codes = ctw.gram_codes(ctw.framed([b"abcdefghij", b"abc"], 2), 2)[0]
+    assert Counter({r["key"]: r["n"] for r in rows if r["kind"] == ctw.GRAM}) == Counter(codes.tolist())
+    assert sum(r["n"] for r in rows if r["kind"] == ctw.WORD) == 2
+
+
+def test_counts_are_not_added_up_twice_before_the_shuffle(spark):
+    df = spark.createDataFrame(fixture(), "doc_id long, text string")
+    plan = ctw._counted(df, 2)._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" not in plan[plan.index("Exchange") :] and "Exchange" not in plan[: plan.index("Exchange")]

@@ -16,7 +16,7 @@ Counting: workers count byte n-grams and words of the whole training texts and
 merge them before the shuffle, so what is gathered grows with the corpus. The
 tree keeps every n-gram. It is dealt into blocks of whole contexts of ``SPLIT``
 bytes, in the order of their codes, of at most ``MOST_GRAMS`` n-grams (or one
-context); the driver needs some 250 bytes an n-gram of a block. A first round over the blocks
+context); the driver needs some 250 bytes an n-gram of a block, a worker some 50. A first round over the blocks
 yields the block probabilities of the contexts of ``SPLIT`` bytes, from which the
 shorter contexts are weighted; a second one broadcasts a block at a time, and
 each scores the decisions in its contexts. Scores do not depend on the blocks. Words:
@@ -45,6 +45,8 @@ SPLIT = 2
 TOP_WORDS = 200_000
 #: Bytes of text that a worker handles at once; words that it counts before it passes them on.
 CHUNK_BYTES, PENDING_WORDS, PENDING_GRAMS = 2 << 20, 500_000, 3_000_000
+#: Symbols that are looked up in the tree at once.
+PIECE = 1 << 17
 PAD, END = 0xFE, 0xFF
 FOLDS, HELD_FOLD = 7, 2
 
@@ -60,15 +62,19 @@ def framed(words: list[bytes], depth: int) -> bytes:
     return bytes([PAD]) * depth + b" ".join(words) + bytes([END])
 
 
-def gram_codes(data: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code of each symbol with its ``depth`` bytes of context, and the symbols' places; pads are no symbols."""
+def symbol_codes(data: bytes, depth: int) -> np.ndarray:
+    """Code of each symbol with its ``depth`` bytes of context; pads are no symbols."""
     if len(data) <= depth:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     held = np.frombuffer(b"\0" * (7 - depth) + data, np.uint8)
-    n = len(data) - depth
-    windows = np.ndarray((n,), ">u8", held, 0, (1,))
-    at = np.flatnonzero(held[7:] != PAD)
-    return windows[at].astype(np.uint64) & np.uint64((1 << 8 * (depth + 1)) - 1), at + depth
+    out = np.ndarray((len(data) - depth,), ">u8", held, 0, (1,)).astype(np.uint64)
+    out &= np.uint64((1 << 8 * (depth + 1)) - 1)
+    return out[held[7:] != PAD]
+
+
+def gram_codes(data: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the symbols, and the symbols' places."""
+    return symbol_codes(data, depth), np.flatnonzero(np.frombuffer(data, np.uint8)[depth:] != PAD) + depth
 
 
 def _signed(hashes: np.ndarray) -> np.ndarray:
@@ -80,9 +86,20 @@ def word_hash(word: bytes) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _tally(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, and how often each is there; sorts ``codes`` in place."""
+    codes.sort()
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]][: len(codes)])
+    return codes[starts], np.diff(starts, append=len(codes))
+
+
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    n = np.concatenate(counts)[order]
+    return key[starts], np.add.reduceat(n, starts) if len(key) else n
 
 
 def _count(depth: int):
@@ -106,7 +123,7 @@ def _count(depth: int):
                 for own in chunk:
                     for w in own:
                         words[w] = words.get(w, 0) + 1
-                found, n = np.unique(gram_codes(data, depth)[0], return_counts=True)
+                found, n = _tally(symbol_codes(data, depth))
                 keys.append(_signed(found))
                 counts.append(n)
                 pending += len(found)
@@ -119,8 +136,9 @@ def _count(depth: int):
                         keys, counts, pending = [key], [n], len(key)
                 if len(words) > PENDING_WORDS:
                     yield from spill_words()
-        if texts:
+        if keys:
             yield from rows(GRAM, *_merge(keys, counts))
+        if texts:
             yield from spill_words()
             yield from rows(TEXTS, np.zeros(1, np.int64), np.array([texts], np.int64))
 
@@ -164,13 +182,17 @@ def _mask(bits: int) -> np.uint64:
 
 @dataclass
 class Tree:
-    """grams[d], sums[d]: sorted codes of d context bytes and a symbol, and the counts before each."""
+    """grams[d], sums[d]: sorted codes of d context bytes and a symbol, and the counts before each.
+
+    Every worker holds one, so it keeps each code once: what belongs to a node is
+    found by the place of its first code, what belongs to a code by the code's place.
+    """
 
     depth: int
     grams: list[np.ndarray]
     sums: list[np.ndarray]
-    nodes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # (bit, depth): keys, stopping shares
-    slots: np.ndarray | None = None
+    stops: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)  # (bit, depth): stopping shares, at the nodes' first codes
+    slots: np.ndarray | None = None  # hash table of places in the deepest codes, _FREE where there is none
     values: np.ndarray | None = None
 
     def log2(self, codes: np.ndarray) -> np.ndarray:
@@ -178,12 +200,12 @@ class Tree:
         out = np.empty(len(codes), np.float32)
         if self.slots is None or not len(codes):
             return self._long_way(codes) if len(codes) else out
-        at, going = _slot(codes, len(self.slots)), np.arange(len(codes))
+        at, going, top = _slot(codes, len(self.slots)), np.arange(len(codes)), self.grams[self.depth]
         while len(going):
             found = self.slots[at]
-            hit = found == codes[going]
-            out[going[hit]] = self.values[at[hit]]
             none = found == _FREE
+            hit = (top[found] == codes[going]) & ~none
+            out[going[hit]] = self.values[found[hit]]
             if none.any():
                 lost, where = np.unique(codes[going[none]], return_inverse=True)
                 out[going[none]] = self._long_way(lost)[where]
@@ -201,14 +223,14 @@ class Tree:
                 code = codes & _mask(8 * (d + 1))
                 node = code >> np.uint64(8 - bit)
                 low = node << np.uint64(8 - bit)
-                a, m, z = (self.sums[d][np.searchsorted(self.grams[d], low + np.uint64(x))] for x in (0, 1 << 7 - bit, 1 << 8 - bit))
+                first, half, end = (np.searchsorted(self.grams[d], low + np.uint64(x)) for x in (0, 1 << 7 - bit, 1 << 8 - bit))
+                a, m, z = (self.sums[d][x] for x in (first, half, end))
                 ones, both = z - m, z - a
                 shares.append((np.where(one, ones, both - ones) + 0.5) / (both + 1.0))
                 seen.append(both > 0)
                 if d < self.depth:
-                    keys, share = self.nodes.get((bit, d), (_NONE, np.empty(0, np.float32)))
-                    where = np.minimum(np.searchsorted(keys, node), max(len(keys) - 1, 0))
-                    stops.append(np.where(keys[where] == node, share[where], 1.0) if len(keys) else np.ones(len(codes)))
+                    share = self.stops.get((bit, d), _NONE)
+                    stops.append(np.where(seen[d], share[np.minimum(first, len(share) - 1)], 1.0) if len(share) else np.ones(len(codes)))
             q = shares[self.depth]
             for d in range(self.depth - 1, -1, -1):
                 q = np.where(seen[d + 1], stops[d] * shares[d] + (1 - stops[d]) * q, shares[d])
@@ -216,26 +238,33 @@ class Tree:
         return total.astype(np.float32)
 
 
-_FREE, _NONE = np.uint64((1 << 64) - 1), np.empty(0, np.uint64)
+_FREE, _NONE = -1, np.empty(0, np.float32)
 
 
 def _slot(codes: np.ndarray, size: int) -> np.ndarray:
     return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - int(size).bit_length() + 1)).astype(np.int64)
 
 
-def _hash_table(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_table(codes: np.ndarray) -> np.ndarray:
+    """Places of distinct codes, by their hashes."""
     size = 1 << max(4, int(2 * len(codes)).bit_length())
-    slots, held = np.full(size, _FREE), np.zeros(size, np.float32)
+    slots = np.full(size, _FREE, np.int32 if len(codes) < 1 << 31 else np.int64)
     left, at = np.arange(len(codes)), _slot(codes, size)
     while len(left):
         free = np.flatnonzero(slots[at] == _FREE)
         _, first = np.unique(at[free], return_index=True)
         put = free[first]
-        slots[at[put]], held[at[put]] = codes[left[put]], values[left[put]]
+        slots[at[put]] = left[put]
         on = np.ones(len(left), bool)
         on[put] = False
         left, at = left[on], (at[on] + 1) % size
-    return slots, held
+    return slots
+
+
+def _sums(counts: np.ndarray) -> np.ndarray:
+    """Counts before each code, and all; four bytes each where that holds them."""
+    out = np.r_[0, np.cumsum(counts)]
+    return out.astype(np.uint32) if out[-1] < 1 << 32 else out
 
 
 def _nodes(codes: np.ndarray, counts: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -284,18 +313,19 @@ def build_tree(levels: list[tuple[np.ndarray, np.ndarray]], split: int = 0, join
     block's, and those above it are the whole tree's.
     """
     depth = len(levels) - 1
-    tree = Tree(depth, [c for c, _ in levels], [np.r_[0, np.cumsum(n)] for _, n in levels])
+    tree = Tree(depth, [c for c, _ in levels], [_sums(n) for _, n in levels])
     top = levels[depth][0]
     if not len(levels[0][0]):
         return tree
     total = np.zeros(len(top))
     for bit in range(8):
-        keys, owner, zeros, ones = [], None, [], []
+        keys, owner, zeros, ones, firsts = [], None, [], [], []
         for codes, counts in levels:
             key, starts, zero, one = _nodes(codes, counts, bit)
             keys.append(key)
             zeros.append(zero)
             ones.append(one)
+            firsts.append(starts)
             owner = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(codes)]))  # the last is of the deepest
         parents = [None] + [_parents(keys[d - 1], keys[d], d, bit) for d in range(1, depth + 1)]
         weighted = log_kt(zeros[depth], ones[depth])
@@ -305,7 +335,8 @@ def build_tree(levels: list[tuple[np.ndarray, np.ndarray]], split: int = 0, join
             if joints is not None and d == split - 1:
                 children, weighted = _parents(keys[d], joints[bit][0], split, bit), joints[bit][1]
             weighted, stops[d] = _weighed(log_kt(zeros[d], ones[d]), children, weighted)
-            tree.nodes[bit, d] = keys[d], stops[d].astype(np.float32)
+            tree.stops[bit, d] = np.zeros(len(tree.grams[d]), np.float32)
+            tree.stops[bit, d][firsts[d]] = stops[d]
         one = (top >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
         node = owner
         share = lambda d, node: (np.where(one, ones[d][node], zeros[d][node]) + 0.5) / (zeros[d][node] + ones[d][node] + 1.0)  # noqa: B023, E731
@@ -315,7 +346,7 @@ def build_tree(levels: list[tuple[np.ndarray, np.ndarray]], split: int = 0, join
             q = stops[d][node] * share(d, node) + (1 - stops[d][node]) * q
         total += np.log2(q)
     if len(top):
-        tree.slots, tree.values = _hash_table(top, total.astype(np.float32))
+        tree.slots, tree.values = _hash_table(top), total.astype(np.float32)
     return tree
 
 
@@ -330,10 +361,15 @@ class Counts:
     texts: int
 
 
+def _counted(train: DataFrame, depth: int) -> DataFrame:
+    """Workers have merged their own counts, so these are dealt out as they are and added up only behind the shuffle."""
+    parts = train.select("text").mapInArrow(_count(depth), "kind int, key long, n long")
+    return parts.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
 def count_corpus(train: DataFrame, depth: int = DEPTH) -> Counts:
     """N-gram and word counts over all texts of ``train`` (column text)."""
-    parts = train.select("text").mapInArrow(_count(depth), "kind int, key long, n long")
-    table = materialize(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    table = materialize(_counted(train, depth), "counts")
     by = {r["kind"]: r for r in table.groupBy("kind").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("n")).collect()}
     texts = by[TEXTS]["n"] if TEXTS in by else 0
     words = (by[WORD]["n"], by[WORD]["distinct"]) if WORD in by else (0, 0)
@@ -417,18 +453,17 @@ _RARE = pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int32())]))
 
 def _frame_scores(block: Block, data: list[bytes]) -> list[float]:
     """log10 of the probability of each frame's decisions in the block."""
-    bits = np.r_[0.0, np.cumsum(block.log2(gram_codes(b"".join(data), block.tree.depth)[0]), dtype=np.float64)]
-    ends = np.cumsum([len(x) - block.tree.depth for x in data])
-    return (np.diff(bits[np.r_[0, ends]]) * math.log10(2)).tolist()
+    depth, joined = block.tree.depth, b"".join(data)
+    bits = np.concatenate([block.log2(symbol_codes(joined[at : at + depth + PIECE], depth)) for at in range(0, len(joined) - depth, PIECE)])
+    ends = np.cumsum([len(x) - depth for x in data])
+    return (np.add.reduceat(bits, np.r_[0, ends[:-1]], dtype=np.float64) * math.log10(2)).tolist()
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Shared = shared.value
-        logs = np.log10(model.counts + 1.0).tolist()
-        known = {h: (n, x) for h, n, x in zip(model.words.tolist(), model.counts.tolist(), logs)}
+        known = dict(zip(model.words.tolist(), np.log10(model.counts + 1.0).tolist()))
         frequent: dict[bytes, float] = {}
-        lost: dict[bytes, int] = {}
         end_log = math.log10(model.texts + 1.0)
         depth = model.block.tree.depth
         for batch in batches:
@@ -439,21 +474,14 @@ def _score(shared):
                     base, hits, rare = end_log, int(model.texts > 0), {}
                     for w in own:
                         if (x := frequent.get(w)) is None:
-                            if w in lost:
-                                rare[w] = rare.get(w, 0) + 1
-                                continue
-                            if len(frequent) + len(lost) > PENDING_WORDS:
-                                frequent.clear()
-                                lost.clear()
                             h = word_hash(w)
                             if h not in known:
-                                lost[w] = h
-                                rare[w] = rare.get(w, 0) + 1
+                                rare[h] = rare.get(h, 0) + 1
                                 continue
-                            x = frequent[w] = known[h][1]
+                            x = frequent[w] = known[h]
                         base += x
                         hits += 1
-                    listed = [{"word": lost.get(w) or word_hash(w), "times": n} for w, n in rare.items()]
+                    listed = [{"word": h, "times": n} for h, n in rare.items()]
                     rows.append((len(own) + 1, hits, len(frame) - depth, base - (len(own) + 1) * model.denominator, score, listed, frame if model.block.of > 1 else None))
             columns = list(zip(*rows)) or [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), _RARE, pa.binary()]
