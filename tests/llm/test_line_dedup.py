@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tributary.llm import line_dedup as ld
@@ -223,3 +224,35 @@ def test_long_passages_of_few_unlike_texts(spark):
     rows += [(5000, edited(rows[0][1], 4))]  # a copy of the first
     out = {r.doc_id: r.lines_dropped for r in ld.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: n for k, n in out.items() if k < 5000} == {i: int(200 <= i < 1000 and not 500 <= i < 600) for i, _ in rows if i < 5000}
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def map_of(keys):
+    bits = np.zeros((1 << 26) // 8, np.uint8)
+    for key in keys:
+        bits[(key & (1 << 26) - 1) >> 3] |= 1 << (key & 7)
+    return bits
+
+
+def test_later_passes_parse_only_the_texts_they_need(monkeypatch):
+    texts = {7: "one two three\nfour five six", -9: "seven eight nine\nten", 1 << 40: "one two three\nten", 12: "four five six"}
+    parsed, codes = [], ld.codes
+    monkeypatch.setattr(ld, "codes", lambda line: parsed.append(line) or codes(line))
+    leaf, template, _ = codes(b"one two three")
+    batch = pa.record_batch([pa.array([*texts, 7], pa.int64()), pa.array([*texts.values(), texts[7]])], names=["id", "text"])
+    rows = [r for out in ld._leaf_lines(Held((map_of([7, -9]), map_of([leaf]))))(iter([batch, batch])) for r in out.to_pylist()]
+    assert [(r["leaf"], r["template"], len(r["line"])) for r in rows] == [(leaf, template, 3)]
+    assert parsed == [line.encode() for text in (7, -9) for line in texts[text].split("\n")]
+    parsed.clear()
+    rows = [r for out in ld._marked(Held(map_of([12])))(iter([batch])) for r in out.to_pylist()]
+    assert [r["text"] for r in rows] == [12] and parsed == [b"four five six"]
+
+
+def test_the_lines_are_plain_numbers(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)) + "\nsecond line"), (2, None)], "doc_id long, text string")
+    lines = ld.line_table(df)
+    assert {kind for _, kind in lines.dtypes} <= {"bigint", "int"} and sorted(r.tokens for r in lines.collect()) == [2, 60]

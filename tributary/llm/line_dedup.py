@@ -51,8 +51,8 @@ CONSTANT, SIMILAR = 0.8, 0.6
 OWN = 0.5
 #: Hashes of dropped templates that are broadcast at most; more are joined to the texts.
 MOST_TEMPLATES = 4_000_000
-#: Bits of the map that narrows the second pass to leaves of interest.
-LEAF_BITS = 26
+#: Bits of the maps that narrow later passes to texts and leaves of interest.
+MAP_BITS = 26
 #: Bytes from a word start that are hashed: some five words.
 WINDOW = 32
 #: Texts that a worker remembers, to parse copies once.
@@ -126,12 +126,13 @@ def text_marks(templates: np.ndarray, hashes: np.ndarray) -> tuple[list[int], li
 
 
 SKETCHES = ("low", "high", "other")
-_LINE = "text long, leaf long, template long, tokens int, words int, low long, high long, other long, marks struct<least:array<int>,by:array<long>,second:array<int>>"
+_LINE = "text long, leaf long, template long, tokens int, words int, low long, high long, other long"
+_MARKED = "text long, marks struct<least:array<int>,by:array<long>,second:array<int>>"
 _MARKS = pa.struct([("least", pa.list_(pa.int32())), ("by", pa.list_(pa.int64())), ("second", pa.list_(pa.int32()))])
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each text and template; the marks of a text with long lines are in one of its rows."""
+    """One row for each text and template."""
     seen: set[int] = set()
     for batch in batches:
         rows = []
@@ -151,21 +152,62 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         row[4] += len(tokens)
                         row[5:8] = min(row[5], sketches[0]), max(row[6], sketches[1]), min(row[7], sketches[2])
                     else:
-                        own[template] = [text, leaf, template, len(tokens), len(tokens), *sketches, None]
-            if any(row[3] >= LONG_TOKENS for row in own.values()):
-                templates = np.array([code[1] if code else 0 for code in found])
-                next(iter(own.values()))[8] = dict(zip(("least", "by", "second"), text_marks(templates[line], hashes)))
+                        own[template] = [text, leaf, template, len(tokens), len(tokens), *sketches]
             rows.extend(own.values())
-        columns = list(zip(*rows)) or [()] * 9
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), _MARKS)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["text", "leaf", "template", "tokens", "words", "low", "high", "other", "marks"])
+        columns = list(zip(*rows)) or [()] * 8
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["text", "leaf", "template", "tokens", "words", "low", "high", "other"])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where(F.length("text") > 0).select(F.xxhash64("text").alias("id"), "text")
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """One row for each distinct text (its hash) and template in it."""
-    texts = docs.where(F.length("text") > 0).select(F.xxhash64("text").alias("id"), "text")
-    every = texts.mapInArrow(_lines, _LINE).groupBy("template", "text")
-    return materialize(every.agg(*(F.min(c).alias(c) for c in ("leaf", "tokens", "words", *SKETCHES, "marks"))), "lines")
+    every = _texts(docs).mapInArrow(_lines, _LINE).groupBy("template", "text")
+    return materialize(every.agg(*(F.min(c).alias(c) for c in ("leaf", "tokens", "words", *SKETCHES))), "lines")
+
+
+def _bits(rows: DataFrame, key: str) -> np.ndarray:
+    """A map of 8 MB of the keys, whatever their number."""
+    bits = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    slot = F.col(key).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    set_ = rows.groupBy(F.shiftright(slot, 3).cast("int").alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast({key} & 7 AS int))")).alias("bits")).toArrow()
+    bits[set_.column("byte").to_numpy()] = set_.column("bits").to_numpy()
+    return bits
+
+
+def _has(bits: np.ndarray, keys):
+    return bits[(keys & (len(bits) * 8 - 1)) >> 3] >> (keys & 7) & 1
+
+
+def _among(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[list[tuple[int, bytes]]]:
+    """Of each batch, the texts whose bit is set (that may be more than were asked for), copies only now and then."""
+    seen: set[int] = set()
+    for batch in batches:
+        held = batch.filter(pa.array(_has(bits, batch.column(0).to_numpy()).astype(bool)))
+        if len(seen) > SEEN:
+            seen.clear()
+        own = dict(zip(held.column(0).to_pylist(), raw_texts(held.column(1))))
+        yield [(text, raw) for text, raw in own.items() if text not in seen]
+        seen.update(own)
+
+
+def _marked(shared):
+    """Marks of the texts whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _among(batches, shared.value):
+            marks = []
+            for _, raw in own:
+                found = [codes(line) for line in raw.split(b"\n")]
+                line, hashes = word_windows(raw)
+                templates = np.array([code[1] if code else 0 for code in found])
+                marks.append(dict(zip(("least", "by", "second"), text_marks(templates[line], hashes))))
+            yield pa.RecordBatch.from_arrays([pa.array([text for text, _ in own], pa.int64()), pa.array(marks, _MARKS)], names=["text", "marks"])
+
+    return run
 
 
 def _evidence(lines: DataFrame, least: int) -> DataFrame:
@@ -190,12 +232,15 @@ def _spread(least: int):
     return (F.col("documents") >= least) & (F.col("documents") >= SPREAD * F.col("texts"))
 
 
-def _long_recurring(lines: DataFrame) -> DataFrame:
+def _long_recurring(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Long templates in texts of which ``SPREAD`` are unlike one of them (the one with the least hash), but for that line."""
     long = lines.where(F.col("tokens") >= LONG_TOKENS).select("template", "text")
     several = materialize(long.groupBy("template").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("template"), "long")
-    held = flagged(long, several, "template", "several", "text").where("several").select("template", "text")
-    marked = lines.where(F.col("marks").isNotNull()).select("text", "marks")
+    held = materialize(flagged(long, several, "template", "several", "text").where("several").select("template", "text"), "long-held")
+    bits = _bits(held, "text")
+    if not bits.any():
+        return held.select("template")
+    marked = _texts(docs).mapInArrow(_marked(docs.sparkSession.sparkContext.broadcast(bits)), _MARKED).groupBy("text").agg(F.min("marks").alias("marks"))
     rest = F.transform("marks.least", lambda x, n: F.when(F.col("marks.by")[n] == F.col("template"), F.col("marks.second")[n]).otherwise(x))
     held = materialize(held.join(marked, "text").select("template", "text", rest.alias("rest")).where(F.exists("rest", lambda x: x >= 0)), "long-lines")
     first = materialize(held.groupBy("template").agg(F.min(F.struct("text", "rest"))["rest"].alias("first")), "first")
@@ -206,17 +251,16 @@ def _long_recurring(lines: DataFrame) -> DataFrame:
 
 
 def _leaf_lines(shared):
-    """Tokens of the lines in leaves whose bit is set."""
+    """Tokens of the lines in leaves whose bit is set, of texts whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        size = len(bits) * 8 - 1
+        texts, leaves = shared.value
         seen: set[int] = set()
-        for batch in batches:
+        for held in _among(batches, texts):
             own: dict[int, tuple] = {}
-            for raw in raw_texts(batch.column(0)):
+            for _, raw in held:
                 for line in raw.split(b"\n"):
-                    if line and (found := codes(line)) and bits[(found[0] & size) >> 3] >> (found[0] & 7) & 1 and found[1] not in seen:
+                    if line and (found := codes(line)) and _has(leaves, found[0]) and found[1] not in seen:
                         own[found[1]] = (found[0], found[1], [_signed(xxhash.xxh3_64_intdigest(w)) for w in found[2]])
                         seen.add(found[1])
             if len(seen) > SEEN:
@@ -228,15 +272,6 @@ def _leaf_lines(shared):
     return run
 
 
-def _bits(leaves: DataFrame) -> np.ndarray:
-    """A map of 8 MB, whatever the number of leaves."""
-    bits = np.zeros((1 << LEAF_BITS) // 8, np.uint8)
-    slot = F.col("leaf").bitwiseAND(F.lit((1 << LEAF_BITS) - 1))
-    set_ = leaves.groupBy(F.shiftright(slot, 3).cast("int").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(leaf & 7 AS int))")).alias("bits")).toArrow()
-    bits[set_.column("byte").to_numpy()] = set_.column("bits").to_numpy()
-    return bits
-
-
 def _alike(lines: DataFrame, least: int, constant: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(template, group) of the lines whose constants make a template, and the lines that are left over."""
     key = F.xxhash64("leaf", "at", "token").alias("key")
@@ -256,7 +291,7 @@ def _alike(lines: DataFrame, least: int, constant: Callable[[DataFrame], DataFra
 def _generalised(docs: DataFrame, held: DataFrame, support: DataFrame, least: int) -> DataFrame | None:
     """Templates (the masked lines) that agree with a generalised template of ``least`` texts in their leaf.
 
-    Works on distinct masked lines, weighed by their texts. Tokens are
+    Works on distinct masked lines, each read from one of its texts and weighed by all. Tokens are
     counted by (leaf, position, token), so a large leaf is dealt out too.
     """
     several = support.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("documents").alias("n")).where(f"kinds > 1 AND n >= {least}")
@@ -265,8 +300,9 @@ def _generalised(docs: DataFrame, held: DataFrame, support: DataFrame, least: in
     leaves = materialize(once.groupBy("leaf").agg(F.sum("one").alias("n")).where(F.col("n") >= least).select("leaf"), "leaves")
     if leaves.isEmpty():
         return None
-    shared = docs.sparkSession.sparkContext.broadcast(_bits(leaves))
-    found = docs.select("text").mapInArrow(_leaf_lines(shared), "leaf long, template long, line array<long>")
+    wanted = flagged(support.select("leaf", "text"), leaves, "leaf", "wanted", "text").where("wanted")
+    shared = docs.sparkSession.sparkContext.broadcast((_bits(wanted, "text"), _bits(leaves, "leaf")))
+    found = _texts(docs).mapInArrow(_leaf_lines(shared), "leaf long, template long, line array<long>")
     lines = found.groupBy("leaf", "template").agg(F.first("line").alias("line")).join(leaves, "leaf", "left_semi")
     lines = materialize(lines.join(support.select("template", "documents"), "template"), "leaf-lines")
     first, left = _alike(lines, least, lambda n: n.where(F.col("n") >= least))
@@ -281,9 +317,9 @@ def _generalised(docs: DataFrame, held: DataFrame, support: DataFrame, least: in
 
 def _recurring(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     held = _evidence(lines, least)
-    support = held.groupBy("template").agg(F.sum("evidence").alias("documents"), F.count(F.lit(1)).alias("texts"), F.min("leaf").alias("leaf"))
+    support = held.groupBy("template").agg(F.sum("evidence").alias("documents"), F.count(F.lit(1)).alias("texts"), F.min("leaf").alias("leaf"), F.min("text").alias("text"))
     support = materialize(support.where("documents > 0"), "support")
-    exact = support.where(_spread(least)).select("template").unionByName(_long_recurring(lines))
+    exact = support.where(_spread(least)).select("template").unionByName(_long_recurring(docs, lines))
     more = _generalised(docs, held, support, least)
     return materialize((exact if more is None else exact.unionByName(more)).distinct(), "recurring")
 
