@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -82,6 +83,32 @@ def test_a_forgetful_cache_gives_the_same_ids(monkeypatch):
         assert found.tolist() == [*want, 0, *want] and bounds.tolist() == [0, len(want), len(want) + 1, 2 * len(want) + 1]
 
 
+def test_parts_of_any_size_give_the_same_ids(monkeypatch):
+    path = tokenizer_path(packing.VOCABULARY)
+    tokenizer, ids = Tokenizer.from_file(path), packing.WordIds(path)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in TEXTS]
+    for most in (1, 7, 4000):
+        monkeypatch.setattr(packing, "PART_CHUNKS", most)
+        got = [(first + n, found[low:high].tolist()) for first, found, bounds in ids.parts(pa.array(TEXTS)) for n, (low, high) in enumerate(zip(bounds, bounds[1:]))]
+        assert got == list(enumerate(want))
+        assert ids.batch(pa.array(TEXTS))[0].tolist() == sum(want, [])
+    assert ids.batch(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_a_full_portion_takes_little_more_space_than_its_text():
+    words = ["lorem", "ipsum", "dolor", "sit", "amet,", "a1"]
+    text = " ".join(words[i * i % 11 % 6] for i in range(1300))
+    texts = pa.array([text] * (packing.BATCH_TEXT // len(text)))
+    cut = packing._cut(tokenizer_path(packing.VOCABULARY), 2048, False)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), texts], names=["doc_id", "text"])
+    list(cut(iter([batch.slice(0, 1)])))  # the tokenizer is there
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in cut(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= len(texts) and peak < 4 * packing.BATCH_TEXT
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_tiny_tables(spark, n):
     df = spark.createDataFrame([(1, "a b")][:n], "doc_id long, text string")

@@ -44,8 +44,8 @@ VOCABULARY = "word_bpe_49k.json"
 CACHE_CHUNKS, WORDS_AT_ONCE = 50_000, 20_000
 #: Words are added to those that a worker remembers until there are so many.
 KNOWN_WORDS = 150_000
-#: Bytes of text that are split into words at once.
-BATCH_TEXT = 8 << 20
+#: Bytes of text that are split into words at once, and chunks of them whose ids are put together at once.
+BATCH_TEXT, PART_CHUNKS = 8 << 20, 1 << 17
 
 #: Lower-case letters that neither lower-casing nor composition changes, and marks that may end a word.
 _LETTERS, _MARKS = "a-zß-öø-ÿœ", ".,;:!?)"
@@ -68,21 +68,18 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": None}
-        self.plain, self.bare = (Tokenizer.from_str(json.dumps(spec)) for _ in range(2))
+        self.plain, self.bare = (Tokenizer(self.tokenizer.model) for _ in range(2))  # all three share the one model in memory
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # for ASCII, which the byte mapping leaves as it is
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
-        self.ends[[n for token, n in spec["model"]["vocab"].items() if token.endswith("</w>")]] = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self.marks = pa.array(list(_MARKS))
         self.mark_ids = np.array([self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in _MARKS], "<u4")
         self.others: dict[str, np.ndarray] = {}
@@ -151,19 +148,34 @@ class WordIds:
         chunk_sizes = np.add.reduceat(total, place) if len(place) else total
         return _gathered(flat, entry_sizes, entries), chunk_sizes
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, each closed by END_ID, and where each text starts (and the last ends)."""
+    def parts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of consecutive texts, PART_CHUNKS chunks or one text at a time: the number of the first, their ids in a row, each closed by END_ID, and where each text starts (and the last ends).
+
+        The distinct chunks are those of all the texts; the ids, which take many times a text's
+        space while they are put together, are held for one part only.
+        """
         texts = pc.fill_null(texts, "")
-        special = pc.match_substring(texts, "<|")
-        low = pc.if_else(special, texts, pc.ascii_lower(texts))
-        lists = pc.ascii_split_whitespace(low)
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        bounds = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
         encoded = lists.flatten().dictionary_encode()
+        del lists
+        index = encoded.indices.to_numpy(zero_copy_only=False)
         flat, sizes = self._chunks(encoded.dictionary)
+        del encoded
         flat, sizes = np.r_[flat, np.array([END_ID], "<u4")], np.r_[sizes, 1]
-        bounds = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
-        at = np.insert(encoded.indices.to_numpy(zero_copy_only=False), bounds[1:], len(sizes) - 1)
-        ends = np.cumsum(sizes[at])
-        return _gathered(flat, sizes, at), np.r_[0, ends[bounds[1:] + np.arange(len(texts))]].astype(np.int64)
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + PART_CHUNKS, side="right")) - 1)
+            ends = bounds[first + 1 : last + 1] - bounds[first]
+            at = np.insert(index[bounds[first] : bounds[last]], ends, len(sizes) - 1)
+            yield first, _gathered(flat, sizes, at), np.r_[0, np.cumsum(sizes[at])[ends + np.arange(last - first)]]
+            first = last
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each closed by END_ID, and where each text starts (and the last ends)."""
+        parts = list(self.parts(texts))
+        ids = np.concatenate([np.empty(0, "<u4"), *(found for _, found, _ in parts)])
+        return ids, np.r_[0, np.cumsum(np.concatenate([np.empty(0, np.int64), *(np.diff(bounds) for *_, bounds in parts)]))]
 
 
 def _gathered(flat: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> np.ndarray:
@@ -197,8 +209,8 @@ def _cut(path: str, capacity: int, with_ids: bool):
             _worker[path] = WordIds(path)
         for batch in batches:
             owner, piece, length, crc, ids = [], [], [], [], []
-            for first, texts in _portions(batch.column(1)):
-                found, bounds = _worker[path].batch(texts)
+            parts = ((before + n, found, bounds) for before, texts in _portions(batch.column(1)) for n, found, bounds in _worker[path].parts(texts))
+            for first, found, bounds in parts:
                 for row, (low, high) in enumerate(zip(bounds.tolist(), bounds[1:].tolist()), first):
                     for n, at in enumerate(range(low, high, capacity)):
                         part = found[at : min(at + capacity, high)]
