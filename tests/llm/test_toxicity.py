@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -131,3 +132,34 @@ def test_one_word_counts_once(spark):
     d = spark.createDataFrame([(1, "an abcdefgz here, abcdefgz there", 0.5)], "doc_id long, text string, toxic_score double")
     assert abs(tx.score(d, model).first().score - (1 - 0.99 * 0.4)) < 1e-12
     assert tx.drop_toxic(d, model).columns == d.columns and tx.drop_toxic(d, model).count() == 1
+
+
+def test_a_worker_remembers_few_letters():
+    """Long words, and letters that no entry has, take no memory beyond their text; hits stay the same."""
+    model = tx.Model([tx.Entry("moron", "word"), tx.Entry("vejuai", "stem")])
+    matcher = tx.Matcher(model)
+    long = "vejuai" + "x" * 5000
+    for i in range(300):
+        hits = matcher.hits(f"{'q' * 3000}{i} {long}{i} moron {chr(0x4E00 + i)}on mo{chr(0x4E00 + i)}on")
+        assert {h[:3] for h in hits} == {(f"{long}{i}", 1, 0), ("moron", 0, 0), (f"mo{chr(0x4E00 + i)}on", 0, 1)}
+    assert sum(map(len, matcher.clean)) + sum(map(len, matcher.hit)) < 5000
+    assert sum(map(len, matcher.automaton.moves)) < 300
+
+
+def test_features_are_counted_in_bounded_parts(monkeypatch):
+    """Counts of many parts add up to those of one."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcde", k=rng.randint(3, 9))) for _ in range(80)) for _ in range(120)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 3 == 0 for i in range(120)]).cast(pa.int32()), pa.array(texts)], names=["toxic", "text"])
+    most = max(len(tx.features(t)) for t in texts)
+    monkeypatch.setattr(tx, "TALLY", 2000, raising=False)
+    parts = list(tx._tally(iter([batch])))
+    assert len(parts) > 1 and max(p.num_rows for p in parts) < 2000 + most
+    summed, plain = {}, {}
+    for part in parts:
+        for feature, *n in zip(*(c.to_pylist() for c in part.columns)):
+            summed[feature] = [a + b for a, b in zip(summed.get(feature, (0, 0)), n)]
+    for i, text in enumerate(texts):
+        for feature in tx.features(text):
+            plain.setdefault(feature, [0, 0])[i % 3 != 0] += 1
+    assert summed == plain

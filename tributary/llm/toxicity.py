@@ -48,7 +48,10 @@ QUOTED = 0.5
 #: Hits below this say nothing.
 LEAST_HIT = 0.5
 BASE_SCORE = 0.01
-CACHE_WORDS = 300_000
+#: Words that a worker remembers, and the letters of the longest of them.
+CACHE_WORDS, CACHE_LETTERS = 300_000, 64
+#: Features that a worker counts at once at most, but for those of one text more.
+TALLY = 250_000
 
 _WORD = re.compile(r"\w+")
 _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
@@ -103,6 +106,7 @@ class Automaton:
         self.moves: list[dict[str, int]] = []
         self.stems: list[tuple] = []  # entries whose stem a state has read: (entry, edits)
         self.words: list[tuple] = []  # entries that a word ending here is
+        self.letters = {c for entry in entries for c in entry.text}
         self.start = self._state({(0, 0, "")})
 
     def _close(self, items: set) -> frozenset:
@@ -150,6 +154,8 @@ class Automaton:
         best: dict[int, int] = {}
         state, moves = self.start, self.moves
         for c in word:
+            if c not in self.letters:
+                c = ""  # all of these move alike
             state = moves[state].get(c, -1) if c in moves[state] else self._move(state, c)
             for n, edits in self.stems[state]:
                 best[n] = min(edits, best.get(n, 9))
@@ -195,21 +201,22 @@ class Matcher:
         words = set(_WORD.findall(lowered))
         if len(self.clean) > CACHE_WORDS:
             self.clean.clear()
-        found = words & self.hit.keys()
-        for word in words - self.clean - found:
+        if len(self.hit) > CACHE_WORDS:
+            self.hit.clear()
+        found = {w: self.hit[w] for w in words & self.hit.keys()}
+        for word in words - self.clean - found.keys():
             if matched := self.nearest(word):
-                self.hit[word] = matched
-                found.add(word)
-            else:
+                found[word] = matched
+                if len(word) <= CACHE_LETTERS:
+                    self.hit[word] = matched
+            elif len(word) <= CACHE_LETTERS:
                 self.clean.add(word)
         out: set[tuple[str, int, int, bool]] = set()
         if found:
-            if len(self.hit) > CACHE_WORDS:
-                self.hit = {w: self.hit[w] for w in found}
             spans = [m.span() for m in _WORD.finditer(lowered)]
             for at, (start, end) in enumerate(spans):
                 if (word := lowered[start:end]) in found:
-                    out.add((word, *self.hit[word], quoted(lowered, spans, at)))
+                    out.add((word, *found[word], quoted(lowered, spans, at)))
         return out
 
     def score(self, text: str | None) -> float:
@@ -283,13 +290,23 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of either kind that have a feature; merged over the batch."""
+    """Texts of either kind that have a feature; merged over the batch, or less of it where it has many."""
     for batch in batches:
         found: tuple[Counter, Counter] = Counter(), Counter()
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found[toxic].update(features(text))
-        names = list(found[0].keys() | found[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[kind][n] for n in names], pa.int64()) for kind in (1, 0))], names=["feature", "pos", "neg"])
+            if len(found[0]) + len(found[1]) >= TALLY:
+                yield _counted(found)
+        yield _counted(found)
+
+
+def _counted(found: tuple[Counter, Counter]) -> pa.RecordBatch:
+    """The counts so far, which begin anew."""
+    names = list(found[0].keys() | found[1].keys())
+    columns = [pa.array(names, pa.string()), *(pa.array([found[kind][n] for n in names], pa.int64()) for kind in (1, 0))]
+    for counter in found:
+        counter.clear()
+    return pa.RecordBatch.from_arrays(columns, names=["feature", "pos", "neg"])
 
 
 def _evidence(shared):
